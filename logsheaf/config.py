@@ -78,6 +78,8 @@ MESSAGE_MASKS = (
     ("TIMESTAMP", r"\b(?:19|20)\d{2}[-/]\d{2}[-/]\d{2}[ T]\d{2}:\d{2}:\d{2}\b"),
     ("USER", r"\buser=\w+\b"),
 )
+# A text that every match of a mask holds, which is quick to look for.
+MASK_NEEDLES = {"IP": ".", "EMAIL": "@", "TIMESTAMP": ":", "USER": "user="}
 WILDCARD = "<*>"
 
 # Template mining settings.

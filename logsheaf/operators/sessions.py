@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,6 +12,7 @@ from logsheaf.config import SENSITIVE_FIELDS, SessionConfig
 from logsheaf.functions.identity import host_key, user_key
 from logsheaf.functions.text import floor_div, to_int, to_text
 from logsheaf.operators.parse import day_index
+from logsheaf.session import materialize
 
 GROUP = ("day", "user_id", "host_id")
 WINDOW = (*GROUP, "start_ts")
@@ -70,21 +71,25 @@ def prepare_events(
     )
 
 
-def hot_groups(prepared: DataFrame, config: SessionConfig) -> DataFrame:
+def hot_groups(keys: DataFrame, config: SessionConfig) -> DataFrame | None:
     """The largest groups with their first time, at most ``max_hot_groups``.
 
-    Counting combines on the map side, so only one narrow row per group and
-    task is shuffled. Every group left out holds fewer than ``hot_group_rows``
-    rows, or no more than total/``max_hot_groups`` of them.
+    ``keys`` holds the group columns and ``time``. Counting combines on the map
+    side, so only one narrow row per group and task is shuffled. Every group
+    left out holds fewer than ``hot_group_rows`` rows, or no more than
+    total/``max_hot_groups`` of them. None when there is no such group.
     """
-    return (
-        prepared.groupBy(*GROUP)
+    if config.hot_group_rows is None or keys.count() < config.hot_group_rows:
+        return None
+    hot = materialize(
+        keys.groupBy(*GROUP)
         .agg(F.min("time").alias("anchor"), F.count("*").alias("_rows"))
         .where(F.col("_rows") >= config.hot_group_rows)
         .orderBy(F.desc("_rows"), *GROUP)
         .limit(config.max_hot_groups)
         .drop("_rows")
     )
+    return None if hot.isEmpty() else hot
 
 
 def _windows_of(anchored: DataFrame, config: SessionConfig) -> DataFrame:
@@ -111,7 +116,9 @@ def _anchor_in_place(prepared: DataFrame) -> DataFrame:
     return prepared.withColumn("anchor", F.min("time").over(W.partitionBy(*GROUP)))
 
 
-def _per_window(prepared: DataFrame, config: SessionConfig, finish) -> DataFrame:
+def _per_window(
+    prepared: DataFrame, keys: DataFrame, config: SessionConfig, finish: Callable
+) -> DataFrame:
     """Applies ``finish``, a grouping per window, to all windows.
 
     Ordinary groups shuffle once on the group key: anchoring, windowing and
@@ -120,10 +127,11 @@ def _per_window(prepared: DataFrame, config: SessionConfig, finish) -> DataFrame
     the windows and are never gathered as one group. Each side is finished
     before the union, which would hide its partitioning.
     """
-    if config.hot_group_rows is None:
+    hot = hot_groups(keys, config)
+    if hot is None:
         return finish(_windows_of(_anchor_in_place(prepared), config))
-    hot = F.broadcast(hot_groups(prepared, config))
-    ordinary = prepared.join(hot.drop("anchor"), list(GROUP), "left_anti")
+    hot = F.broadcast(hot)
+    ordinary = prepared.join(hot, list(GROUP), "left_anti")
     heavy = prepared.join(hot, list(GROUP))
     return finish(_windows_of(_anchor_in_place(ordinary), config)).unionByName(
         finish(_windows_of(heavy, config))
@@ -138,7 +146,7 @@ def session_windows(prepared: DataFrame, config: SessionConfig = SessionConfig()
 
     narrow = prepared.select(*GROUP, "time")
     return (
-        _per_window(narrow, config, count)
+        _per_window(narrow, narrow, config, count)
         .where(F.col("n_events") >= config.min_events)
         .withColumn("end_ts", F.col("start_ts") + F.lit(config.window_units))
     )
@@ -149,9 +157,14 @@ def session_id() -> Column:
     return F.sha2(F.concat_ws("|", *[F.col(n).cast("string") for n in WINDOW]), 256)
 
 
-def build_sessions(prepared: DataFrame, config: SessionConfig = SessionConfig()) -> DataFrame:
+def build_sessions(
+    prepared: DataFrame, config: SessionConfig = SessionConfig(), keys: DataFrame | None = None
+) -> DataFrame:
     """SESSION rows: windows of at least ``min_events`` events, time ordered.
 
+    ``keys`` may name a cheaper source of the same groups and times, from
+    which large groups are found.
+
     Each window ranks its events from the newest and keeps only as many as the
     result can need, ``max_tokens`` or ``min_events``, before collecting them.
     Spark applies that limit ahead of the shuffle too, so the largest window
@@ -172,7 +185,7 @@ def build_sessions(prepared: DataFrame, config: SessionConfig = SessionConfig())
     ordered = F.array_sort("_rows")
     if config.min_events > config.max_tokens:
         ordered = F.filter(ordered, lambda row: row["pos"] >= -config.max_tokens)
-    return _per_window(prepared, config, collect).select(
+    return _per_window(prepared, prepared if keys is None else keys, config, collect).select(
         session_id().alias("session_id"),
         "user_id",
         "host_id",

@@ -15,7 +15,7 @@ from logsheaf.config import (
     MESSAGE_MASKS,
     WILDCARD,
 )
-from logsheaf.functions.masking import mask_message
+from logsheaf.functions.masking import with_masked
 from logsheaf.functions.text import strip
 from logsheaf.operators.joins import BROADCAST_BYTES, lookup_join
 from logsheaf.operators.ranking import with_position
@@ -54,19 +54,58 @@ def message_tokens(message: Column) -> Column:
     return F.split(strip(message), r"(?U)\s+")
 
 
-def signature(
+def with_signature(
+    df: DataFrame,
     message: Column,
+    name: str = "signature",
     masks: Sequence[tuple[str, str]] = MESSAGE_MASKS,
     keep_digit_tokens: Sequence[str] = (),
-) -> Column:
-    """The masked message with every digit-bearing token made a wildcard.
+) -> DataFrame:
+    """Adds the masked message with each digit-bearing token made a wildcard.
 
     Tokens of the form ``key=...`` keep their digits for the keys named in
     ``keep_digit_tokens``.
     """
     kept = "".join(rf"(?!{key}=)" for key in keep_digit_tokens)
-    words = F.array_join(message_tokens(mask_message(message, masks)), " ")
-    return F.regexp_replace(words, rf"(?U)(?<!\S){kept}\S*\p{{Nd}}\S*", WILDCARD)
+    masked = with_masked(df, message, name, masks)
+    words = F.array_join(message_tokens(F.col(name)), " ")
+    return masked.withColumn(
+        name, F.regexp_replace(words, rf"(?U)(?<!\S){kept}\S*\p{{Nd}}\S*", WILDCARD)
+    )
+
+
+def with_auth_signature(
+    df: DataFrame, name: str = "signature", keep_digit_tokens: Sequence[str] = ()
+) -> DataFrame:
+    """Adds the signature of the authentication message.
+
+    No mask matches, and no token splits, inside short values without a
+    blank, ``.``, ``:`` or ``=``. Such rows, nearly all, need only a look for
+    a digit in each value; the others go through the whole message.
+    """
+    values = {
+        field: F.coalesce(F.col(field).cast("string"), F.lit("UNKNOWN"))
+        if field in df.columns
+        else F.lit("UNKNOWN")
+        for field in MESSAGE_FIELDS
+    }
+    shortest_hash = 32
+    plain = ~F.concat(*values.values()).rlike(r"(?U)[\s.:=]") & (
+        F.greatest(*[F.length(value) for value in values.values()]) < shortest_hash
+    )
+    tokens = []
+    for field, value in values.items():
+        token = F.concat(F.lit(f"{field}="), value)
+        if field not in keep_digit_tokens:
+            token = F.when(value.rlike(r"\p{Nd}"), WILDCARD).otherwise(token)
+        tokens.append(token)
+    marked = df.withColumn("_plain", plain)
+    message = F.when(~F.col("_plain"), auth_message(df.columns))
+    return (
+        with_signature(marked, message, name, keep_digit_tokens=keep_digit_tokens)
+        .withColumn(name, F.when(F.col("_plain"), F.concat_ws(" ", *tokens)).otherwise(F.col(name)))
+        .drop("_plain")
+    )
 
 
 def mine_signatures(events: DataFrame, seen: str = "time") -> DataFrame:

@@ -14,10 +14,9 @@ from logsheaf.operators.quality import rows_per_day
 from logsheaf.operators.sessions import GROUP, build_sessions, prepare_events
 from logsheaf.operators.templates import (
     assign_template_ids,
-    auth_message,
     enrich,
     mine_signatures,
-    signature,
+    with_auth_signature,
 )
 from logsheaf.schemas import SESSION_EVENT, TEMPLATE
 from logsheaf.session import discard, materialize, table_exists
@@ -35,21 +34,14 @@ class SessionsResult:
     per_day: DataFrame
 
 
-def stage_events(
-    lines: DataFrame,
-    start_day: int,
-    end_day: int,
-    config: SessionConfig,
-    observation: Observation | None = None,
-) -> DataFrame:
-    """Parsed events of the day range with signature and pseudonymous ids.
+def stage_events(events: DataFrame, config: SessionConfig = SessionConfig()) -> DataFrame:
+    """Parsed events with signature and pseudonymous ids, written once.
 
-    They are written once: mining, hot-group detection and sessions each read
-    only the columns they need from there, and no raw identity is kept.
+    Mining, hot-group detection and sessions each read only the columns they
+    need from there, and no raw identity is kept.
     """
-    events = in_days(parse_auth_lines(lines, observation=observation), start_day, end_day)
     return materialize(
-        events.select(
+        with_auth_signature(events).select(
             "day",
             user_key(events.schema, config.id_hex_chars).alias("user_id"),
             host_key(events.schema, config.id_hex_chars).alias("host_id"),
@@ -59,7 +51,7 @@ def stage_events(
             "auth_orientation",
             "success",
             "is_success",
-            signature(auth_message(events.columns)).alias("signature"),
+            "signature",
             "line_ord",
         )
     )
@@ -72,7 +64,9 @@ def sessions_of(
     events = enrich(staged, templates).select(
         *GROUP, *SESSION_EVENT.fieldNames(), "line_ord"
     )
-    return build_sessions(prepare_events(events, config, ["line_ord"], keyed=True), config)
+    return build_sessions(
+        prepare_events(events, config, ["line_ord"], keyed=True), config, keys=staged
+    )
 
 
 def run_sessions(
@@ -86,7 +80,8 @@ def run_sessions(
 ) -> SessionsResult:
     """Builds the sessions of a day range and extends the stored templates."""
     counts = Observation()
-    staged = stage_events(read_log_lines(spark, *inputs), start_day, end_day, config, counts)
+    events = parse_auth_lines(read_log_lines(spark, *inputs), observation=counts)
+    staged = stage_events(in_days(events, start_day, end_day), config)
 
     known = (
         spark.read.schema(TEMPLATE).parquet(templates_path)

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from logsheaf.config import MESSAGE_MASKS, SessionConfig, TokenConfig
 from logsheaf.functions.identity import host_key, user_key
-from logsheaf.functions.masking import mask_message
+from logsheaf.functions.masking import with_masked
 from logsheaf.functions.tokens import session_tokens
 from logsheaf.functions.wire import decode_json, encode_json
 from logsheaf.operators import scoring
@@ -28,7 +28,13 @@ from logsheaf.operators.encoding import (
     tokenize,
     unknown_rate,
 )
-from logsheaf.operators.parse import in_days, parse_auth_lines, parse_counters
+from logsheaf.operators.parse import (
+    day_index,
+    in_days,
+    is_success,
+    parse_auth_lines,
+    parse_counters,
+)
 from logsheaf.operators.quality import (
     coerce_events,
     malformed_counters,
@@ -45,9 +51,9 @@ from logsheaf.operators.templates import (
     merge_similar,
     mine_signatures,
     mine_templates,
-    signature,
     template_count,
     template_params,
+    with_auth_signature,
 )
 from logsheaf.operators.vocabulary import (
     rank_tokens,
@@ -55,6 +61,7 @@ from logsheaf.operators.vocabulary import (
     token_counts,
     vocabulary_stats,
 )
+from logsheaf.plans.sessions import sessions_of, stage_events
 from logsheaf.session import materialize
 from logsheaf.streaming.ingest import clean
 
@@ -94,10 +101,7 @@ def auth_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _messages(spark: SparkSession, sf_dir: str, *keep_digits: str) -> DataFrame:
     events = auth_events(spark, sf_dir)
-    message = auth_message(events.columns)
-    return events.withColumn("message", message).withColumn(
-        "signature", signature(message, keep_digit_tokens=keep_digits)
-    )
+    return materialize(with_auth_signature(events, keep_digit_tokens=keep_digits))
 
 
 def _templates(messages: DataFrame) -> DataFrame:
@@ -110,11 +114,15 @@ def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored sessions whose event ids are template ids, as the jobs make them."""
-    messages = _messages(spark, sf_dir)
-    events = enrich(messages, _templates(messages)).drop("value", "message", "signature")
-    return materialize(
-        build_sessions(prepare_events(events, WINDOWS, ["line_no"]), WINDOWS)
+    events = auth_events(spark, sf_dir).withColumns(
+        {
+            "day": day_index(F.col("time")),
+            "is_success": is_success(F.col("success")),
+            "line_ord": F.col("line_no"),
+        }
     )
+    staged = stage_events(events, WINDOWS)
+    return materialize(sessions_of(staged, materialize(_templates(staged)), WINDOWS))
 
 
 def _vocabulary(sessions: DataFrame) -> DataFrame:
@@ -254,13 +262,12 @@ def malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select(
-        "doc_id", mask_message(F.col("text"), MASKS).alias("masked")
-    )
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_masked(documents, F.col("text"), "masked", MASKS).drop("text")
 
 
 def template_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mine_signatures(_messages(spark, sf_dir))
+    return mine_signatures(with_auth_signature(auth_events(spark, sf_dir)))
 
 
 def template_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,7 +289,9 @@ def template_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messages(spark, sf_dir).select(
+    events = auth_events(spark, sf_dir)
+    marked = with_auth_signature(events.withColumn("message", auth_message(events.columns)))
+    return marked.select(
         "line_no", _joined(template_params(F.col("message"), F.col("signature"))).alias("params")
     )
 
@@ -294,8 +303,9 @@ def templates_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 def template_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similar signatures merged, on messages in the seven-column form."""
     events = auth_events(spark, sf_dir).drop("dst_user", "auth_orientation")
-    text = signature(auth_message(events.columns), keep_digit_tokens=["logon_type"])
-    return merge_similar(mine_signatures(events.withColumn("signature", text)))
+    return merge_similar(
+        mine_signatures(with_auth_signature(events, keep_digit_tokens=["logon_type"]))
+    )
 
 
 # --- vocabulary and tokens --------------------------------------------------
