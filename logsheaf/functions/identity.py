@@ -14,10 +14,8 @@ from logsheaf.functions.text import strip, truthy
 
 def pseudonym(raw: Column, hex_chars: int = 8) -> Column:
     """The first hex characters of SHA-256; ``UNKNOWN`` for null or blank."""
-    bare = strip(raw.cast("string"))
-    return F.when(
-        bare.isNull() | (bare == ""), F.lit("UNKNOWN")
-    ).otherwise(F.substring(F.sha2(bare, 256), 1, hex_chars))
+    bare = F.nullif(strip(raw.cast("string")), F.lit(""))
+    return F.coalesce(F.substring(F.sha2(bare, 256), 1, hex_chars), F.lit("UNKNOWN"))
 
 
 def first_present(schema: T.StructType, candidates: Sequence[str]) -> Column:

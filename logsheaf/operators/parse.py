@@ -19,11 +19,24 @@ def is_success(text: Column) -> Column:
 
 
 def _with_fields(lines: DataFrame, line: str) -> DataFrame:
-    """Adds the split fields, their number and the parsed time."""
-    fields = F.split(strip(F.col(line)), ",", -1)
-    usable = F.size("_fields").isin(len(AUTH_COLUMNS_9), len(AUTH_COLUMNS_7))
-    return lines.withColumn("_fields", fields).withColumn(
-        "_time", F.when(usable, parse_int(F.get("_fields", F.lit(0))))
+    """Adds nine fields in place of the line, and the parsed time.
+
+    Both are null for a malformed line.
+    """
+    parts = F.col("_parts")
+    short = [
+        F.get(parts, F.lit(AUTH_COLUMNS_7.index(name))) if name in AUTH_COLUMNS_7 else F.lit("UNKNOWN")
+        for name in AUTH_COLUMNS_9
+    ]
+    fields = F.when(F.size(parts) == len(AUTH_COLUMNS_9), parts).when(
+        F.size(parts) == len(AUTH_COLUMNS_7), F.array(*short)
+    )
+    return (
+        lines.withColumn("_parts", F.split(strip(F.col(line)), ",", -1))
+        .withColumn("_fields", fields)
+        .drop("_parts", line)
+        .withColumn("_time", parse_int(F.get("_fields", F.lit(0))))
+        .withColumn("_day", day_index(F.col("_time")))
     )
 
 
@@ -47,26 +60,21 @@ def parse_auth_lines(
     saves a second reading of the text. Observing also keeps the filter above
     the split: pushed below it, the filter would split each line again.
     """
-    wide = F.size("_fields") == len(AUTH_COLUMNS_9)
-    columns = {}
-    for position, name in enumerate(AUTH_COLUMNS_9[1:], start=1):
-        short = (
-            F.get("_fields", F.lit(AUTH_COLUMNS_7.index(name)))
-            if name in AUTH_COLUMNS_7
-            else F.lit("UNKNOWN")
-        )
-        columns[name] = F.when(wide, F.get("_fields", F.lit(position))).otherwise(short)
     rest = [name for name in lines.columns if name != line]
     split = _with_fields(lines, line).observe(observation or Observation(), *_line_counts())
+    named = [
+        F.get("_fields", F.lit(position)).alias(name)
+        for position, name in enumerate(AUTH_COLUMNS_9)
+        if position > 0
+    ]
     return (
         split.where(F.col("_time").isNotNull())
-        .select(F.col("_time").alias("time"), *[c.alias(n) for n, c in columns.items()], *rest)
+        .select(F.col("_time").alias("time"), *named, *rest, F.col("_day").alias("day"))
         .withColumns(
             {
                 "user": F.col("src_user"),
                 "host": F.col("src_computer"),
                 "is_success": is_success(F.col("success")),
-                "day": day_index(F.col("time")),
             }
         )
     )
@@ -83,11 +91,10 @@ def in_days(df: DataFrame, start_day: int, end_day: int) -> DataFrame:
 
 def parse_counters(lines: DataFrame, start_day: int, end_day: int, line: str = "value") -> DataFrame:
     """One row: total, parsed and skipped lines, kept events, days with events."""
-    day = day_index(F.col("_time"))
-    kept = F.coalesce(day.between(start_day, end_day), F.lit(False))
+    kept = F.col("_day").between(start_day, end_day)
     return (
         _with_fields(lines, line)
-        .select("_time", F.when(kept, day).alias("_day"))
+        .select("_time", F.when(kept, F.col("_day")).alias("_day"))
         .agg(
             *_line_counts(),
             F.count("_day").alias("bucketed_events"),

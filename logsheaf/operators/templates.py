@@ -79,32 +79,35 @@ def with_auth_signature(
 ) -> DataFrame:
     """Adds the signature of the authentication message.
 
-    No mask matches, and no token splits, inside short values without a
-    blank, ``.``, ``:`` or ``=``. Such rows, nearly all, need only a look for
-    a digit in each value; the others go through the whole message.
+    No mask matches, and no token splits, inside values without a blank,
+    ``.``, ``:`` or ``=`` that are too short for a hash. Rows of such values,
+    nearly all, need only a look for a digit in each value; the others go
+    through the whole message.
     """
-    values = {
-        field: F.coalesce(F.col(field).cast("string"), F.lit("UNKNOWN"))
+    filled = {
+        f"_{field}": F.coalesce(F.col(field).cast("string"), F.lit("UNKNOWN"))
         if field in df.columns
         else F.lit("UNKNOWN")
         for field in MESSAGE_FIELDS
     }
-    shortest_hash = 32
-    plain = ~F.concat(*values.values()).rlike(r"(?U)[\s.:=]") & (
-        F.greatest(*[F.length(value) for value in values.values()]) < shortest_hash
-    )
-    tokens = []
-    for field, value in values.items():
-        token = F.concat(F.lit(f"{field}="), value)
+    odd = F.concat_ws("|", *filled).rlike(r"(?U)[\s.:=]|[^|]{32}")
+    plain, quick = [], []
+    for field, value in zip(MESSAGE_FIELDS, filled):
+        token = F.concat(F.lit(f"{field}="), F.col(value))
+        plain.append(token)
         if field not in keep_digit_tokens:
-            token = F.when(value.rlike(r"\p{Nd}"), WILDCARD).otherwise(token)
-        tokens.append(token)
-    marked = df.withColumn("_plain", plain)
-    message = F.when(~F.col("_plain"), auth_message(df.columns))
+            token = F.when(F.col(value).rlike(r"\p{Nd}"), WILDCARD).otherwise(token)
+        quick.append(token)
+    marked = (
+        df.withColumns(filled)
+        .withColumn("_odd", odd)
+        .withColumn("_quick", F.when(~F.col("_odd"), F.concat_ws(" ", *quick)))
+    )
+    message = F.when(F.col("_odd"), F.concat_ws(" ", *plain))
     return (
         with_signature(marked, message, name, keep_digit_tokens=keep_digit_tokens)
-        .withColumn(name, F.when(F.col("_plain"), F.concat_ws(" ", *tokens)).otherwise(F.col(name)))
-        .drop("_plain")
+        .withColumn(name, F.coalesce("_quick", name))
+        .drop("_odd", "_quick", *filled)
     )
 
 

@@ -40,11 +40,15 @@ def stage_events(events: DataFrame, config: SessionConfig = SessionConfig()) ->
     Mining, hot-group detection and sessions each read only the columns they
     need from there, and no raw identity is kept.
     """
+    keyed = events.withColumns(
+        {
+            "user_id": user_key(events.schema, config.id_hex_chars),
+            "host_id": host_key(events.schema, config.id_hex_chars),
+        }
+    )
     return materialize(
-        with_auth_signature(events).select(
-            "day",
-            user_key(events.schema, config.id_hex_chars).alias("user_id"),
-            host_key(events.schema, config.id_hex_chars).alias("host_id"),
+        with_auth_signature(keyed).select(
+            *GROUP,
             "time",
             "auth_type",
             "logon_type",

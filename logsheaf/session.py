@@ -17,6 +17,8 @@ DEFAULTS = {
     # Session windows keep at most max_tokens rows each; a threshold above
     # that lets Spark apply the limit on the map side of the shuffle.
     "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
+    # The JVM does not compile methods beyond this size; Spark then splits them.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # collect_list over rows already sorted by its key needs no second sort.
     "spark.sql.execution.replaceHashWithSortAgg": "true",
 }
