@@ -119,9 +119,10 @@ def score_percentiles(
 ) -> dict[str, float]:
     """Exact interpolated percentiles of a score, by name.
 
-    A percentile sketch gives a safe lower bound, in one pass that combines on
-    the map side. Only the distinct scores at or above it, with their counts,
-    are sorted, over all tasks.
+    A percentile sketch gives a lower bound, in one pass that combines on the
+    map side. Only the distinct scores at or above it, with their counts, are
+    sorted, over all tasks. Should the bound lie too high, as it can for a
+    handful of scores, all distinct scores are sorted.
     """
     accuracy = 10_000
     values = scores.select(F.col(score).alias("v")).where(F.col("v").isNotNull())
@@ -129,21 +130,24 @@ def score_percentiles(
     total, bound = values.agg(F.count("*"), F.percentile_approx("v", floor, accuracy)).first()
     if not total:
         raise ValueError("no scores to rank")
-    tail = values.where(F.col("v") >= bound).groupBy("v").agg(F.count("*").alias("n"))
-    # Positions count from the top, so nothing below the bound is needed.
-    ranked = with_position(tail, F.desc("v"), weight="n")
     targets = {name: p / 100 * (total - 1) for name, p in percentiles.items()}
-    ranks = sorted({min(int(t) + step, total - 1) for t in targets.values() for step in (0, 1)})
-    from_top = F.explode(F.array(*[F.lit(total - 1 - r).cast("bigint") for r in ranks]))
-    found = {
-        total - 1 - row["r"]: row["v"]
-        for row in ranked.withColumn("r", from_top)
-        .where((F.col("position") <= F.col("r")) & (F.col("r") < F.col("position") + F.col("n")))
-        .select("r", "v")
-        .collect()
-    }
+    ranks = {min(int(t) + step, total - 1) for t in targets.values() for step in (0, 1)}
+    # Positions count from the top, so nothing below the bound is needed.
+    from_top = F.explode(F.array(*[F.lit(total - 1 - r).cast("bigint") for r in sorted(ranks)]))
+
+    def scores_at_ranks(candidates: DataFrame) -> dict[int, float]:
+        counted = candidates.groupBy("v").agg(F.count("*").alias("n"))
+        position = F.col("position")
+        found = (
+            with_position(counted, F.desc("v"), weight="n")
+            .withColumn("r", from_top)
+            .where((position <= F.col("r")) & (F.col("r") < position + F.col("n")))
+        )
+        return {total - 1 - row["r"]: row["v"] for row in found.select("r", "v").collect()}
+
+    found = scores_at_ranks(values.where(F.col("v") >= bound))
     if len(found) < len(ranks):
-        raise RuntimeError("percentile sketch exceeded its error bound")
+        found = scores_at_ranks(values)
 
     def between(target: float) -> float:
         low, high = found[int(target)], found[min(int(target) + 1, total - 1)]

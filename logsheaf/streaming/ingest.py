@@ -15,8 +15,9 @@ ENVELOPE = ("host", "agent", "ecs", "input", "tags")
 
 DEFAULT_DATASET = "raw_logs"
 
-# (?m) lets ^ and $ match at each line, (?d) makes \n the only line end.
-_BLANK_LINE = r"(?md)^\s*$"
+# (?m) lets ^ and $ match at each line, (?d) makes \n the only line end. Java's
+# ^ then no longer matches in an empty text, hence \A\z.
+_BLANK_LINE = r"(?md)^\s*$|\A\z"
 _PROBE_LINE = "(?md)^(?:" + "|".join(PROBE_LINES) + ")$"
 
 
