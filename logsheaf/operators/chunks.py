@@ -10,7 +10,10 @@ from logsheaf.operators.ranking import with_position
 
 
 def assign_chunks(sequences: DataFrame, chunk_size: int, *order: Column) -> DataFrame:
-    """Adds ``chunk``: consecutive ``chunk_size`` rows under ``order`` share one."""
+    """Adds ``chunk``: consecutive ``chunk_size`` rows under ``order`` share one.
+
+    The rows are sorted and written once, so pass keys rather than sequences.
+    """
     if chunk_size <= 0:
         raise ValueError("chunk_size must be > 0")
     positioned = with_position(sequences, *order, name="_position")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logsheaf import config as C
+from logsheaf.operators.joins import lookup_join
 from logsheaf.operators.ranking import with_position
 
 
@@ -114,6 +115,25 @@ def alert_severity(
     )
 
 
+def with_alert_severity(
+    scored: DataFrame, profiles: DataFrame, entity: str, score: str, technique_id: str
+) -> DataFrame:
+    """Adds ``alert_severity`` from a score, the entity's risk and a technique.
+
+    ``profiles`` is a written RISK_PROFILES table, joined by its checked size:
+    one entity may own a large part of all scores.
+    """
+    risk = profiles.select(F.col("entity_id").alias(entity), F.col("risk_score").alias("_risk"))
+    return (
+        lookup_join(scored, risk, entity)
+        .withColumn(
+            "alert_severity",
+            alert_severity(F.col(score), F.col("_risk"), technique_bonus(F.col(technique_id))),
+        )
+        .drop("_risk")
+    )
+
+
 def score_percentiles(
     scores: DataFrame, score: str, percentiles: Mapping[str, float] = C.ALERT_PERCENTILES
 ) -> dict[str, float]:

@@ -248,16 +248,18 @@ def merge_similar(
             "leaf", F.concat_ws(" ", F.size(tokens), F.slice(tokens, 1, prefix_tokens))
         )
     )
-    small = leaves.groupBy("leaf").count().where(F.col("count") <= max_leaf).select("leaf")
+    sizes = materialize(leaves.groupBy("leaf").agg(F.count("*").alias("size")))
+    sized = lookup_join(leaves, sizes, "leaf")
     merged = (
-        leaves.join(small, "leaf", "left_semi")
+        sized.where(F.col("size") <= max_leaf)
+        .drop("size")
         .groupBy("leaf")
         .applyInPandas(
             _merge_leaf(similarity),
             "signature string, template string, leader string, first_seen long, n_events long",
         )
     )
-    alone = leaves.join(small, "leaf", "left_anti").select(
+    alone = sized.where(F.col("size") > max_leaf).select(
         "signature",
         F.col("signature").alias("template"),
         F.col("signature").alias("leader"),

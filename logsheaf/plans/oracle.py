@@ -136,6 +136,10 @@ ORACLE = {
                     ELSE sha256('UNKNOWN')[1:8] END AS host_id
         FROM events""",
     "session_windows": "SELECT day, user_id, host_id, start_ts, end_ts, n_events FROM sess",
+    "sessions_job": """
+        SELECT session_id, day, start_ts,
+               string_agg(CAST(template_id AS VARCHAR), ',' ORDER BY pos) AS event_ids
+        FROM rows_in GROUP BY ALL""",
     "session_events_last_n": """
         SELECT session_id, day, user_id, host_id, start_ts, start_ts + 86400 AS end_ts,
                string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY pos) AS event_ids,

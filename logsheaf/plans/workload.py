@@ -62,7 +62,7 @@ from logsheaf.operators.vocabulary import (
     vocabulary_stats,
 )
 from logsheaf.plans.sessions import sessions_of, stage_events
-from logsheaf.session import materialize
+from logsheaf.session import discard, materialize, table_exists
 from logsheaf.streaming.ingest import clean
 
 WINDOWS = SessionConfig(window_mins=1440, stride_mins=720)
@@ -112,8 +112,20 @@ def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare_events(auth_events(spark, sf_dir).drop("value"), WINDOWS, ["line_no"])
 
 
-def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored sessions whose event ids are template ids, as the jobs make them."""
+_STORED: dict[tuple[str, ...], DataFrame] = {}
+
+
+def _stored(spark: SparkSession, key: tuple[str, ...], build: Callable[[], DataFrame]) -> DataFrame:
+    """A job's stored output, built by the first query that reads it."""
+    key = (spark.sparkContext.applicationId, *key)
+    table = _STORED.get(key)
+    if table is None or not all(table_exists(spark, f) for f in table.inputFiles()[:1]):
+        table = _STORED[key] = build()
+    return table
+
+
+def _build_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions whose event ids are template ids, as the sessions job makes them."""
     events = auth_events(spark, sf_dir).withColumns(
         {
             "day": day_index(F.col("time")),
@@ -122,18 +134,28 @@ def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
     )
     staged = stage_events(events, WINDOWS)
-    return materialize(sessions_of(staged, materialize(_templates(staged)), WINDOWS))
+    sessions = materialize(sessions_of(staged, _templates(staged), WINDOWS), "day")
+    discard(staged)
+    return sessions
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored(spark, ("sessions", sf_dir), lambda: _build_sessions(spark, sf_dir))
 
 
-def _vocabulary(sessions: DataFrame) -> DataFrame:
+def _vocabulary(sessions: DataFrame, sf_dir: str) -> DataFrame:
     """The stored vocabulary of the train days."""
-    train = in_split(sessions, "train", SPLITS)
-    return materialize(rank_tokens(token_counts(train), TOKENS))
+
+    def build() -> DataFrame:
+        train = in_split(sessions, "train", SPLITS)
+        return materialize(rank_tokens(token_counts(train), TOKENS))
+
+    return _stored(sessions.sparkSession, ("vocabulary", sf_dir), build)
 
 
 def _sequences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     sessions = _sessions(spark, sf_dir)
-    vocabulary = _vocabulary(sessions)
+    vocabulary = _vocabulary(sessions, sf_dir)
     return tokenize(sessions, vocabulary, TOKENS), vocabulary
 
 
@@ -199,6 +221,13 @@ def identity_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sessions ---------------------------------------------------------------
 
 
+def sessions_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions job from events to sessions, built anew."""
+    return _build_sessions(spark, sf_dir).select(
+        "session_id", "day", "start_ts", _joined(F.col("events.event_id")).alias("event_ids")
+    )
+
+
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session bounds and event counts per day, user and host."""
     return session_windows(_prepared(spark, sf_dir), WINDOWS)
@@ -316,11 +345,11 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vocabulary(_sessions(spark, sf_dir))
+    return _vocabulary(_sessions(spark, sf_dir), sf_dir)
 
 
 def vocabulary_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocabulary_stats(_vocabulary(_sessions(spark, sf_dir)))
+    return vocabulary_stats(_vocabulary(_sessions(spark, sf_dir), sf_dir))
 
 
 def distinct_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -330,18 +359,18 @@ def distinct_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     sessions = _sessions(spark, sf_dir)
-    return encode_events(sessions, _vocabulary(sessions))
+    return encode_events(sessions, _vocabulary(sessions, sf_dir))
 
 
 def rate_of_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     sessions = _sessions(spark, sf_dir)
-    return unknown_rate(encode_sessions(sessions, _vocabulary(sessions)))
+    return unknown_rate(encode_sessions(sessions, _vocabulary(sessions, sf_dir)))
 
 
 def split_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validation days under the vocabulary of the train days."""
     sessions = _sessions(spark, sf_dir)
-    encoded = encode_sessions(in_split(sessions, "val", SPLITS), _vocabulary(sessions))
+    encoded = encode_sessions(in_split(sessions, "val", SPLITS), _vocabulary(sessions, sf_dir))
     return encoded.groupBy("day").agg(
         F.count("*").alias("sessions"),
         F.sum("n_events").alias("n_events"),
@@ -368,7 +397,8 @@ def decoded_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [F.col(n) for n in ("day", "user_id", "host_id", "start_ts")]
-    return assign_chunks(_sessions(spark, sf_dir), CHUNK, *order).select("session_id", "chunk")
+    keys = _sessions(spark, sf_dir).select("session_id", *order)
+    return assign_chunks(keys, CHUNK, *order).select("session_id", "chunk")
 
 
 def sequence_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -486,13 +516,10 @@ def risk_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alert_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = _scored(spark, sf_dir)
-    risk = _risk(scored).select(F.col("entity_id").alias("entity"), "risk_score")
-    value = scoring.alert_severity(
-        F.col("score"), F.col("risk_score"), scoring.technique_bonus(F.col("technique_id"))
-    )
-    return scored.join(risk, "entity", "left").select(
-        "event_id", F.round(value, 6).alias("alert_severity")
+    alerts = scoring.with_alert_severity(
+        scored, materialize(_risk(scored)), "entity", "score", "technique_id"
     )
+    return alerts.select("event_id", F.round("alert_severity", 6).alias("alert_severity"))
 
 
 def alert_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -506,6 +533,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pseudonymised_events": pseudonymised_events,
     "identity_fallback": identity_fallback,
     "session_windows": windows,
+    "sessions_job": sessions_job,
     "session_events_last_n": last_events,
     "session_summary": summary,
     "sessions_per_day": sessions_per_day,

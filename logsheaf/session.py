@@ -50,6 +50,11 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/logsheaf/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` once under the shared folder and read it back.
 
@@ -57,7 +62,7 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     above again, and Spark knows the true size when it chooses a join.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/logsheaf/{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -76,8 +81,9 @@ def table_exists(spark: SparkSession, path: str) -> bool:
 def discard(table: DataFrame) -> None:
     """Deletes the files of a table that ``materialize`` wrote."""
     spark = table.sparkSession
-    own = f"{shared_dir(spark)}/logsheaf/"
-    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
-        if own in folder:
-            files, target = _file_system(spark, folder)
+    marker = "/logsheaf/" + spark.sparkContext.applicationId + "/"
+    for file in table.inputFiles()[:1]:
+        if marker in file:
+            root, inner = file.split(marker, 1)
+            files, target = _file_system(spark, root + marker + inner.split("/", 1)[0])
             files.delete(target, True)
