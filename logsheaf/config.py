@@ -190,3 +190,7 @@ class TokenConfig:
             raise ValueError("chunk_size must be > 0")
         if self.token_id_dtype not in TOKEN_ID_SPARK_TYPES:
             raise ValueError(f"token_id_dtype must be one of {sorted(TOKEN_ID_SPARK_TYPES)}")
+
+
+# The declared session length limits of model training.
+TRAINING_SESSIONS = SessionConfig(min_events=3, max_tokens=500)

@@ -58,10 +58,12 @@ def parse_auth_lines(
 
     The ``observation`` receives the line counts while the rows pass, which
     saves a second reading of the text. Observing also keeps the filter above
-    the split: pushed below it, the filter would split each line again.
+    the split: pushed below it, the filter would split each line again. On a
+    stream the counts go to query listeners under the name ``auth_lines``.
     """
     rest = [name for name in lines.columns if name != line]
-    split = _with_fields(lines, line).observe(observation or Observation(), *_line_counts())
+    observer = "auth_lines" if lines.isStreaming else observation or Observation()
+    split = _with_fields(lines, line).observe(observer, *_line_counts())
     named = [
         F.get("_fields", F.lit(position)).alias(name)
         for position, name in enumerate(AUTH_COLUMNS_9)

@@ -145,6 +145,21 @@ ORACLE = {
                string_agg(CAST(line_no AS VARCHAR), ',' ORDER BY pos) AS event_ids,
                string_agg(CAST(time AS VARCHAR), ',' ORDER BY pos) AS times
         FROM rows_in WHERE newest <= 4 GROUP BY ALL""",
+    "session_windows_gaps": """
+        SELECT day, user_id, host_id, start_ts, start_ts + 7200 AS end_ts, count(*) AS n_events
+        FROM (SELECT *, t0 + (d // 10800) * 10800 AS start_ts FROM placed WHERE d % 10800 < 7200)
+        GROUP BY day, user_id, host_id, start_ts""",
+    "split_sessions": """
+        SELECT split, count(day) AS sessions, count(DISTINCT day) AS days
+        FROM (VALUES ('train', 1, 20), ('val', 21, 25), ('test', 26, 30), ('all', 1, 30)) AS s(split, a, b)
+        LEFT JOIN sess ON day BETWEEN a AND b GROUP BY split""",
+    "coerced_events": """
+        SELECT event_id AS "row",
+               CASE event_type WHEN 'view' THEN CAST('10' || event_id AS BIGINT) ELSE event_id END AS time,
+               CASE WHEN event_type = 'view' THEN CAST(event_id AS VARCHAR)
+                    WHEN value < 50 THEN CAST(user_id AS VARCHAR) ELSE 'UNK' END AS event_id,
+               sha256('U' || user_id)[1:8] AS user_id
+        FROM events WHERE event_type IN ('click', 'view', 'signup')""",
     "session_summary": """
         SELECT count(*) AS sessions, count(*) AS non_empty_sessions,
                CAST(sum(n_events) AS BIGINT) AS total_events FROM sess""",
@@ -167,6 +182,13 @@ ORACLE = {
                  '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '<EMAIL>', 'g'),
                  '\b[a-fA-F0-9]{32,64}\b', '<HASH>', 'g') AS masked
         FROM documents""",
+    "template_messages": """
+        SELECT line_no, 'src_user=' || src_user || ' dst_user=UNKNOWN src_computer=' || src_computer
+               || ' dst_computer=' || dst_computer || ' auth_type='
+               || CASE auth_type WHEN 'view' THEN 'UNKNOWN' ELSE auth_type END
+               || ' logon_type=' || logon_type || ' auth_orientation=' || auth_orientation
+               || ' success=' || success AS message
+        FROM auth""",
     "template_signatures": """
         SELECT regexp_replace(message, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS signature,
                min(time) AS first_seen, count(*) AS n_events
@@ -197,6 +219,10 @@ ORACLE = {
     "template_count": "SELECT count(*) AS templates FROM long_sigs",
     "token_counts": 'SELECT token, "count" FROM counts',
     "vocabulary": "SELECT token, token_id FROM vocab",
+    "top_tokens": """
+        SELECT token, CAST(row_number() OVER (ORDER BY "count" DESC, token) + 4 AS INTEGER) AS token_id
+        FROM counts WHERE "count" >= 5 QUALIFY token_id < 50
+        UNION ALL SELECT token, token_id FROM vocab WHERE token_id < 5""",
     "vocabulary_check": """
         SELECT count(*) AS size, max(token_id) AS max_token_id, CAST(0 AS BIGINT) AS missing_specials,
                count(*) - count(DISTINCT token_id) AS repeated_ids,
@@ -230,6 +256,7 @@ ORACLE = {
                count(*) FILTER (WHERE token_id = 4) AS unknown_events, count(*) AS total_events,
                CAST(0 AS BIGINT) AS invalid_rows
         FROM enc""",
+    "sound_days": "SELECT DISTINCT day FROM sess WHERE day <> 7",
     "missing_days": """
         SELECT CAST(day AS INTEGER) AS day FROM range(26, 36) AS r(day)
         WHERE day NOT IN (SELECT day FROM sess)""",
@@ -258,6 +285,8 @@ ORACLE = {
                              quantile_cont(score, 0.97) AS p3 FROM scored)""",
 }
 ORACLE["ingest_json"] = ORACLE["ingest_clean"]
+ORACLE["session_events_hot"] = ORACLE["session_events_last_n"]
+ORACLE["encoded_events_salted"] = ORACLE["encoded_events"]
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from logsheaf.config import SPLIT_DAYS, TokenConfig
 from logsheaf.operators.chunks import is_complete, manifest, pending, valid_days
 from logsheaf.operators.encoding import tokenize
-from logsheaf.operators.quality import require_events, session_summary
+from logsheaf.operators.quality import require_events
 from logsheaf.operators.splits import Ranges, in_split
 from logsheaf.operators.vocabulary import check_vocabulary, rank_tokens, token_counts
 from logsheaf.session import table_exists
@@ -58,17 +58,16 @@ def run_tokens(
     over the whole output.
     """
     sessions = in_split(read_sessions(spark, sessions_path), split, ranges)
-    total = session_summary(sessions).first()
-    if not total["sessions"]:
+    total = sessions.count()
+    if not total:
         raise RuntimeError(f"no sessions in split {split}")
-    if not total["total_events"]:
-        require_events(sessions)
+    require_events(sessions)
 
     resumed = resume and table_exists(spark, sequences_path)
     if resumed and table_exists(spark, vocabulary_in or vocabulary_path):
         stored = read_sequences(spark, sequences_path, config.token_id_dtype)
         report = manifest(in_split(stored, split, ranges), config)
-        if is_complete(report, total["sessions"]):
+        if is_complete(report, total):
             vocabulary = read_vocabulary(spark, vocabulary_in or vocabulary_path)
             return TokensResult(vocabulary, stored, report, True)
 

@@ -20,7 +20,7 @@ from logsheaf.functions.masking import with_masked
 from logsheaf.functions.tokens import session_tokens
 from logsheaf.functions.wire import decode_json, encode_json
 from logsheaf.operators import scoring
-from logsheaf.operators.chunks import assign_chunks, manifest, pending
+from logsheaf.operators.chunks import assign_chunks, manifest, pending, valid_days
 from logsheaf.operators.encoding import (
     decode,
     encode_events,
@@ -66,6 +66,8 @@ from logsheaf.session import discard, materialize, table_exists
 from logsheaf.streaming.ingest import clean
 
 WINDOWS = SessionConfig(window_mins=1440, stride_mins=720)
+GAPS = SessionConfig(window_mins=120, stride_mins=180, min_events=1)
+SOME_HOT = SessionConfig(window_mins=1440, stride_mins=720, max_tokens=4, hot_group_rows=4)
 LAST_FOUR = SessionConfig(window_mins=1440, stride_mins=720, max_tokens=4)
 TOKENS = TokenConfig(max_len=12)
 SPLITS = {"train": (1, 20), "val": (21, 25), "test": (26, 30), "late": (26, 35), "all": (1, 30)}
@@ -234,8 +236,14 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def last_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last four events of each session, in order."""
+    return _last_events(spark, sf_dir, LAST_FOUR)
+
+
+def _last_events(spark: SparkSession, sf_dir: str, config: SessionConfig) -> DataFrame:
     events = auth_events(spark, sf_dir).withColumn("event_id", F.col("line_no").cast("string"))
-    return build_sessions(prepare_events(events.drop("value"), LAST_FOUR, ["line_no"]), LAST_FOUR).select(
+    prepared = prepare_events(events.drop("value"), config, ["line_no"])
+    return build_sessions(prepared, config).select(
         "session_id",
         "day",
         "user_id",
@@ -259,6 +267,47 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_quality(_sessions(spark, sf_dir))
 
 
+def windows_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stride beyond the window size leaves events outside all windows."""
+    return session_windows(_prepared(spark, sf_dir), GAPS)
+
+
+def hot_last_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``last_events`` with every group of four or more events taken as large."""
+    return _last_events(spark, sf_dir, SOME_HOT)
+
+
+def split_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions and days of each split."""
+    sessions = _sessions(spark, sf_dir)
+    found = None
+    for split in ("train", "val", "test", "all"):
+        part = in_split(sessions, split, SPLITS).agg(
+            F.lit(split).alias("split"),
+            F.count("*").alias("sessions"),
+            F.count_distinct("day").alias("days"),
+        )
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def coerced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times as text of many forms, and event ids to fill, by event type."""
+    kind, text = F.col("event_type"), F.col("event_id").cast("string")
+    raw = _table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("row"),
+        F.concat(F.lit("U"), F.col("user_id")).alias("username"),
+        F.when(kind == "click", F.concat(F.lit(" +"), text, F.lit("\t")))
+        .when(kind == "error", F.concat(text, F.lit(".5")))
+        .when(kind == "view", F.concat(F.lit("1_0"), text))
+        .alias("time"),
+        F.when(kind == "signup", text).when(kind == "error", F.lit("late")).alias("timestamp"),
+        F.when(kind == "click", "").when(kind == "view", text).alias("event_id"),
+        F.when(F.col("value") < 50, F.col("user_id").cast("int")).alias("template_id"),
+    )
+    return prepare_events(raw, WINDOWS).select("event.row", "event.time", "event.event_id", "user_id")
+
+
 EVENT_K = T.StructType([T.StructField("k", T.LongType())])
 
 
@@ -295,6 +344,13 @@ def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_masked(documents, F.col("text"), "masked", MASKS).drop("text")
 
 
+def template_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of events without target user and with some null types."""
+    events = auth_events(spark, sf_dir).drop("dst_user")
+    some = events.withColumn("auth_type", F.nullif(F.col("auth_type"), F.lit("view")))
+    return some.select("line_no", auth_message(some.columns).alias("message"))
+
+
 def template_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_signatures(with_auth_signature(auth_events(spark, sf_dir)))
 
@@ -348,6 +404,11 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vocabulary(_sessions(spark, sf_dir), sf_dir)
 
 
+def top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 50 ids of the vocabulary over all days."""
+    return rank_tokens(token_counts(_sessions(spark, sf_dir)), TOKENS, size=50)
+
+
 def vocabulary_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary_stats(_vocabulary(_sessions(spark, sf_dir), sf_dir))
 
@@ -362,6 +423,12 @@ def encoded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_events(sessions, _vocabulary(sessions, sf_dir))
 
 
+def encoded_events_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``encoded_events`` by the join for vocabularies too large to broadcast."""
+    sessions = _sessions(spark, sf_dir)
+    return encode_events(sessions, _vocabulary(sessions, sf_dir), max_bytes=0)
+
+
 def rate_of_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     sessions = _sessions(spark, sf_dir)
     return unknown_rate(encode_sessions(sessions, _vocabulary(sessions, sf_dir)))
@@ -406,6 +473,13 @@ def sequence_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(stored, TOKENS).drop("chunk_count")
 
 
+def sound_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days whose sequences are all sound, where those of day 7 lost a mask."""
+    sequences = _sequences(spark, sf_dir)[0]
+    mask = F.when(F.col("day") != 7, F.col("attention_mask"))
+    return valid_days(sequences.withColumn("attention_mask", mask), TOKENS.max_len)
+
+
 def absent_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing_days(_sessions(spark, sf_dir), "late", SPLITS)
 
@@ -534,13 +608,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "identity_fallback": identity_fallback,
     "session_windows": windows,
     "sessions_job": sessions_job,
+    "session_windows_gaps": windows_with_gaps,
     "session_events_last_n": last_events,
+    "session_events_hot": hot_last_events,
+    "split_sessions": split_sessions,
+    "coerced_events": coerced_events,
     "session_summary": summary,
     "sessions_per_day": sessions_per_day,
     "token_quality": quality,
     "coerced_sessions": coerced_sessions,
     "malformed_counters": malformed,
     "masked_documents": masked_documents,
+    "template_messages": template_messages,
     "template_signatures": template_signatures,
     "template_ids": template_ids,
     "template_reuse": template_reuse,
@@ -550,9 +629,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "template_drain": template_drain,
     "token_counts": counts,
     "vocabulary": vocabulary,
+    "top_tokens": top_tokens,
     "vocabulary_check": vocabulary_check,
     "distinct_tokens": distinct_tokens,
     "encoded_events": encoded_events,
+    "encoded_events_salted": encoded_events_salted,
     "unknown_rate": rate_of_unknown,
     "split_reuse": split_reuse,
     "token_sequences": token_sequences,
@@ -560,6 +641,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "decoded_sequences": decoded_sequences,
     "chunk_assignment": chunk_assignment,
     "sequence_manifest": sequence_manifest,
+    "sound_days": sound_days,
     "missing_days": absent_days,
     "resume_antijoin": resume_antijoin,
     "masked_examples": masked_examples,

@@ -19,6 +19,8 @@ DEFAULTS = {
     "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
     # The JVM does not compile methods beyond this size; Spark then splits them.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Groups that collect_list holds in memory before it sorts instead.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "1024",
     # collect_list over rows already sorted by its key needs no second sort.
     "spark.sql.execution.replaceHashWithSortAgg": "true",
 }

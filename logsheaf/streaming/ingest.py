@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from logsheaf.functions.wire import encode_json
+from logsheaf.sources.kafka import DEFAULT_TOPIC, read_topic, write_topic
 
 # Lines of health probes, and envelope columns of the shipper.
 PROBE_LINES = ("GET /health", "GET /ready", "POST /metrics")
@@ -66,6 +67,25 @@ def run_to_files(events: DataFrame, path: str, checkpoint: str, fmt: str = "parq
     )
 
 
+def ingest_to_topic(
+    events: DataFrame, servers: str, checkpoint: str, topic: str = DEFAULT_TOPIC
+) -> StreamingQuery:
+    """Cleans a stream of raw log events and writes it to a topic."""
+    return write_topic(clean(events), servers, checkpoint, topic)
+
+
+def consume_topic(
+    spark: SparkSession,
+    servers: str,
+    schema: T.StructType,
+    path: str,
+    checkpoint: str,
+    topic: str = DEFAULT_TOPIC,
+) -> StreamingQuery:
+    """Passes the events of a topic on, unchanged, into files."""
+    return run_to_files(read_topic(spark, servers, schema, topic), path, checkpoint)
+
+
 def run_as_json(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Like ``run_to_files``, with one JSON text per event, as on the wire."""
     return run_to_files(encode_json(events), path, checkpoint, "text")
