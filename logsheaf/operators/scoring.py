@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -153,17 +155,24 @@ def score_percentiles(
     targets = {name: p / 100 * (total - 1) for name, p in percentiles.items()}
     ranks = {min(int(t) + step, total - 1) for t in targets.values() for step in (0, 1)}
     # Positions count from the top, so nothing below the bound is needed.
-    from_top = F.explode(F.array(*[F.lit(total - 1 - r).cast("bigint") for r in sorted(ranks)]))
+    from_top = [total - 1 - rank for rank in sorted(ranks)]
 
     def scores_at_ranks(candidates: DataFrame) -> dict[int, float]:
         counted = candidates.groupBy("v").agg(F.count("*").alias("n"))
-        position = F.col("position")
-        found = (
+        first, end = F.col("position"), F.col("position") + F.col("n")
+        holds = [(first <= rank) & (end > rank) for rank in from_top]
+        rows = (
             with_position(counted, F.desc("v"), weight="n")
-            .withColumn("r", from_top)
-            .where((position <= F.col("r")) & (F.col("r") < position + F.col("n")))
+            .where(reduce(or_, holds))
+            .select("v", first, end.alias("end"))
+            .collect()
         )
-        return {total - 1 - row["r"]: row["v"] for row in found.select("r", "v").collect()}
+        return {
+            total - 1 - rank: row["v"]
+            for row in rows
+            for rank in from_top
+            if row["position"] <= rank < row["end"]
+        }
 
     found = scores_at_ranks(values.where(F.col("v") >= bound))
     if len(found) < len(ranks):

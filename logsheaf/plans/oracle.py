@@ -177,10 +177,12 @@ ORACLE = {
         SELECT count(*) FILTER (WHERE event_type = 'error') AS invalid_event_containers,
                3 * count(*) FILTER (WHERE event_type = 'click') AS dropped_events FROM events""",
     "masked_documents": r"""
-        SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text,
+        SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
                  '\b(?:\d{1,3}\.){3}\d{1,3}\b', '<IP>', 'g'),
                  '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '<EMAIL>', 'g'),
-                 '\b[a-fA-F0-9]{32,64}\b', '<HASH>', 'g') AS masked
+                 '\b[a-fA-F0-9]{32,64}\b', '<HASH>', 'g'),
+                 '\b(?:19|20)\d{2}[-/]\d{2}[-/]\d{2}[ T]\d{2}:\d{2}:\d{2}\b', '<TIMESTAMP>', 'g'),
+                 '\buser=\w+\b', '<USER>', 'g') AS masked
         FROM documents""",
     "template_messages": """
         SELECT line_no, 'src_user=' || src_user || ' dst_user=UNKNOWN src_computer=' || src_computer

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logsheaf.config import MESSAGE_MASKS, SessionConfig, TokenConfig
+from logsheaf.config import SessionConfig, TokenConfig
 from logsheaf.functions.identity import host_key, user_key
 from logsheaf.functions.masking import with_masked
 from logsheaf.functions.tokens import session_tokens
@@ -73,7 +73,6 @@ TOKENS = TokenConfig(max_len=12)
 SPLITS = {"train": (1, 20), "val": (21, 25), "test": (26, 30), "late": (26, 35), "all": (1, 30)}
 START_DAY, END_DAY = 3, 20
 CHUNK = 100
-MASKS = [mask for mask in MESSAGE_MASKS if mask[0] in ("IP", "EMAIL", "HASH")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -341,7 +340,7 @@ def malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def masked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return with_masked(documents, F.col("text"), "masked", MASKS).drop("text")
+    return with_masked(documents, F.col("text")).drop("text")
 
 
 def template_messages(spark: SparkSession, sf_dir: str) -> DataFrame:

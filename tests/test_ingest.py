@@ -3,6 +3,7 @@ import json
 from pyspark.sql import types as T
 
 from logsheaf.functions.wire import encode_json
+from logsheaf.operators.parse import parse_auth_lines
 from logsheaf.sources.kafka import decode_values, kafka_options
 from logsheaf.streaming.ingest import clean, drop_blank, run_as_json, run_to_files
 
@@ -80,3 +81,12 @@ def test_kafka_options():
         "subscribe": "raw-logs",
         "startingOffsets": "earliest",
     }
+
+
+def test_stream_of_auth_lines(spark, tmp_path):
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    lines = ["1,U1,U2,C1,C2,K,N,LogOn,Success", "2,U1,C1,C2,K,N,Fail", "bad"]
+    spark.createDataFrame([(v,) for v in lines], "value string").write.text(source)
+    events = parse_auth_lines(spark.readStream.text(source))
+    run_to_files(events, out, state).awaitTermination()
+    assert sorted((r["time"], r["is_success"]) for r in spark.read.parquet(out).collect()) == [(1, True), (2, False)]

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import types as T
 
+from logsheaf.config import TRAINING_SESSIONS, TRAINING_SPLIT_DAYS
 from logsheaf.operators.quality import (
     coerce_events,
     malformed_counters,
@@ -75,3 +76,10 @@ def test_day_from_path(spark):
     assert df.select(day_from_path(F.col("p"))).first()[0] == 7
     with pytest.raises(Exception, match="no day"):
         spark.createDataFrame([("x.parquet",)], "p string").select(day_from_path(F.col("p"))).collect()
+
+
+def test_declared_training_settings(spark):
+    df = sessions(spark, *[(d, []) for d in (50, 51, 55, 56, 58)])
+    days = {n: sorted(r["day"] for r in in_split(df, n, TRAINING_SPLIT_DAYS).collect()) for n in TRAINING_SPLIT_DAYS}
+    assert days == {"pretrain": [50], "finetune": [51, 55], "test": [56, 58]}
+    assert (TRAINING_SESSIONS.min_events, TRAINING_SESSIONS.max_tokens) == (3, 500)
