@@ -27,12 +27,26 @@ def event_token(event: Column, event_type: T.StructType) -> Column:
     return F.concat(parts[0], F.lit("_"), parts[1], F.lit("_"), parts[2])
 
 
-def session_tokens(sessions_schema: T.StructType, column: str = "events") -> Column:
+def token_event_type(schema: T.StructType, column: str = "events") -> T.StructType:
+    """The fields of the nested events that tokens need, at least one field."""
+    fields = schema[column].dataType.elementType.fields
+    return T.StructType([f for f in fields if f.name in TOKEN_FIELDS] or fields[:1])
+
+
+def token_events(schema: T.StructType, column: str = "events") -> Column:
+    """The events reduced to ``token_event_type``; empty for null events.
+
+    Zipping single fields lets the scan skip all others of the nested struct.
+    """
+    names = token_event_type(schema, column).fieldNames()
+    return F.coalesce(F.arrays_zip(*[F.col(f"{column}.{name}") for name in names]), F.array())
+
+
+def session_tokens(schema: T.StructType, column: str = "events") -> Column:
     """The tokens of a session's events, in order; empty for null events."""
-    event_type = sessions_schema[column].dataType.elementType
-    return F.coalesce(
-        F.transform(F.col(column), lambda event: event_token(event, event_type)),
-        F.array().cast("array<string>"),
+    event_type = token_event_type(schema, column)
+    return F.transform(
+        token_events(schema, column), lambda event: event_token(event, event_type)
     )
 
 

@@ -7,20 +7,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logsheaf.config import SPECIAL_TOKENS
-from logsheaf.functions.tokens import event_token, is_placeholder
+from logsheaf.functions.tokens import (
+    event_token,
+    is_placeholder,
+    token_event_type,
+    token_events,
+)
 
 
-def _n_events() -> Column:
-    return F.greatest(F.size(F.coalesce("events", F.array())), F.lit(0))
+def _n_events(sessions: DataFrame) -> Column:
+    """Events per session, from one nested field, so that no other is read."""
+    name = sessions.schema["events"].dataType.elementType.fieldNames()[0]
+    return F.coalesce(F.greatest(F.size(F.col(f"events.{name}")), F.lit(0)), F.lit(0))
 
 
 def coerce_events(sessions: DataFrame, event_type: T.StructType, column: str = "events") -> DataFrame:
-    """Reads events that arrive as JSON text of any shape.
+    """Reads events that arrive as JSON text of any shape, or as typed lists.
 
     Null gives an empty list. Text that is not a list gives an empty list and
     counts in ``invalid_event_containers``; list elements that are no objects
-    are left out and count in ``dropped_events``.
+    are left out and count in ``dropped_events``. In typed lists only null
+    elements can be malformed.
     """
+    if isinstance(sessions.schema[column].dataType, T.ArrayType):
+        kept = F.filter(column, lambda event: event.isNotNull())
+        lost = F.coalesce(F.size(column) - F.size(kept), F.lit(0))
+        return sessions.withColumns(
+            {
+                "invalid_event_containers": F.lit(0),
+                "dropped_events": lost,
+                column: F.coalesce(kept, F.array()),
+            }
+        )
     array = F.array().cast(T.ArrayType(event_type))
     ddl = event_type.simpleString()
     raw, value, items, kept = F.col(column), F.col("_value"), F.col("_items"), F.col("_kept")
@@ -60,8 +78,8 @@ def session_summary(sessions: DataFrame) -> DataFrame:
     """One row: sessions, sessions with events, events over all sessions."""
     return sessions.agg(
         F.count("*").alias("sessions"),
-        F.count_if(_n_events() > 0).alias("non_empty_sessions"),
-        F.coalesce(F.sum(_n_events()), F.lit(0)).alias("total_events"),
+        F.count_if(_n_events(sessions) > 0).alias("non_empty_sessions"),
+        F.coalesce(F.sum(_n_events(sessions)), F.lit(0)).alias("total_events"),
     )
 
 
@@ -71,11 +89,11 @@ def rows_per_day(df: DataFrame, name: str = "rows") -> DataFrame:
 
 def token_quality(sessions: DataFrame, approximate: bool = False) -> DataFrame:
     """One row: events, placeholder event ids, distinct tokens."""
-    event_type = sessions.schema["events"].dataType.elementType
+    event_type = token_event_type(sessions.schema)
     has_id = "event_id" in event_type.fieldNames()
     distinct = F.approx_count_distinct if approximate else F.count_distinct
     event = F.col("event")
-    return sessions.select(F.explode("events").alias("event")).select(
+    return sessions.select(F.explode(token_events(sessions.schema)).alias("event")).select(
         (is_placeholder(event["event_id"]) if has_id else F.lit(True)).alias("placeholder"),
         event_token(event, event_type).alias("token"),
     ).agg(
@@ -105,5 +123,5 @@ def token_warnings(quality: DataFrame, vocabulary_size: int, min_distinct: int =
 
 def require_events(sessions: DataFrame) -> None:
     """Raises when no session holds an event."""
-    if sessions.where(_n_events() > 0).isEmpty():
+    if sessions.where(_n_events(sessions) > 0).isEmpty():
         raise RuntimeError("every session has 0 events")

@@ -10,6 +10,7 @@ from logsheaf.operators.quality import (
     token_quality,
     token_warnings,
 )
+from logsheaf.operators.vocabulary import token_counts
 from logsheaf.operators.splits import day_from_path, in_split, missing_days, split_days
 from pyspark.sql import functions as F
 
@@ -83,3 +84,22 @@ def test_declared_training_settings(spark):
     days = {n: sorted(r["day"] for r in in_split(df, n, TRAINING_SPLIT_DAYS).collect()) for n in TRAINING_SPLIT_DAYS}
     assert days == {"pretrain": [50], "finetune": [51, 55], "test": [56, 58]}
     assert (TRAINING_SESSIONS.min_events, TRAINING_SESSIONS.max_tokens) == (3, 500)
+
+
+def test_null_elements_of_typed_lists(spark):
+    df = coerce_events(sessions(spark, (1, [("A", "K", "N"), None]), (1, None)).coalesce(1), EVENT)
+    assert [(len(r["events"]), r["dropped_events"]) for r in df.collect()] == [(1, 1), (0, 0)]
+
+
+def test_only_token_fields_are_read(spark, tmp_path):
+    rows = [(1, [(5, "A", "K", "N", True)])]
+    ddl = "day int, events array<struct<time:bigint,event_id:string,auth_type:string,logon_type:string,ok:boolean>>"
+    spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / "s"))
+    stored = spark.read.parquet(str(tmp_path / "s"))
+
+    def read(df):
+        return df._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ")[1].split("\n")[0]
+
+    for df in (token_quality(stored), token_counts(stored)):
+        assert "event_id" in read(df) and "time" not in read(df) and "ok" not in read(df)
+    assert "event_id" not in read(session_summary(stored))
