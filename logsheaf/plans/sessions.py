@@ -21,6 +21,7 @@ from logsheaf.operators.templates import (
 from logsheaf.schemas import SESSION_EVENT, TEMPLATE
 from logsheaf.session import discard, materialize, table_exists
 from logsheaf.sources.logs import read_log_lines
+from logsheaf.sources.metrics import write_metrics
 from logsheaf.sources.sessions import read_sessions, write_sessions
 
 
@@ -81,8 +82,12 @@ def run_sessions(
     start_day: int = 1,
     end_day: int = 58,
     config: SessionConfig = SessionConfig(),
+    metrics_path: str | None = None,
 ) -> SessionsResult:
-    """Builds the sessions of a day range and extends the stored templates."""
+    """Builds the sessions of a day range and extends the stored templates.
+
+    The counters of the run are also appended to the table at ``metrics_path``.
+    """
     counts = Observation()
     events = parse_auth_lines(read_log_lines(spark, *inputs), observation=counts)
     staged = stage_events(in_days(events, start_day, end_day), config)
@@ -109,4 +114,6 @@ def run_sessions(
         F.coalesce(F.sum("sessions"), F.lit(0)).alias("written_sessions"),
     ).first()
     discard(staged)
-    return SessionsResult(stored, templates, {**counts.get, **totals.asDict()}, per_day)
+    counters = {**counts.get, **totals.asDict()}
+    write_metrics(spark, metrics_path, "sessions", "complete", counters)
+    return SessionsResult(stored, templates, counters, per_day)

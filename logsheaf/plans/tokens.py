@@ -13,7 +13,8 @@ from logsheaf.operators.encoding import tokenize
 from logsheaf.operators.quality import require_events
 from logsheaf.operators.splits import Ranges, in_split
 from logsheaf.operators.vocabulary import check_vocabulary, rank_tokens, token_counts
-from logsheaf.session import table_exists
+from logsheaf.session import materialize, table_exists
+from logsheaf.sources.metrics import write_metrics
 from logsheaf.sources.sequences import read_sequences, write_sequences
 from logsheaf.sources.sessions import read_sessions
 from logsheaf.sources.vocabulary import read_vocabulary, write_vocabulary
@@ -50,24 +51,32 @@ def run_tokens(
     reuse_vocabulary: bool = False,
     resume: bool = False,
     ranges: Ranges = SPLIT_DAYS,
+    metrics_path: str | None = None,
 ) -> TokensResult:
     """Encodes one split, with a new vocabulary or that of another split.
 
     A resumed run keeps the days whose stored sequences are all valid, adds
     the sessions they lack, and writes every other day anew. All counts are
-    over the whole output.
+    over the whole output. Start, skip, resume and completion append their
+    counters to the table at ``metrics_path``.
     """
+
+    def record(event: str, values: dict[str, int]) -> None:
+        write_metrics(spark, metrics_path, f"tokens {split}", event, values)
+
     sessions = in_split(read_sessions(spark, sessions_path), split, ranges)
     total = sessions.count()
     if not total:
         raise RuntimeError(f"no sessions in split {split}")
     require_events(sessions)
+    record("start", {"session_count": total})
 
     resumed = resume and table_exists(spark, sequences_path)
     if resumed and table_exists(spark, vocabulary_in or vocabulary_path):
         stored = read_sequences(spark, sequences_path, config.token_id_dtype)
         report = manifest(in_split(stored, split, ranges), config)
         if is_complete(report, total):
+            record("skip_complete", {"session_count": total})
             vocabulary = read_vocabulary(spark, vocabulary_in or vocabulary_path)
             return TokensResult(vocabulary, stored, report, True)
 
@@ -81,11 +90,13 @@ def run_tokens(
         stored = read_sequences(spark, sequences_path, config.token_id_dtype)
         sound = [row["day"] for row in valid_days(stored, config.max_len).collect()]
         in_sound = F.col("day").isin(sound)
+        record("resume", {"session_count": total, "sound_days": len(sound)})
         missing = pending(sessions.where(in_sound), stored.where(in_sound))
         write_sequences(tokenize(missing, vocabulary, config), sequences_path, config, "append")
         sessions = sessions.where(~in_sound)
     write_sequences(tokenize(sessions, vocabulary, config), sequences_path, config, "overwrite")
 
     stored = read_sequences(spark, sequences_path, config.token_id_dtype)
-    report = manifest(in_split(stored, split, ranges), config)
+    report = materialize(manifest(in_split(stored, split, ranges), config))
+    record("complete", report.first().asDict())
     return TokensResult(vocabulary, stored, report, False)

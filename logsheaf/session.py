@@ -26,12 +26,36 @@ DEFAULTS = {
 }
 
 
-def build_session(app_name: str = "logsheaf", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with this library's defaults; ``conf`` overrides them."""
+SHUFFLE_PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def shuffle_partitions(input_bytes: int) -> int:
+    """Shuffle partitions that keep each near 128 MiB; adaptive execution merges small ones.
+
+    Events shuffle in about the size of their text, and 200 is Spark's own
+    default for small inputs.
+    """
+    return min(max(200, -(-input_bytes // SHUFFLE_PARTITION_BYTES)), 200_000)
+
+
+def build_session(
+    app_name: str = "logsheaf",
+    master: str | None = None,
+    input_bytes: int | None = None,
+    **conf: str,
+) -> SparkSession:
+    """A session with this library's defaults; ``conf`` overrides them.
+
+    ``input_bytes``, the size of the logs to process, sets the number of
+    shuffle partitions.
+    """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **conf}.items():
+    sized = {}
+    if input_bytes is not None:
+        sized["spark.sql.shuffle.partitions"] = str(shuffle_partitions(input_bytes))
+    for key, value in {**DEFAULTS, **sized, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -9,7 +9,8 @@ from logsheaf import SessionConfig, TokenConfig
 from logsheaf.operators.chunks import chunk_report, valid_days
 from logsheaf.plans.sessions import run_sessions
 from logsheaf.plans.tokens import run_tokens
-from logsheaf.session import table_exists
+from logsheaf.session import shared_dir, shuffle_partitions, table_exists
+from logsheaf.sources.metrics import read_metrics
 from logsheaf.sources.sequences import read_sequences, write_sequences, write_single
 from logsheaf.sources.sessions import read_session_shards, read_sessions, shard_counts, write_sessions
 from logsheaf.sources.vocabulary import export_vocabulary_json, read_vocabulary_json, write_vocabulary
@@ -36,9 +37,10 @@ def built(spark, tmp_path_factory):
     root = tmp_path_factory.mktemp("jobs")
     (root / "auth.txt").write_text("\n".join(log_lines((1, 2, 3))) + "\n")
     paths = {name: str(root / name) for name in ("sessions", "templates", "vocabulary", "sequences")}
+    paths["metrics"] = str(root / "metrics")
     result = run_sessions(
         spark, [str(root / "auth.txt")], paths["sessions"], paths["templates"], 1, 3,
-        SessionConfig(window_mins=120, stride_mins=60),
+        SessionConfig(window_mins=120, stride_mins=60), paths["metrics"],
     )
     return root, paths, result
 
@@ -80,6 +82,39 @@ def test_sessions_job(spark, built):
     assert all(len(found) == 1 for found in kinds.values())
 
 
+def test_large_groups_give_the_same_sessions(spark, built, tmp_path):
+    root, _, result = built
+    config = SessionConfig(window_mins=120, stride_mins=60, hot_group_rows=70)
+    again = run_sessions(spark, [str(root / "auth.txt")], str(tmp_path / "s"), str(tmp_path / "t"), 1, 3, config)
+    assert sorted(map(str, again.sessions.collect())) == sorted(map(str, result.sessions.collect()))
+
+
+def test_staged_events_are_removed(spark, built):
+    _, _, result = built
+    folder = f"{shared_dir(spark)}/logsheaf/{spark.sparkContext.applicationId}".removeprefix("file:")
+    kept = [spark.read.parquet(f"{folder}/{name}").columns for name in os.listdir(folder)]
+    assert kept and not any("line_ord" in columns for columns in kept)
+
+
+def test_metrics(spark, built, tmp_path):
+    _, paths, result = built
+    stored = {r["name"]: r["value"] for r in read_metrics(spark, paths["metrics"]).collect()}
+    assert stored == result.counters
+    config, where = TokenConfig(min_freq=1, max_len=8), str(tmp_path / "m")
+    for resume in (False, True):
+        run_tokens(
+            spark, paths["sessions"], str(tmp_path / "v"), str(tmp_path / "s"), "val", config,
+            resume=resume, ranges=RANGES, metrics_path=where,
+        )
+    events = [r["event"] for r in read_metrics(spark, where).select("at", "event").distinct().orderBy("at").collect()]
+    assert events == ["start", "complete", "start", "skip_complete"]
+
+
+def test_shuffle_partitions():
+    assert shuffle_partitions(0) == 200 and shuffle_partitions(100 * 1024**4) == 200_000
+    assert shuffle_partitions(1024**4) == 8192
+
+
 def test_rerun_of_a_day_keeps_other_days_and_ids(spark, built, tmp_path):
     root, paths, result = built
     before = sorted(map(str, result.sessions.where("day <> 2").collect()))
