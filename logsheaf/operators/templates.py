@@ -90,7 +90,7 @@ def with_auth_signature(
         else F.lit("UNKNOWN")
         for field in MESSAGE_FIELDS
     }
-    odd = F.concat_ws("|", *filled).rlike(r"(?U)[\s.:=]|[^|]{32}")
+    odd = F.concat_ws("|", *filled).rlike(r"(?U)[\s.:=]|(?:^|\|)[^|]{32}")
     plain, quick = [], []
     for field, value in zip(MESSAGE_FIELDS, filled):
         token = F.concat(F.lit(f"{field}="), F.col(value))
