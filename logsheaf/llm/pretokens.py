@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -133,6 +134,18 @@ def encoder(path: str) -> PieceEncoder:
     return _ENCODERS[path]
 
 
+def by_size(
+    batches: Iterable[pa.RecordBatch], column: str, size: int = 8 << 20
+) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of text, one row at least."""
+    for batch in batches:
+        bytes_of = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+        group = np.cumsum(bytes_of.astype("int64")) // size
+        ends = [*(np.nonzero(np.diff(group))[0] + 1).tolist(), batch.num_rows]
+        for start, end in zip([0, *ends], ends):
+            yield batch.slice(start, end - start)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Texts with null read as empty."""
     return pc.fill_null(column, "").to_pylist()
