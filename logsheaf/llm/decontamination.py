@@ -74,13 +74,14 @@ def windows(form: Column, size: int) -> Column:
 
 
 def both_windows(text: Column, size: int) -> Column:
-    """Windows of a text as a template, then as many with names left as they are.
+    """Two windows at each position of a text, as a template and with names left as they are.
 
     The second finds passages whose case was changed.
     """
 
     def of_forms(words: Column, plain: Column) -> Column:
-        return F.concat(windows(template_forms(words, plain), size), windows(plain, size))
+        templates = windows(template_forms(words, plain), size)
+        return F.flatten(F.zip_with(templates, windows(plain, size), lambda a, b: F.array(a, b)))
 
     return _bound(
         tokens(text), lambda words: _bound(plain_forms(words), lambda plain: of_forms(words, plain))
@@ -150,14 +151,12 @@ def contaminated(
         indexed = materialize(_item_windows(items, size))
         if indexed.count() <= BROADCAST_WINDOWS:
             indexed = F.broadcast(indexed)
-        hashed = narrow.select("doc_id", both_windows(F.col("text"), size).alias("hashes"))
-        places = hashed.select(
-            "doc_id",
-            (F.size("hashes") / 2).cast("int").alias("n"),
-            F.posexplode("hashes").alias("at", "window"),
+        # Without "outer", Spark would compute all windows again in a filter before the explode.
+        places = narrow.select(
+            "doc_id", F.posexplode_outer(both_windows(F.col("text"), size)).alias("at", "window")
         )
         found = places.join(indexed, "window").select(
-            "doc_id", "item_id", (F.col("at") % F.col("n")).alias("pos"), "item_pos", F.lit(size).alias("size")
+            "doc_id", "item_id", F.shiftright("at", 1).alias("pos"), "item_pos", F.lit(size).alias("size")
         )
         hits = found if hits is None else hits.unionByName(found)
     aligned = materialize(

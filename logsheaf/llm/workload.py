@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from logsheaf.llm import chat, language, oracle, secret_scan, toxicity, url_filter
 from logsheaf.llm.decontamination import contaminated
+from logsheaf.llm.jaccard_join import near_duplicates
 from logsheaf.llm.language import held_out
 from logsheaf.llm.lz_fingerprints import compare_with_edits
 from logsheaf.llm.packing import pack
@@ -77,6 +78,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 # The rules of the filter, each a host and the start of a path.
 URL_RULES = {
     "net/": "block",
@@ -133,6 +138,7 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_secret_scan": op3_secret_scan,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_url_filter": op6_url_filter,
     "op7_lz_fingerprints": op7_lz_fingerprints,
     "op8_language_id": op8_language_id,
@@ -143,4 +149,5 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op3_secret_scan": oracle.SECRETS,
     "op4_chat_formatting": oracle.CHAT,
+    "op5_ngram_jaccard_join": oracle.NEAR_DUPLICATES,
 }
