@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logsheaf.llm.tables import small
 from logsheaf.session import materialize
 
 WINDOW = 8
 LEAST_WINDOW = 5
 LEAST_TOKENS = 13
 LEAST_SHARE = 0.5
-BROADCAST_WINDOWS = 1_000_000
 
 # A token is a run of letters and digits; numbers keep their inner marks.
 TOKEN = r"[\p{L}\p{N}]+(?:[.,]\p{N}+)*"
@@ -148,9 +148,7 @@ def contaminated(
     words = narrow.select("doc_id", tokens(F.col("text")).alias("words"))
     hits = None
     for size in sizes or [WINDOW]:
-        indexed = materialize(_item_windows(items, size))
-        if indexed.count() <= BROADCAST_WINDOWS:
-            indexed = F.broadcast(indexed)
+        indexed = small(materialize(_item_windows(items, size)))
         # Without "outer", Spark would compute all windows again in a filter before the explode.
         places = narrow.select(
             "doc_id", F.posexplode_outer(both_windows(F.col("text"), size)).alias("at", "window")
@@ -164,7 +162,7 @@ def contaminated(
             F.sort_array(F.collect_set("item_pos")).alias("starts")
         )
     )
-    matched = aligned.select(F.col("doc_id").alias("matched_id")).distinct()
+    matched = small(materialize(aligned.select(F.col("doc_id").alias("matched_id")).distinct()))
     texts = words.join(matched, F.col("doc_id").eqNullSafe(F.col("matched_id")), "left_semi")
     both = (
         aligned.withColumnRenamed("doc_id", "matched_id")
@@ -230,4 +228,5 @@ def decontaminate(
 ) -> DataFrame:
     """The rows of ``docs``, with all columns, whose document repeats no benchmark item."""
     found = contaminated(docs, benchmark, id, text).select(F.col("doc_id").alias("_found")).distinct()
+    found = small(materialize(found))
     return docs.join(found, F.col(id).eqNullSafe(F.col("_found")), "left_anti")

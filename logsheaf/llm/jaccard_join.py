@@ -11,15 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsheaf.llm.pretokens import by_size, texts_of
+from logsheaf.llm.tables import small
 from logsheaf.session import materialize
 
 WIDTH = 5
 COMMON = 32
 FRAGMENT_BITS = 3
-BROADCAST_ROWS = 1_000_000
 CACHED = 300_000
 
-_STEPS = [np.uint64(k) for k in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
+_STEPS = np.array(
+    [1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], "uint64"
+)
 
 
 class Shingler:
@@ -53,11 +55,6 @@ class Shingler:
         return np.unique(total.view("int64"))
 
 
-def needed(size: int) -> int:
-    """The smallest overlap that a set of this size can be linked with."""
-    return -(-4 * size // 5)
-
-
 def prefix(size):
     """Of any order, so many first grams: linked sets share one of them."""
     return size + (-4 * size // 5) + 1
@@ -122,11 +119,6 @@ def fragments(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "set binary, fragment int, grams array<long>")
 
 
-def _small(table: DataFrame) -> DataFrame:
-    """A written table, marked for broadcasting if its rows are few enough; else joined by shuffling."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
 class _Sets:
     """The distinct sets of a table of documents, and their grams on demand."""
 
@@ -142,7 +134,7 @@ class _Sets:
     def pieces(self, wanted: DataFrame) -> DataFrame:
         """The fragments of the sets in ``wanted`` (set), written once."""
         chosen = materialize(self.distinct.join(wanted, "set", "left_semi").select("set", "source"))
-        sources = _small(chosen.select(F.col("source").alias("_source")))
+        sources = small(chosen.select(F.col("source").alias("_source")))
         texts = self.docs.join(sources, F.col("doc_id").eqNullSafe(F.col("_source")), "left_semi")
         found = fragments(texts).join(chosen, "set", "left_semi")
         return materialize(found.dropDuplicates(["set", "fragment"]))
@@ -219,7 +211,7 @@ def _buckets(sets: _Sets) -> DataFrame:
     their grams that another dense set has, which bounds any overlap.
     """
     lows = sets.distinct.select("set", "n", F.size("low").alias("q"), F.explode("low").alias("gram"))
-    common = _small(
+    common = small(
         materialize(
             lows.groupBy("gram").agg(F.count("*").alias("f")).where(F.col("f") > COMMON).select("gram")
         )
@@ -232,12 +224,12 @@ def _buckets(sets: _Sets) -> DataFrame:
         pieces.join(dense, "set").select("set", "n", F.explode("grams").alias("gram"))
     )
     sparse = (
-        lows.join(_small(dense.select("set")), "set", "left_anti")
+        lows.join(small(dense.select("set")), "set", "left_anti")
         .join(common, "gram", "left_anti")
         .select("gram", "set", "n", F.lit(True).alias("probe"))
     )
     every = sparse.unionByName(grams.select("gram", "set", "n", F.lit(False).alias("probe")))
-    useful = _small(
+    useful = small(
         materialize(
             every.groupBy("gram")
             .agg(F.count("*").alias("f"), F.max("probe").alias("probed"))
@@ -248,7 +240,7 @@ def _buckets(sets: _Sets) -> DataFrame:
     family_a = every.join(useful, "gram").select("gram", "set", "n", F.col("n").alias("shared"), "probe")
 
     counted = materialize(grams.groupBy("gram").agg(F.count("*").alias("f")).where(F.col("f") > 1))
-    several = grams.join(_small(counted), "gram")
+    several = grams.join(small(counted), "gram")
     ordered = several.groupBy("set", "n").agg(
         F.sort_array(F.collect_list(F.struct("f", "gram"))).alias("order")
     )
@@ -377,3 +369,27 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
         F.col("n").alias("n_shingles"),
         F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
+
+
+def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs``, all columns, with one document of each component: that of the smallest id.
+
+    Rows that repeat an id and its text are one document. Rows without an
+    id cannot be the one that stays for others, so only such repeats of them go.
+    """
+    found = materialize(near_duplicates(docs, id, text))
+    stays = (F.col("doc_id") == F.col("component_id")).cast("int")
+    by_id = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.max(stays).alias("stays"), F.count("*").alias("rows")
+    )
+    gone = small(materialize(by_id.where(F.col("stays") == 0).select(F.col("doc_id").alias("_id"))))
+    left = docs.join(gone, F.col(id) == F.col("_id"), "left_anti")
+    repeated = by_id.where(F.col("rows") > 1).select(F.col("doc_id").alias("_id"))
+    if found.where(F.col("doc_id").isNull()).limit(2).count() > 1:
+        repeated = repeated.unionByName(docs.sparkSession.range(1).select(F.lit(None).cast("long").alias("_id")))
+    repeated = materialize(repeated)
+    if repeated.isEmpty():
+        return left
+    same = F.col(id).cast("long").eqNullSafe(F.col("_id"))
+    once = left.join(small(repeated), same, "left_anti")
+    return once.unionByName(left.join(small(repeated), same, "left_semi").dropDuplicates([id, text]))

@@ -23,6 +23,7 @@ SMOOTHING = 0.5
 WORST = 12.0
 SWITCH = 15.0
 SCRIPT_SHARE = 0.02
+LEAST_SHARE = 0.4
 CACHED = 200_000
 UNDETERMINED = "und"
 
@@ -188,6 +189,53 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
     return path
 
 
+class _Labeller:
+    """Labels batches of texts; keeps the words it has scored, up to a bound."""
+
+    def __init__(self, model: LanguageModel, switch: float):
+        self.model, self.switch = model, switch
+        self._known: dict[str, int] = {}
+        self._rows = np.zeros((0, len(model.languages)), dtype="float32")
+
+    def _paths(self, words: list[list[str]]) -> tuple[list[np.ndarray], np.ndarray]:
+        """For texts by falling number of words: path of each text, letters by language."""
+        flat = list(chain.from_iterable(words))
+        if len(self._known) > CACHED:
+            self._known.clear()
+            self._rows = self._rows[:0]
+        known = self._known
+        new = list(set(flat).difference(known))
+        if new:
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+            self._rows = np.concatenate([self._rows, self.model.words(new)])
+        lengths = np.array([len(own) for own in words])
+        numbers = np.fromiter(map(known.__getitem__, flat), "int64", len(flat))
+        path = viterbi(self._rows[numbers], lengths, self.switch)
+        letters = np.fromiter(map(len, flat), "int64", len(flat))
+        totals = np.zeros((len(words), len(self.model.languages)))
+        np.add.at(totals, (np.repeat(np.arange(len(words)), lengths), path), letters)
+        return np.split(path, np.cumsum(lengths)[:-1]), totals
+
+    def label(self, texts: list[str]) -> tuple[list[str], np.ndarray, list[list[dict]]]:
+        """Language, score and spans of each text."""
+        languages = self.model.languages
+        predicted, spans = [UNDETERMINED] * len(texts), [[]] * len(texts)
+        scores = np.zeros(len(texts))
+        words = [LETTERS.findall(t.lower()) for t in texts]
+        order = sorted((i for i, w in enumerate(words) if w), key=lambda i: -len(words[i]))
+        if order and languages:
+            paths, totals = self._paths([words[i] for i in order])
+            for i, path, letters in zip(order, paths, totals):
+                top = int(letters.argmax())
+                predicted[i], scores[i] = languages[top], letters[top] / letters.sum()
+                ends = [*(np.nonzero(np.diff(path))[0] + 1).tolist(), len(path)]
+                spans[i] = [
+                    {"first": a, "end": b, "lang": languages[path[a]]}
+                    for a, b in zip([0, *ends], ends)
+                ]
+        return predicted, scores, spans
+
+
 def identify(
     docs: DataFrame,
     model: LanguageModel,
@@ -208,51 +256,12 @@ def identify(
     kept; an empty table gives no rows; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def label(words: list[list[str]], known: dict[str, int], rows: list[np.ndarray]):
-        """For texts by falling number of words: path of each text, letters by language.
-
-        ``known`` numbers the words of this and earlier texts; ``rows`` has their scores.
-        """
-        model = shared.value
-        flat = list(chain.from_iterable(words))
-        new = list(set(flat).difference(known))
-        if new:
-            known.update(zip(new, range(len(known), len(known) + len(new))))
-            rows[:] = [np.concatenate([*rows, model.words(new)])]
-        lengths = np.array([len(own) for own in words])
-        numbers = np.fromiter(map(known.__getitem__, flat), "int64", len(flat))
-        path = viterbi(rows[0][numbers], lengths, switch)
-        letters = np.fromiter(map(len, flat), "int64", len(flat))
-        totals = np.zeros((len(words), len(model.languages)))
-        np.add.at(totals, (np.repeat(np.arange(len(words)), lengths), path), letters)
-        return np.split(path, np.cumsum(lengths)[:-1]), totals
+    span = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages = shared.value.languages
-        known: dict[str, int] = {}
-        rows: list[np.ndarray] = []
+        labeller = _Labeller(shared.value, switch)
         for batch in by_size(batches, "text"):
-            predicted = [UNDETERMINED] * batch.num_rows
-            scores, spans = np.zeros(batch.num_rows), [[]] * batch.num_rows
-            words = [LETTERS.findall(t.lower()) for t in texts_of(batch["text"])]
-            order = sorted((i for i, w in enumerate(words) if w), key=lambda i: -len(words[i]))
-            if len(known) > CACHED:
-                known.clear()
-                rows.clear()
-            if order and languages:
-                paths, totals = label([words[i] for i in order], known, rows)
-                for i, path, letters in zip(order, paths, totals):
-                    top = int(letters.argmax())
-                    predicted[i], scores[i] = languages[top], letters[top] / letters.sum()
-                    ends = [*(np.nonzero(np.diff(path))[0] + 1).tolist(), len(path)]
-                    spans[i] = [
-                        {"first": a, "end": b, "lang": languages[path[a]]}
-                        for a, b in zip([0, *ends], ends)
-                    ]
-            span = pa.list_(
-                pa.struct([("first", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
-            )
+            predicted, scores, spans = labeller.label(texts_of(batch["text"]))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"],
@@ -268,3 +277,27 @@ def identify(
         "doc_id long, lang_pred string, score double, "
         "spans array<struct<first int, end int, lang string>>",
     )
+
+
+def with_language(
+    docs: DataFrame,
+    model: LanguageModel,
+    least: float = LEAST_SHARE,
+    switch: float = SWITCH,
+    text: str = "text",
+) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is known.
+
+    Rejected are texts without letters, null included, and those in which no
+    language has the share ``least`` of the letters.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = _Labeller(shared.value, switch)
+        for batch in by_size(batches, text):
+            predicted, scores, _ = labeller.label(texts_of(batch[text]))
+            known = np.array([p != UNDETERMINED for p in predicted], dtype=bool)
+            yield batch.filter(pa.array(known & (scores >= least)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logsheaf.llm.tables import small
 from logsheaf.session import materialize, shared_dir, table_exists
 
 SPAN = "struct<start:int,rank:int,end:int,kind:string,rule:string>"
@@ -228,9 +229,8 @@ def redact(
     names = docs.columns
     _, found = findings(docs, ledger, rules, id, text)
     keyed = docs.withColumn("_blob", address(F.col(text)))
-    joined = keyed.join(
-        found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "_blob", "left"
-    )
+    spans = materialize(found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")))
+    joined = keyed.join(small(spans), "_blob", "left")
     changed = joined.withColumn(
         text,
         F.when(F.col("_spans").isNull(), F.col(text)).otherwise(
