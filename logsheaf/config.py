@@ -84,7 +84,6 @@ WILDCARD = "<*>"
 
 # Template mining settings.
 DRAIN_SIMILARITY = 0.4
-DRAIN_MAX_CLUSTERS = 5_000
 
 # Declared scoring settings.
 RECONSTRUCTION_WEIGHT = 0.6

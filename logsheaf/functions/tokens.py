@@ -34,12 +34,19 @@ def token_event_type(schema: T.StructType, column: str = "events") -> T.StructTy
 
 
 def token_events(schema: T.StructType, column: str = "events") -> Column:
-    """The events reduced to ``token_event_type``; empty for null events.
-
-    Zipping single fields lets the scan skip all others of the nested struct.
-    """
+    """The events reduced to ``token_event_type``, without null ones; empty for no events."""
     names = token_event_type(schema, column).fieldNames()
-    return F.coalesce(F.arrays_zip(*[F.col(f"{column}.{name}") for name in names]), F.array())
+    present = F.filter(F.col(column), lambda event: event.isNotNull())
+    kept = F.transform(present, lambda event: F.struct(*(event[name].alias(name) for name in names)))
+    return F.coalesce(kept, F.array())
+
+
+def token_schema(schema: T.StructType, column: str = "events") -> T.StructType:
+    """``schema`` with only those event fields that tokens need, for scans that skip the others."""
+    narrow = T.ArrayType(token_event_type(schema, column))
+    return T.StructType(
+        [T.StructField(f.name, narrow) if f.name == column else f for f in schema.fields]
+    )
 
 
 def session_tokens(schema: T.StructType, column: str = "events") -> Column:

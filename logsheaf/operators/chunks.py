@@ -56,6 +56,23 @@ def valid_days(sequences: DataFrame, max_len: int) -> DataFrame:
     )
 
 
+def sound_days(sessions: DataFrame, stored: DataFrame, max_len: int) -> DataFrame:
+    """The days whose stored sequences are valid, of present sessions, and one for each."""
+    stale = pending(stored, sessions).select("day").distinct()
+    single = (
+        stored.groupBy("day")
+        .agg((F.count("*") == F.count_distinct("session_id")).alias("single"))
+        .where("single")
+        .select("day")
+    )
+    return valid_days(stored, max_len).join(single, "day", "left_semi").join(stale, "day", "left_anti")
+
+
+def same_sessions(sessions: DataFrame, stored: DataFrame) -> bool:
+    """Whether every session has a stored sequence and every sequence a session."""
+    return pending(sessions, stored).isEmpty() and pending(stored, sessions).isEmpty()
+
+
 def manifest(sequences: DataFrame, config: TokenConfig) -> DataFrame:
     """One row: files, sessions, sequence length, unknown and all events."""
     return chunk_report(sequences, config.max_len).agg(

@@ -119,6 +119,15 @@ def tokenize(
     return to_sequences(encoded, specials, config).drop("token_ids")
 
 
+def padded(
+    sessions: DataFrame, vocabulary: DataFrame, config: TokenConfig = TokenConfig()
+) -> DataFrame:
+    """``tokenize`` for writing by day: the short ids are dealt out by day, then padded."""
+    specials = special_ids(vocabulary)
+    encoded = encode_sessions(sessions, vocabulary, specials=specials).hint("rebalance", "day")
+    return to_sequences(encoded, specials, config).drop("token_ids")
+
+
 def decode(
     sequences: DataFrame,
     vocabulary: DataFrame,

@@ -19,26 +19,15 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def lookup_join(
-    large: DataFrame,
-    small: DataFrame,
-    on: str,
-    max_bytes: int = BROADCAST_BYTES,
-    salts: int = 32,
+    large: DataFrame, small: DataFrame, on: str, max_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Left join of ``large`` with ``small``, whose ``on`` values are unique.
 
     ``small`` must be a written table, so that its size is cheap to read. Up
-    to ``max_bytes`` it is broadcast. Beyond, both sides shuffle with a salt:
-    one hot key of ``large`` spreads over ``salts`` tasks, and ``small`` is
-    repeated once per salt.
+    to ``max_bytes`` it is broadcast. Beyond, both sides are shuffled and sorted, and
+    adaptive execution splits a hot key of ``large`` over several tasks; each of
+    them reads the one row of ``small`` again, and no other row is copied.
     """
     if estimated_bytes(small) <= max_bytes:
         return large.join(F.broadcast(small), on, "left")
-    return salted_left_join(large, small, on, salts)
-
-
-def salted_left_join(large: DataFrame, small: DataFrame, on: str, salts: int = 32) -> DataFrame:
-    others = [F.col(f"`{name}`") for name in large.columns if name != on]
-    salted = large.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int"))
-    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [on, "_salt"], "left").drop("_salt")
+    return large.join(small.hint("merge"), on, "left")

@@ -94,6 +94,30 @@ PARTS = {
         SELECT *, CAST(row_number() OVER (ORDER BY first_seen, signature) AS INTEGER) AS template_id
         FROM (SELECT long_signature AS signature, min(time) AS first_seen, count(*) AS n_events
               FROM keyed WHERE time < 86400 GROUP BY long_signature)""",
+    "drained": """
+        SELECT '<*> dst_user=UNKNOWN <*> <*> auth_type=' || auth_type || ' logon_type=' || logon_type
+                 || ' auth_orientation=UNKNOWN success=' || success AS signature,
+               min(time) AS first_seen, count(*) AS n_events
+        FROM auth GROUP BY 1""",
+    "alike": """
+        SELECT a.signature AS a, b.signature AS b
+        FROM (SELECT *, string_split(signature, ' ') AS t FROM drained) a,
+             (SELECT *, string_split(signature, ' ') AS t FROM drained) b
+        WHERE len(list_filter(list_zip(a.t, b.t), lambda p: p[1] = p[2] AND p[1] <> '<*>')) >= 3.2""",
+    "linked": """
+        SELECT signature AS member, signature AS other FROM drained
+        UNION SELECT member, b FROM linked JOIN alike ON other = a""",
+    "groups": """
+        SELECT member, arg_min(other, (first_seen, other)) AS leader
+        FROM linked JOIN drained ON other = signature GROUP BY member""",
+    "texts": """
+        SELECT leader, string_agg(token, ' ' ORDER BY place) AS template
+        FROM (SELECT leader, place,
+                     CASE WHEN count(DISTINCT token) = 1 THEN min(token) ELSE '<*>' END AS token
+              FROM (SELECT leader, unnest(range(1, 9)) AS place, unnest(string_split(member, ' ')) AS token
+                    FROM groups)
+              GROUP BY leader, place)
+        GROUP BY leader""",
     "lines": r"""
         SELECT *, CASE WHEN value < 3 THEN 0 WHEN value < 20 THEN 7 ELSE 9 END AS fields FROM keyed""",
 }
@@ -104,7 +128,7 @@ TEMPLATE_COLUMNS = "signature AS template, 8 AS n_tokens, first_seen, n_events"
 def _sql(query: str) -> str:
     """``query`` with the named subqueries before it."""
     parts = ", ".join(f"{name} AS ({text})" for name, text in PARTS.items())
-    return f"WITH {parts} {query}"
+    return f"WITH RECURSIVE {parts} {query}"
 
 
 ORACLE = {
@@ -153,6 +177,15 @@ ORACLE = {
         SELECT split, count(day) AS sessions, count(DISTINCT day) AS days
         FROM (VALUES ('train', 1, 20), ('val', 21, 25), ('test', 26, 30), ('all', 1, 30)) AS s(split, a, b)
         LEFT JOIN sess ON day BETWEEN a AND b GROUP BY split""",
+    "stored_lines_per_day": "SELECT day, count(*) AS events FROM lines WHERE fields > 0 GROUP BY day",
+    "session_day_rerun": """
+        SELECT day, session_id, n_events FROM sess WHERE day NOT BETWEEN 5 AND 9 OR n_events >= 9""",
+    "template_drain": """
+        SELECT signature, CAST(dense_rank() OVER (ORDER BY led.first_seen, leader) AS INTEGER) AS template_id,
+               template, 8 AS n_tokens, drained.first_seen, n_events
+        FROM drained JOIN groups ON signature = member
+        JOIN (SELECT leader, first_seen FROM groups JOIN drained ON leader = signature GROUP BY ALL) led USING (leader)
+        JOIN texts USING (leader)""",
     "coerced_events": """
         SELECT event_id AS "row",
                CASE event_type WHEN 'view' THEN CAST('10' || event_id AS BIGINT) ELSE event_id END AS time,
@@ -204,7 +237,9 @@ ORACLE = {
                CAST(row_number() OVER (ORDER BY first_seen, signature) AS INTEGER) AS template_id
         FROM long_sigs""",
     "template_reuse": f"""
-        SELECT signature, {TEMPLATE_COLUMNS}, template_id FROM known
+        SELECT signature, signature AS template, 8 AS n_tokens, known.first_seen, long_sigs.n_events,
+               template_id
+        FROM known JOIN long_sigs USING (signature)
         UNION ALL
         SELECT signature, {TEMPLATE_COLUMNS},
                CAST((SELECT count(*) FROM known) + row_number() OVER (ORDER BY first_seen, signature)
@@ -286,6 +321,7 @@ ORACLE = {
         FROM scored, (SELECT quantile_cont(score, 0.999) AS p1, quantile_cont(score, 0.99) AS p2,
                              quantile_cont(score, 0.97) AS p3 FROM scored)""",
 }
+ORACLE["token_counts_null_events"] = ORACLE["token_counts"]
 ORACLE["ingest_json"] = ORACLE["ingest_clean"]
 ORACLE["session_events_hot"] = ORACLE["session_events_last_n"]
 ORACLE["encoded_events_salted"] = ORACLE["encoded_events"]

@@ -16,10 +16,11 @@ from logsheaf.operators.templates import (
     assign_template_ids,
     enrich,
     mine_signatures,
+    recounted,
     with_auth_signature,
 )
 from logsheaf.schemas import SESSION_EVENT, TEMPLATE
-from logsheaf.session import discard, materialize, table_exists
+from logsheaf.session import discard, materialize, planned_bytes, sized_shuffles, table_exists
 from logsheaf.sources.logs import read_log_lines
 from logsheaf.sources.metrics import write_metrics
 from logsheaf.sources.sessions import read_sessions, write_sessions
@@ -74,6 +75,22 @@ def sessions_of(
     )
 
 
+def write_template_counts(staged: DataFrame, path: str) -> DataFrame:
+    """Replaces the days of ``staged`` in the counts (day, signature, n_events); all days' sums."""
+    spark = staged.sparkSession
+    (
+        staged.groupBy("day", "signature")
+        .agg(F.count("*").alias("n_events"))
+        .hint("rebalance", "day")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("day")
+        .parquet(path)
+    )
+    stored = spark.read.schema("signature string, n_events bigint, day int").parquet(path)
+    return stored.groupBy("signature").agg(F.sum("n_events").alias("n_events"))
+
+
 def run_sessions(
     spark: SparkSession,
     inputs: list[str],
@@ -86,10 +103,30 @@ def run_sessions(
 ) -> SessionsResult:
     """Builds the sessions of a day range and extends the stored templates.
 
-    The counters of the run are also appended to the table at ``metrics_path``.
+    Every processed day is replaced, also by nothing where it has no session
+    any more. Template ids only grow; their events are counted per day in a
+    table beside, whose processed days are replaced too. The counters of
+    the run are also appended to the table at ``metrics_path``.
     """
+    lines = read_log_lines(spark, *inputs)
+    with sized_shuffles(spark, planned_bytes(lines)):
+        return _run(
+            spark, lines, sessions_path, templates_path, start_day, end_day, config, metrics_path
+        )
+
+
+def _run(
+    spark: SparkSession,
+    lines: DataFrame,
+    sessions_path: str,
+    templates_path: str,
+    start_day: int,
+    end_day: int,
+    config: SessionConfig,
+    metrics_path: str | None,
+) -> SessionsResult:
     counts = Observation()
-    events = parse_auth_lines(read_log_lines(spark, *inputs), observation=counts)
+    events = parse_auth_lines(lines, observation=counts)
     staged = stage_events(in_days(events, start_day, end_day), config)
 
     known = (
@@ -98,9 +135,11 @@ def run_sessions(
         else None
     )
     assign_template_ids(mine_signatures(staged), known).write.mode("append").parquet(templates_path)
-    templates = spark.read.schema(TEMPLATE).parquet(templates_path)
+    ids = spark.read.schema(TEMPLATE).parquet(templates_path)
+    templates = recounted(ids, write_template_counts(staged, f"{templates_path}_counts"))
 
-    write_sessions(sessions_of(staged, templates, config), sessions_path)
+    days = [row["day"] for row in staged.select("day").distinct().collect()]
+    write_sessions(sessions_of(staged, ids, config), sessions_path, days)
 
     stored = in_days(read_sessions(spark, sessions_path), start_day, end_day)
     per_day = materialize(

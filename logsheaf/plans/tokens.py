@@ -8,15 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logsheaf.config import SPLIT_DAYS, TokenConfig
-from logsheaf.operators.chunks import is_complete, manifest, pending, valid_days
-from logsheaf.operators.encoding import tokenize
+from logsheaf.functions.tokens import token_schema
+from logsheaf.operators.chunks import (
+    chunk_report,
+    is_complete,
+    manifest,
+    pending,
+    same_sessions,
+    sound_days,
+)
+from logsheaf.operators.encoding import padded
 from logsheaf.operators.quality import require_events
-from logsheaf.operators.splits import Ranges, in_split
+from logsheaf.operators.splits import Ranges, in_split, missing_days
 from logsheaf.operators.vocabulary import check_vocabulary, rank_tokens, token_counts
-from logsheaf.session import materialize, table_exists
+from logsheaf.schemas import SESSION
+from logsheaf.session import planned_bytes, sized_shuffles, table_exists
 from logsheaf.sources.metrics import write_metrics
-from logsheaf.sources.sequences import read_sequences, write_sequences
-from logsheaf.sources.sessions import read_sessions
+from logsheaf.sources.sequences import read_sequences, write_sequences, write_table
+from logsheaf.sources.sessions import read_session_shards, read_sessions
 from logsheaf.sources.vocabulary import read_vocabulary, write_vocabulary
 
 
@@ -40,9 +49,25 @@ def learn_vocabulary(
     return read_vocabulary(spark, path)
 
 
+def session_checks(sessions: DataFrame) -> dict[str, int]:
+    """Counts of sessions and of what the job passes over; wrong keys are an error."""
+    events = F.col("events")
+    row = sessions.agg(
+        F.count("*").alias("session_count"),
+        F.count_distinct("day", "session_id").alias("keys"),
+        F.count_if(events.isNull()).alias("invalid_event_containers"),
+        F.coalesce(F.sum(F.size(F.filter(events, lambda e: e.isNull()))), F.lit(0)).alias("dropped_events"),
+    ).first()
+    if row["keys"] != row["session_count"]:
+        raise ValueError(
+            f"{row['session_count'] - row['keys']} sessions have no id or that of another session"
+        )
+    return {k: v for k, v in row.asDict().items() if k != "keys"}
+
+
 def run_tokens(
     spark: SparkSession,
-    sessions_path: str,
+    sessions_path: str | list[str],
     vocabulary_path: str,
     sequences_path: str,
     split: str = "train",
@@ -55,27 +80,60 @@ def run_tokens(
 ) -> TokensResult:
     """Encodes one split, with a new vocabulary or that of another split.
 
-    A resumed run keeps the days whose stored sequences are all valid, adds
-    the sessions they lack, and writes every other day anew. All counts are
-    over the whole output. Start, skip, resume and completion append their
-    counters to the table at ``metrics_path``.
+    ``sessions_path`` is a folder of stored sessions, or a list of single
+    files named ``day_NN.parquet``, whose sessions may lack ids. Null events
+    are passed over and counted.
+
+    A resumed run keeps the vocabulary and the days whose stored sequences are
+    all valid and of present sessions, adds the sessions they lack, and
+    writes every other day anew. All counts are over the whole output; they
+    and the list of chunks are stored at ``<sequences_path>_manifest`` and
+    ``<sequences_path>_chunks``. Start, skip, resume and completion append
+    their counters to the table at ``metrics_path``.
     """
+    schema = token_schema(SESSION)
+    if isinstance(sessions_path, str):
+        stored_sessions = read_sessions(spark, sessions_path, schema)
+    else:
+        stored_sessions = read_session_shards(spark, *sessions_path, schema=schema)
+    sessions = in_split(stored_sessions, split, ranges)
+    with sized_shuffles(spark, planned_bytes(sessions)):
+        return _run(
+            sessions, vocabulary_path, sequences_path, split, config, vocabulary_in,
+            reuse_vocabulary, resume, ranges, metrics_path,
+        )
+
+
+def _run(
+    sessions: DataFrame,
+    vocabulary_path: str,
+    sequences_path: str,
+    split: str,
+    config: TokenConfig,
+    vocabulary_in: str | None,
+    reuse_vocabulary: bool,
+    resume: bool,
+    ranges: Ranges,
+    metrics_path: str | None,
+) -> TokensResult:
+    spark = sessions.sparkSession
 
     def record(event: str, values: dict[str, int]) -> None:
         write_metrics(spark, metrics_path, f"tokens {split}", event, values)
 
-    sessions = in_split(read_sessions(spark, sessions_path), split, ranges)
-    total = sessions.count()
+    checks = session_checks(sessions)
+    total = checks["session_count"]
     if not total:
         raise RuntimeError(f"no sessions in split {split}")
     require_events(sessions)
-    record("start", {"session_count": total})
+    absent = missing_days(sessions, split, ranges).count()
+    record("start", {**checks, "missing_days": absent})
 
     resumed = resume and table_exists(spark, sequences_path)
     if resumed and table_exists(spark, vocabulary_in or vocabulary_path):
-        stored = read_sequences(spark, sequences_path, config.token_id_dtype)
-        report = manifest(in_split(stored, split, ranges), config)
-        if is_complete(report, total):
+        stored = in_split(read_sequences(spark, sequences_path, config.token_id_dtype), split, ranges)
+        report = manifest(stored, config)
+        if is_complete(report, total) and same_sessions(sessions, stored):
             record("skip_complete", {"session_count": total})
             vocabulary = read_vocabulary(spark, vocabulary_in or vocabulary_path)
             return TokensResult(vocabulary, stored, report, True)
@@ -83,20 +141,24 @@ def run_tokens(
     if vocabulary_in:
         vocabulary = read_vocabulary(spark, vocabulary_in)
     else:
-        vocabulary = learn_vocabulary(sessions, vocabulary_path, config, reuse_vocabulary)
+        vocabulary = learn_vocabulary(
+            sessions, vocabulary_path, config, reuse_vocabulary or resumed
+        )
     check_vocabulary(vocabulary, config.token_id_dtype)
 
     if resumed:
-        stored = read_sequences(spark, sequences_path, config.token_id_dtype)
-        sound = [row["day"] for row in valid_days(stored, config.max_len).collect()]
+        stored = in_split(read_sequences(spark, sequences_path, config.token_id_dtype), split, ranges)
+        sound = [row["day"] for row in sound_days(sessions, stored, config.max_len).collect()]
         in_sound = F.col("day").isin(sound)
         record("resume", {"session_count": total, "sound_days": len(sound)})
         missing = pending(sessions.where(in_sound), stored.where(in_sound))
-        write_sequences(tokenize(missing, vocabulary, config), sequences_path, config, "append")
+        write_sequences(padded(missing, vocabulary, config), sequences_path, config, "append")
         sessions = sessions.where(~in_sound)
-    write_sequences(tokenize(sessions, vocabulary, config), sequences_path, config, "overwrite")
+    write_sequences(padded(sessions, vocabulary, config), sequences_path, config, "overwrite")
 
-    stored = read_sequences(spark, sequences_path, config.token_id_dtype)
-    report = materialize(manifest(in_split(stored, split, ranges), config))
+    stored = in_split(read_sequences(spark, sequences_path, config.token_id_dtype), split, ranges)
+    write_table(chunk_report(stored, config.max_len), f"{sequences_path}_chunks")
+    write_table(manifest(stored, config), f"{sequences_path}_manifest")
+    report = spark.read.parquet(f"{sequences_path}_manifest")
     record("complete", report.first().asDict())
     return TokensResult(vocabulary, stored, report, False)

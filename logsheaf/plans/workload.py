@@ -62,7 +62,9 @@ from logsheaf.operators.vocabulary import (
     vocabulary_stats,
 )
 from logsheaf.plans.sessions import sessions_of, stage_events
-from logsheaf.session import discard, materialize, table_exists
+from logsheaf.session import discard, materialize, scratch_path, table_exists
+from logsheaf.sources.logs import read_log_lines
+from logsheaf.sources.sessions import read_sessions, write_sessions
 from logsheaf.streaming.ingest import clean
 
 WINDOWS = SessionConfig(window_mins=1440, stride_mins=720)
@@ -102,7 +104,9 @@ def auth_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _messages(spark: SparkSession, sf_dir: str, *keep_digits: str) -> DataFrame:
     events = auth_events(spark, sf_dir)
-    return materialize(with_auth_signature(events, keep_digit_tokens=keep_digits))
+    return with_auth_signature(events, keep_digit_tokens=keep_digits).select(
+        "line_no", "time", "signature"
+    )
 
 
 def _templates(messages: DataFrame) -> DataFrame:
@@ -278,16 +282,47 @@ def hot_last_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def split_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions and days of each split."""
-    sessions = _sessions(spark, sf_dir)
-    found = None
-    for split in ("train", "val", "test", "all"):
-        part = in_split(sessions, split, SPLITS).agg(
-            F.lit(split).alias("split"),
-            F.count("*").alias("sessions"),
-            F.count_distinct("day").alias("days"),
+    per_day = rows_per_day(_sessions(spark, sf_dir), "n")
+    names = ("train", "val", "test", "all")
+    inside = {name: F.col("day").between(*SPLITS[name]) for name in names}
+    totals = per_day.agg(
+        *(F.coalesce(F.sum(F.when(inside[n], F.col("n"))), F.lit(0)).alias(f"{n}_sessions") for n in names),
+        *(F.count_if(inside[n]).alias(f"{n}_days") for n in names),
+    )
+    rows = [
+        F.struct(
+            F.lit(n).alias("split"),
+            F.col(f"{n}_sessions").alias("sessions"),
+            F.col(f"{n}_days").alias("days"),
         )
-        found = part if found is None else found.unionByName(part)
-    return found
+        for n in names
+    ]
+    return totals.select(F.inline(F.array(*rows)))
+
+
+def stored_lines_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per day of the lines after writing them to text files and reading those."""
+    path = scratch_path(spark)
+    _raw_lines(spark, sf_dir).select("value").write.text(path)
+    return rows_per_day(parse_auth_lines(read_log_lines(spark, path)), "events")
+
+
+def rerun_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored sessions after days 5 to 9 were run again, with only long sessions left."""
+    path, sessions = scratch_path(spark), _sessions(spark, sf_dir)
+    write_sessions(sessions, path)
+    again = sessions.where(F.col("day").between(5, 9) & (F.size("events") >= 9))
+    write_sessions(again, path, range(5, 10))
+    return read_sessions(spark, path).select(
+        "day", "session_id", F.size("events").cast("long").alias("n_events")
+    )
+
+
+def counts_beside_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts where each session has null events among the others."""
+    sessions = _sessions(spark, sf_dir)
+    null = F.array(F.lit(None).cast(sessions.schema["events"].dataType.elementType))
+    return token_counts(sessions.withColumn("events", F.concat(null, "events", null)))
 
 
 def coerced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,7 +395,7 @@ def template_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def template_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Templates of the first day's events, then extended by all events."""
-    messages = _messages(spark, sf_dir, "logon_type")
+    messages = materialize(_messages(spark, sf_dir, "logon_type").drop("line_no"))
     known = materialize(mine_templates(messages.where(F.col("time") < 86_400)))
     return mine_templates(messages, known)
 
@@ -611,6 +646,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "session_events_last_n": last_events,
     "session_events_hot": hot_last_events,
     "split_sessions": split_sessions,
+    "stored_lines_per_day": stored_lines_per_day,
+    "session_day_rerun": rerun_days,
     "coerced_events": coerced_events,
     "session_summary": summary,
     "sessions_per_day": sessions_per_day,
@@ -627,6 +664,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "template_count": templates_total,
     "template_drain": template_drain,
     "token_counts": counts,
+    "token_counts_null_events": counts_beside_nulls,
     "vocabulary": vocabulary,
     "top_tokens": top_tokens,
     "vocabulary_check": vocabulary_check,

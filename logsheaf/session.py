@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,8 @@ DEFAULTS = {
 }
 
 
+# Removes an execution's shuffle files when it ends; they serve no later one.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SHUFFLE_PARTITION_BYTES = 128 * 1024 * 1024
 
 
@@ -35,7 +39,29 @@ def shuffle_partitions(input_bytes: int) -> int:
     Events shuffle in about the size of their text, and 200 is Spark's own
     default for small inputs.
     """
-    return min(max(200, -(-input_bytes // SHUFFLE_PARTITION_BYTES)), 200_000)
+    return max(200, -(-input_bytes // SHUFFLE_PARTITION_BYTES))
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """What Spark's plan statistics give as the size of ``df``; for scans, that of the files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+@contextmanager
+def sized_shuffles(spark: SparkSession, input_bytes: int) -> Iterator[None]:
+    """Has shuffles start with enough partitions for the input, then restores the setting.
+
+    A larger setting of the user stays. Adaptive execution merges small
+    partitions but cannot go beyond the number it starts with.
+    """
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    if -(-input_bytes // SHUFFLE_PARTITION_BYTES) > int(before):
+        spark.conf.set(key, str(shuffle_partitions(input_bytes)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def build_session(
@@ -81,18 +107,29 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/logsheaf/{spark.sparkContext.applicationId}"
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new place for one of this application's intermediate tables."""
+    return f"{_own_dir(spark)}/{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` once under the shared folder and read it back.
 
     Later readers start from files, so a lost executor never triggers the work
-    above again, and Spark knows the true size when it chooses a join.
+    above again, and Spark knows the true size when it chooses a join. The
+    shuffle files behind the table are removed once it is written.
     """
     spark = df.sparkSession
-    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}"
-    if partition_by:
-        df.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(path)
-    else:
-        df.write.parquet(path)
+    path = scratch_path(spark)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        if partition_by:
+            df.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(path)
+        else:
+            df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -107,6 +144,12 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(target)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes what is stored at ``path``, if anything."""
+    files, target = _file_system(spark, path)
+    files.delete(target, True)
+
+
 def discard(table: DataFrame) -> None:
     """Deletes the files of a table that ``materialize`` wrote."""
     spark = table.sparkSession

@@ -18,14 +18,13 @@ def sequence_schema(token_id_dtype: str = "int32") -> T.StructType:
 
 
 def write_sequences(sequences: DataFrame, path: str, config: TokenConfig, mode: str = "append") -> None:
-    """Writes sequences by day, at most ``chunk_size`` of them per file.
+    """Writes sequences that are dealt out by day, at most ``chunk_size`` of them per file.
 
     ``append`` adds to stored days; ``overwrite`` replaces the days written.
     """
     columns = sequence_schema(config.token_id_dtype).fieldNames()
     (
         sequences.select(*columns)
-        .hint("rebalance", "day")
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", config.chunk_size)
@@ -42,5 +41,10 @@ def write_single(sequences: DataFrame, path: str, config: TokenConfig) -> None:
     ).partitionBy("day").parquet(path)
 
 
+def write_table(table: DataFrame, path: str) -> None:
+    """Replaces a small report beside the sequences."""
+    table.write.mode("overwrite").parquet(path)
+
+
 def read_sequences(spark: SparkSession, path: str, token_id_dtype: str = "int32") -> DataFrame:
     return spark.read.schema(sequence_schema(token_id_dtype)).parquet(path)

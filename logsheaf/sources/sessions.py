@@ -2,29 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logsheaf.operators.sessions import session_id
 from logsheaf.operators.splits import day_from_path
 from logsheaf.schemas import SESSION
+from logsheaf.session import delete
 
 
-def write_sessions(sessions: DataFrame, path: str) -> None:
-    """Replaces the days that occur in ``sessions``; other days stay.
+def write_sessions(sessions: DataFrame, path: str, days: Iterable[int] = ()) -> None:
+    """Replaces the days that occur in ``sessions``, and empties others of ``days``; the rest stays.
 
     The rebalance hint gathers each day into files of the advisory partition
     size and splits a day that is much larger, so that the number of files
     follows the data and not tasks times days.
     """
+    written = Observation()
     (
         sessions.hint("rebalance", "day")
+        .observe(written, F.collect_set("day").alias("days"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "snappy")
         .partitionBy("day")
         .parquet(path)
     )
+    for day in sorted(set(days).difference(written.get["days"])):
+        delete(sessions.sparkSession, f"{path}/day={day}")
 
 
 def read_sessions(spark: SparkSession, path: str, schema: T.StructType = SESSION) -> DataFrame:
@@ -33,10 +41,14 @@ def read_sessions(spark: SparkSession, path: str, schema: T.StructType = SESSION
 
 
 def read_session_shards(spark: SparkSession, *paths: str, schema: T.StructType = SESSION) -> DataFrame:
-    """Sessions from single files named ``day_NN.parquet``."""
+    """Sessions from single files named ``day_NN.parquet``.
+
+    Sessions without an id get the one that follows from their key.
+    """
     stored = T.StructType([f for f in schema.fields if f.name != "day"])
     shards = spark.read.schema(stored).option("ignoreCorruptFiles", "false").parquet(*paths)
-    return shards.withColumn("day", day_from_path(F.col("_metadata.file_path")))
+    dated = shards.withColumn("day", day_from_path(F.col("_metadata.file_path")))
+    return dated.withColumn("session_id", F.coalesce("session_id", session_id())).select(*schema.names)
 
 
 def shard_counts(sessions: DataFrame) -> DataFrame:

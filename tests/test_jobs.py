@@ -9,7 +9,7 @@ from logsheaf import SessionConfig, TokenConfig
 from logsheaf.operators.chunks import chunk_report, valid_days
 from logsheaf.plans.sessions import run_sessions
 from logsheaf.plans.tokens import run_tokens
-from logsheaf.session import shared_dir, shuffle_partitions, table_exists
+from logsheaf.session import shared_dir, shuffle_partitions, sized_shuffles, table_exists
 from logsheaf.sources.metrics import read_metrics
 from logsheaf.sources.sequences import read_sequences, write_sequences, write_single
 from logsheaf.sources.sessions import read_session_shards, read_sessions, shard_counts, write_sessions
@@ -111,10 +111,32 @@ def test_metrics(spark, built, tmp_path):
 
 
 def test_shuffle_partitions():
-    assert shuffle_partitions(0) == 200 and shuffle_partitions(100 * 1024**4) == 200_000
+    assert shuffle_partitions(0) == 200 and shuffle_partitions(100 * 1024**4) == 819_200
     assert shuffle_partitions(1024**4) == 8192
 
 
+def test_large_inputs_raise_the_shuffles(spark):
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    with sized_shuffles(spark, 1024**4):
+        assert spark.conf.get(key) == "8192"
+    assert spark.conf.get(key) == before
+
+
+def test_a_day_without_sessions_is_emptied(spark, built, tmp_path):
+    out = [str(tmp_path / name) for name in ("sessions", "templates")]
+    config = SessionConfig(window_mins=120, stride_mins=60)
+    lines = log_lines((1, 2))
+    for kept in (lines, [line for line in lines if "," in line][:400] + ["86500,U1@D,U1@D,C1,C9,NTLM,Batch,LogOn,Fail"]):
+        file = tmp_path / f"{len(kept)}.txt"
+        file.write_text("\n".join(kept) + "\n")
+        result = run_sessions(spark, [str(file)], *out, 1, 2, config)
+    assert {r["day"] for r in read_sessions(spark, out[0]).select("day").distinct().collect()} == {1}
+    assert result.counters["processed_days"] == 2
+    assert result.counters["written_sessions"] == read_sessions(spark, out[0]).count()
+    assert sum(r["n_events"] for r in result.templates.collect()) == 401
+
+
 def test_rerun_of_a_day_keeps_other_days_and_ids(spark, built, tmp_path):
     root, paths, result = built
     before = sorted(map(str, result.sessions.where("day <> 2").collect()))

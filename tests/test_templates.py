@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logsheaf.functions.masking import with_masked
-from logsheaf.operators.joins import lookup_join, salted_left_join
+from logsheaf.operators.joins import lookup_join
 from logsheaf.operators.templates import (
     MESSAGE_FIELDS,
     auth_message,
@@ -87,51 +87,55 @@ def test_params(spark):
     assert row["p"] == ["user=bob", "10.0.0.1", "2024-01-02 03:04:05", "77"]
 
 
-def test_salted_join_equals_broadcast(spark):
+def test_lookup_of_a_large_table_equals_broadcast(spark):
     draw = random.Random(5)
     large = spark.createDataFrame(
         [(i, draw.choice(["hot"] * 8 + ["a", "b", "none", None])) for i in range(400)], "i int, k string"
     )
     small = materialize(spark.createDataFrame([("hot", 1), ("a", 2), ("b", 3)], "k string, v int"))
     want = sorted(map(str, lookup_join(large, small, "k").select("i", "k", "v").collect()))
-    assert sorted(map(str, salted_left_join(large, small, "k", 7).select("i", "k", "v").collect())) == want
-    assert sorted(map(str, lookup_join(large, small, "k", max_bytes=0).select("i", "k", "v").collect())) == want
-
-
-def merge_loop(signatures, similarity):
-    """Merging by a plain loop over the signatures of one leaf, in order."""
-    groups, member = [], []
-    for _, text in sorted(signatures):
-        tokens = text.split(" ")
-        best, best_score = None, -1.0
-        for index, group in enumerate(groups):
-            same = sum(a == b and a != "<*>" for a, b in zip(tokens, group))
-            if same / len(tokens) > best_score:
-                best, best_score = index, same / len(tokens)
-        if best is None or best_score < similarity:
-            groups.append(tokens)
-            best = len(groups) - 1
-        else:
-            groups[best] = [a if a == b else "<*>" for a, b in zip(tokens, groups[best])]
-        member.append((text, best))
-    return {text: " ".join(groups[index]) for text, index in member}
-
-
-def test_merge_matches_plain_loop(spark):
+    large = large.withColumn("m", F.create_map(F.lit("any"), "i"))
+    shuffled = lookup_join(large, small, "k", max_bytes=0).select("i", "k", "v")
+    assert sorted(map(str, shuffled.collect())) == want
+    plan = shuffled._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def merge_all_pairs(signatures, similarity):
+    """Templates of what similar pairs connect, from all pairs; signatures: (first_seen, text)."""
+    texts = [text for _, text in sorted(signatures)]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    words = [text.split(" ") for text in texts]
+    for i, a in enumerate(words):
+        for j in range(i):
+            same = sum(x == y != "<*>" for x, y in zip(a, words[j]))
+            if len(a) == len(words[j]) and same >= similarity * len(a):
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    found = {}
+    for i, text in enumerate(texts):
+        group = [words[j] for j in range(len(texts)) if find(j) == find(i)]
+        merged = " ".join(c[0] if len(set(c)) == 1 else "<*>" for c in zip(*group))
+        found[text] = (merged, find(i))
+    order = {leader: n + 1 for n, leader in enumerate(sorted({g for _, g in found.values()}))}
+    return {text: (merged, order[leader]) for text, (merged, leader) in found.items()}
+
+
+def test_merge_matches_all_pairs(spark):
     draw = random.Random(9)
-    texts = {" ".join(["<*>"] + [draw.choice("abcd") for _ in range(5)]) for _ in range(150)}
-    rows = [(text, draw.randrange(40), 1) for text in texts]
-    df = spark.createDataFrame(rows, "signature string, first_seen bigint, n_events bigint")
-    merged = merge_similar(df).collect()
-    assert {r["signature"]: r["template"] for r in merged} == merge_loop([(s, t) for t, s, _ in rows], 0.4)
-    by_id = {}
-    for row in merged:
-        by_id.setdefault(row["template_id"], set()).add(row["template"])
-    assert sorted(by_id) == list(range(1, len(by_id) + 1))
-    assert all(len(found) == 1 for found in by_id.values())
-    # A leaf past the limit keeps every signature as its own template.
-    alone = merge_similar(df, max_leaf=10).collect()
-    assert all(r["signature"] == r["template"] for r in alone) and len(alone) == len(rows)
+    for letters, places in (("abcdefgh", 7), ("abcdefghijkl", 5)):
+        texts = {" ".join(["<*>"] + [draw.choice(letters) for _ in range(places)]) for _ in range(120)}
+        rows = [(text, draw.randrange(40), 1) for text in texts]
+        df = spark.createDataFrame(rows, "signature string, first_seen bigint, n_events bigint")
+        got = {r["signature"]: (r["template"], r["template_id"]) for r in merge_similar(df).collect()}
+        assert got == merge_all_pairs([(s, t) for t, s, _ in rows], 0.4)
+    assert merge_similar(df.where("false")).count() == 0
 
 
 def test_signatures_combine(spark):
