@@ -253,3 +253,53 @@ def test_write_sessions_replaces_only_its_days(spark, built, tmp_path):
     write_sessions(sessions.where("day = 2").limit(1), out)
     counts = {r["day"]: r["sessions"] for r in shard_counts(read_sessions(spark, out)).collect()}
     assert counts == {1: sessions.where("day = 1").count(), 2: 1}
+
+
+def test_shards_without_ids_and_null_events(spark, built, tmp_path):
+    _, paths, _ = built
+    sessions = read_sessions(spark, paths["sessions"])
+    null = F.array(F.lit(None).cast(sessions.schema["events"].dataType.elementType))
+    plain = sessions.where("day = 3").drop("day", "session_id").withColumn("events", F.concat(null, "events"))
+    plain.coalesce(1).write.parquet(str(tmp_path / "one"))
+    shard = str(tmp_path / "day_03.parquet")
+    os.rename(glob.glob(str(tmp_path / "one/*.parquet"))[0], shard)
+    config = TokenConfig(min_freq=1, max_len=8)
+    out = {
+        name: run_tokens(
+            spark, source, str(tmp_path / f"v{name}"), str(tmp_path / name), "val", config,
+            ranges=RANGES, metrics_path=str(tmp_path / f"m{name}"),
+        )
+        for name, source in (("a", [shard]), ("b", paths["sessions"]))
+    }
+    rows = [sorted(map(str, out[name].sequences.collect())) for name in "ab"]
+    assert rows[0] == rows[1] and rows[0]
+    started = read_metrics(spark, str(tmp_path / "ma")).where("event = 'start' and name = 'dropped_events'")
+    assert started.first()["value"] == len(rows[0])
+    twice = str(tmp_path / "twice" / "day_03.parquet")
+    both = plain.unionByName(plain).coalesce(1)
+    both.write.parquet(str(tmp_path / "two"))
+    os.makedirs(os.path.dirname(twice))
+    os.rename(glob.glob(str(tmp_path / "two/*.parquet"))[0], twice)
+    with pytest.raises(ValueError):
+        run_tokens(spark, [twice], str(tmp_path / "v"), str(tmp_path / "s"), "val", config, ranges=RANGES)
+
+
+def test_stale_sequences_do_not_pass_for_missing_ones(spark, built, tmp_path):
+    _, paths, _ = built
+    out, words = str(tmp_path / "sequences"), str(tmp_path / "v")
+    config = TokenConfig(min_freq=1, max_len=8)
+    run_tokens(spark, paths["sessions"], words, out, "all", config, ranges=RANGES)
+    whole = sorted(map(str, read_sequences(spark, out).collect()))
+    day = read_sequences(spark, out).where("day = 2")
+    first = F.lit(day.agg(F.min("session_id")).first()[0])
+    renamed = F.when(F.col("session_id") == first, F.lit("gone")).otherwise(F.col("session_id"))
+    changed = str(tmp_path / "changed")
+    day.withColumn("session_id", renamed).write.parquet(changed)
+    write_sequences(spark.read.parquet(changed), out, config, "overwrite")
+    assert read_sequences(spark, out).count() == len(whole)
+    again = run_tokens(spark, paths["sessions"], words, out, "all", config, resume=True, ranges=RANGES)
+    assert not again.skipped
+    assert sorted(map(str, read_sequences(spark, out).collect())) == whole
+    chunks = spark.read.parquet(f"{out}_chunks").agg(F.count("*"), F.sum("sessions")).first()
+    report = spark.read.parquet(f"{out}_manifest").first()
+    assert tuple(chunks) == (report["chunk_count"], report["session_count"])
