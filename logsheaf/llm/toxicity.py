@@ -17,6 +17,8 @@ from logsheaf.llm.pretokens import by_size, texts_of
 
 SAMPLE = 20_000
 VOCABULARY = 2_048
+STEMS = (4, 5, 6)
+CACHED = 200_000
 LEAST_DOCUMENTS = 5
 LEAST_Z = 4.0
 PENALTY = 1e-4
@@ -31,14 +33,37 @@ SENTENCE = re.compile(r"[^.!?\n]+")
 
 @dataclass
 class ToxicityModel:
-    """Weights of words in a sentence's log-odds, and the log-odds without any."""
+    """Weights of features in a sentence's log-odds, and the log-odds without any."""
 
     weights: dict[str, float]
     bias: float
 
-    def sentence(self, words: set[str]) -> float:
-        """Log-odds that a sentence with these words is toxic."""
-        return self.bias + sum(self.weights[w] for w in sorted(self.weights.keys() & words))
+
+def features(word: str) -> list[str]:
+    """A word, and its beginnings, which its other forms share."""
+    return [word, *(word[:n] + "*" for n in STEMS if len(word) > n)]
+
+
+class _Finder(dict):
+    """The numbers of a word's known features; kept for later words, up to a bound."""
+
+    def __init__(self, known: list[str]):
+        self.number = {feature: i for i, feature in enumerate(known)}
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) >= CACHED:
+            self.clear()
+        found = tuple(self.number[f] for f in features(word) if f in self.number)
+        self[word] = found
+        return found
+
+    def bags(self, text: str, spans: list[tuple[int, int]]) -> list[list[int]]:
+        """Distinct features of each sentence, rising."""
+        get = self.__getitem__
+        return [
+            sorted({f for found in map(get, WORDS.findall(text, *span)) for f in found})
+            for span in spans
+        ]
 
 
 def softplus(z: np.ndarray) -> np.ndarray:
@@ -51,13 +76,14 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def _vocabulary(labelled: DataFrame) -> list[str]:
-    """The words whose share of documents differs most between the labels."""
+    """The features whose share of documents differs most between the labels."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {0: Counter(), 1: Counter()}
         for batch in batches:
             for value, label in zip(texts_of(batch["text"]), batch["label"].to_pylist()):
-                seen[label].update(set(WORDS.findall(value.lower())))
+                words = set(WORDS.findall(value.lower()))
+                seen[label].update({f for word in words for f in features(word)})
         words = sorted(seen[0] | seen[1])
         yield pa.RecordBatch.from_arrays(
             [
@@ -90,20 +116,17 @@ def _vocabulary(labelled: DataFrame) -> list[str]:
 
 
 def _bags(labelled: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """Of each document: label, number of sentences, and vocabulary words by sentence."""
-    number = {word: i for i, word in enumerate(vocabulary)}
+    """Of each document: label, number of sentences, and known features by sentence."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = _Finder(vocabulary)
         for batch in by_size(batches, "text"):
             rows = []
             for value in texts_of(batch["text"]):
                 text = value.lower()
                 spans = sentences(text)
-                hits = [
-                    [number[w] for w in sorted(number.keys() & set(WORDS.findall(text, *span)))]
-                    for span in spans
-                ]
-                rows.append((max(1, len(spans)), [h for h in hits if h]))
+                hits = [bag for bag in finder.bags(text, spans) if bag]
+                rows.append((max(1, len(spans)), hits))
             columns = zip(*rows) if rows else ((), ())
             counts, words = columns
             yield pa.RecordBatch.from_arrays(
@@ -159,8 +182,8 @@ def train(
 ) -> ToxicityModel:
     """Learns from about ``sample`` labelled rows; rows with another label than 0 and 1 are passed over.
 
-    Words are chosen by how much their document share differs between the
-    labels. The fit sees only those words, by sentence, so what reaches the
+    Words and their beginnings are chosen by how much their document share
+    differs between the labels. The fit sees only those, by sentence, so what reaches the
     driver is bounded by the sample. Without both labels, the model is neutral.
     """
     labelled = docs.where(F.col(label).isin(0, 1)).select(
@@ -202,19 +225,18 @@ def score(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        vocabulary, idle = model.weights.keys(), float(softplus(np.float64(model.bias)))
+        finder, weights = _Finder(list(model.weights)), np.array(list(model.weights.values()))
+        get, idle = finder.__getitem__, float(softplus(np.float64(model.bias)))
         for batch in by_size(batches, "text"):
             scores, offending = np.zeros(batch.num_rows), [[]] * batch.num_rows
             for row, value in enumerate(texts_of(batch["text"])):
                 text = value.lower()
                 aligned = text if len(text) == len(value) else value
                 spans = sentences(aligned)
-                if vocabulary.isdisjoint(WORDS.findall(text)):
+                if not any(map(get, WORDS.findall(text))):
                     scores[row] = -np.expm1(-idle * max(1, len(spans)))
                     continue
-                z = np.array(
-                    [model.sentence(set(WORDS.findall(aligned[a:b].lower()))) for a, b in spans]
-                )
+                z = np.array([model.bias + weights[bag].sum() for bag in finder.bags(aligned, spans)])
                 scores[row] = -np.expm1(-softplus(z).sum())
                 each = 1 / (1 + np.exp(-z))
                 offending[row] = [
