@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+from logsheaf.llm.decontamination import (
+    LEAST_SHARE,
+    LEAST_TOKENS,
+    LEAST_WINDOW,
+    NUMBER,
+    TOKEN,
+    UNITS,
+    WINDOW,
+)
 from logsheaf.llm.secret_scan import BASE, RULES
 
 CHAT = r"""
@@ -94,3 +103,72 @@ reached AS (
 least AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN least ON doc_id = a
 """
+
+
+def _contaminated() -> str:
+    """Every window as text, alignments by their shift, slots counted per alignment."""
+    units = ", ".join(f"'{unit}'" for unit in UNITS)
+
+    def formed(source: str, key: str) -> str:
+        return f"""
+  SELECT {key}, w, plain, list_transform(range(1, len(w) + 1), lambda i:
+      CASE WHEN NOT starts_with(plain[i], '<') AND w[i] <> plain[i] THEN '<name>' ELSE plain[i] END
+    ) AS template
+  FROM (SELECT *, list_transform(w, lambda x:
+      CASE WHEN regexp_matches(lower(x), '{NUMBER}') THEN '<num>'
+        WHEN lower(x) IN ({units}) THEN '<unit>' ELSE lower(x) END) AS plain
+    FROM (SELECT {key}, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS w FROM {source}))"""
+
+    def cut(source: str, key: str, form: str) -> str:
+        return f"""
+  SELECT {key}, size, pos, {form}[pos:pos + size - 1] AS win
+  FROM (SELECT *, unnest(range(1, len({form}) - size + 2)) AS pos FROM {source})"""
+
+    return f"""
+WITH docs AS ({formed("documents", "doc_id")}),
+items AS (
+  SELECT *, least(len(w), {WINDOW}) AS size FROM ({formed("benchmark", "item_id")})
+  WHERE len(w) >= {LEAST_WINDOW}
+),
+sized AS (SELECT docs.*, size FROM docs, (SELECT DISTINCT size FROM items)),
+ours AS ({cut("sized", "doc_id", "template")} UNION {cut("sized", "doc_id", "plain")}),
+theirs AS (
+  SELECT * FROM ({cut("items", "item_id", "template")} UNION {cut("items", "item_id", "plain")})
+  WHERE 2 * len(list_filter(win, lambda f: NOT starts_with(f, '<'))) >= size
+),
+aligned AS (
+  SELECT doc_id, item_id, ours.pos - theirs.pos AS shift, size, list(DISTINCT theirs.pos) AS starts
+  FROM ours JOIN theirs USING (size, win) GROUP BY ALL
+),
+places AS (
+  SELECT DISTINCT doc_id, item_id, shift,
+    unnest(flatten(list_transform(starts, lambda s: range(s, s + size)))) AS place
+  FROM aligned
+),
+slots AS (
+  SELECT doc_id, item_id, shift, count(*) AS n_tokens,
+    list(DISTINCT {{'a': lower(items.w[place]), 'b': lower(docs.w[place + shift])}})
+      FILTER (starts_with(items.template[place], '<')) AS pairs
+  FROM places JOIN docs USING (doc_id) JOIN items USING (item_id)
+  GROUP BY doc_id, item_id, shift
+),
+checked AS (
+  SELECT doc_id, item_id, len(starts) AS n_windows, n_tokens,
+    len(starts) / (len(items.w) - items.size + 1) AS coverage,
+    coalesce(len(pairs), 0) AS n_slots,
+    coalesce(len(list_filter(pairs, lambda p: p.a <> p.b)), 0) AS n_changed,
+    coalesce(len(list_distinct(list_transform(pairs, lambda p: p.a))), 0) AS left_values,
+    coalesce(len(list_distinct(list_transform(pairs, lambda p: p.b))), 0) AS right_values
+  FROM aligned JOIN slots USING (doc_id, item_id, shift) JOIN items USING (item_id)
+)
+SELECT doc_id, item_id, n_windows::INTEGER AS n_windows, coverage, n_slots::INTEGER AS n_slots,
+  n_changed::INTEGER AS n_changed
+FROM checked
+WHERE left_values = n_slots AND right_values = n_slots
+  AND (n_tokens >= {LEAST_TOKENS} OR coverage >= {LEAST_SHARE})
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id
+  ORDER BY n_windows DESC, coverage DESC, n_changed, n_slots DESC) = 1
+"""
+
+
+DECONTAMINATION = _contaminated()

@@ -147,6 +147,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_decontamination": oracle.DECONTAMINATION,
     "op3_secret_scan": oracle.SECRETS,
     "op4_chat_formatting": oracle.CHAT,
     "op5_ngram_jaccard_join": oracle.NEAR_DUPLICATES,
