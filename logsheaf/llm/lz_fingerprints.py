@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsheaf.llm.pretokens import texts_of
-from logsheaf.session import materialize
+from logsheaf.llm.pretokens import by_size, texts_of
 
 KEPT = 128
 _MASK = (1 << 64) - 1
@@ -104,7 +103,21 @@ _SCHEMA = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
     "edited_fingerprint string, near_edited double, near_next double"
 )
-_ENDS = {"part": pa.int32(), "first_text": pa.string(), "last_id": pa.int64(), "last_text": pa.string()}
+
+
+def _range_of(id: Column, bounds: list[int]) -> Column:
+    """Number of ``bounds`` (rising) below ``id``, by two short searches; 0 for null."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds) - 1) + 1
+    chunks = [bounds[at : at + step] for at in range(0, len(bounds), step)]
+
+    def below(values: Column) -> Column:
+        return F.size(F.filter(values, lambda bound: bound < id))
+
+    coarse = below(F.lit([chunk[0] for chunk in chunks]))
+    fine = below(F.element_at(F.array(*(F.lit(chunk) for chunk in chunks)), coarse))
+    return F.when(id.isNull() | (coarse == 0), 0).otherwise((coarse - 1) * step + fine)
 
 
 class _Text:
@@ -139,67 +152,54 @@ def compare_with_edits(
     many of the next document's first ones, by ascending id (nulls first, then
     by text, where ids repeat); the last document is followed by the first.
 
-    Documents are sorted over all tasks by ranges of ids, and each task reads its
-    range once, row after row. Only the last row of a range needs a row of
-    another task: tasks hand on their first and last texts, one row each.
+    Documents are dealt out by ranges of ids, one per task, sorted there and
+    read row after row. A range's last row needs the next range's first, so
+    that one row is sent along as well. The driver sees the ids that part the
+    ranges, and the least of each.
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next, one row per input row. Null texts are empty, and
     two empty texts are alike; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    names = [*RESULT, *_ENDS]
-    types = [*RESULT.values(), *_ENDS.values()]
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*rows) if rows else [()] * len(names)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+    rows = docs.select(
+        F.col(id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")
+    )
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shares = [at / ranges for at in range(1, ranges)] or [0.5]
+    bounds = sorted(set(rows.agg(F.percentile_approx("doc_id", shares, 10_000)).first()[0] or []))
+    number = _range_of(F.col("doc_id"), bounds)
+    least = rows.groupBy(number.alias("range")).agg(F.min(F.struct("doc_id")).alias("least"))
+    firsts = sorted((r["range"], r["least"]["doc_id"]) for r in least.collect())
+    follows = spark.createDataFrame(
+        [(before[0], after[1]) for before, after in zip(firsts, firsts[1:] + firsts[:1])],
+        "range int, first long",
+    )
+    # With repeated ids, the least text among a range's first ids comes first.
+    along = (
+        rows.join(F.broadcast(follows), F.col("doc_id").eqNullSafe(F.col("first")))
+        .groupBy("range", "doc_id")
+        .agg(F.min("text").alias("text"))
+        .select("range", F.lit(True).alias("along"), "doc_id", "text")
+    )
+    dealt = (
+        rows.select(number.alias("range"), F.lit(False).alias("along"), "doc_id", "text")
+        .unionByName(along)
+        .repartitionById(len(bounds) + 1, "range")
+        .sortWithinPartitions("along", "doc_id", "text")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = before = None
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                rows, part = [], batch.slice(start, 256)
-                for doc, value in zip(part["doc_id"].to_pylist(), texts_of(part["text"])):
-                    now = _Text(value, kept)
-                    if before is None:
-                        first = value
-                    else:
-                        rows.append((before[0], *before[1].beside(now), *[None] * 4))
-                    before = (doc, now)
-                yield batch_of(rows)
-        if before is not None:
-            number = TaskContext.get().partitionId()
-            yield batch_of([(*[None] * len(RESULT), number, first, before[0], before[1].text)])
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            columns = batch["doc_id"].to_pylist(), texts_of(batch["text"]), texts_of(batch["after"])
-            for doc, value, after in zip(*columns):
-                rows.append((doc, *_Text(value, kept).beside(_Text(after, kept))))
-            columns = zip(*rows) if rows else [()] * len(RESULT)
+        before = None
+        for batch in by_size(batches, "text", 1 << 20):
+            found = []
+            for doc, value in zip(batch["doc_id"].to_pylist(), texts_of(batch["text"])):
+                now = _Text(value, kept)
+                if before is not None:
+                    found.append((before[0], *before[1].beside(now)))
+                before = (doc, now)
+            columns = zip(*found) if found else [()] * len(RESULT)
             arrays = [pa.array(c, t) for c, t in zip(columns, RESULT.values())]
             yield pa.RecordBatch.from_arrays(arrays, list(RESULT))
 
-    ordered = (
-        docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
-    )
-    ends = "part int, first_text string, last_id long, last_text string"
-    found = materialize(ordered.mapInArrow(run, f"{_SCHEMA}, {ends}"))
-    borders = found.where(F.col("part").isNotNull()).select(*_ENDS)
-    parts = sorted(row.part for row in borders.select("part").collect())
-    follows = spark.createDataFrame(
-        list(zip(parts, parts[1:] + parts[:1])), "part int, follower int"
-    )
-    lasts = borders.select("part", F.col("last_id").alias("doc_id"), F.col("last_text").alias("text"))
-    firsts = borders.select(F.col("part").alias("follower"), F.col("first_text").alias("after"))
-    across = (
-        lasts.join(follows, "part")
-        .join(firsts, "follower")
-        .select("doc_id", "text", "after")
-        .mapInArrow(finish, _SCHEMA)
-    )
-    return found.where(F.col("part").isNull()).select(*RESULT).unionByName(across)
+    return dealt.select("doc_id", "text").mapInArrow(run, _SCHEMA)
