@@ -12,47 +12,69 @@ from pyspark.sql import functions as F
 
 from logsheaf.llm.pretokens import by_size, texts_of
 from logsheaf.llm.tables import small
-from logsheaf.session import materialize
+from logsheaf.operators.components import connected_components
+from logsheaf.session import discard, materialize
 
 WIDTH = 5
-COMMON = 32
+COMMON = 8
 FRAGMENT_BITS = 3
-CACHED = 300_000
+SLACK = 4
+GRAMS = 2_000_000
 
 _STEPS = np.array(
     [1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], "uint64"
 )
-
-
-class Shingler:
-    """Hashes of the distinct shingles of a text, in ascending order."""
-
-    def __init__(self):
-        self._words: dict[bytes, int] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        words = text.encode().lower().split()
-        known = self._words
-        if len(known) > CACHED:
-            known.clear()
-        hashes = np.empty(len(words), dtype="uint64")
-        try:
-            hashes[:] = list(map(known.__getitem__, words))
-        except KeyError:
-            for word in set(words).difference(known):
-                known[word] = xxhash.xxh3_64_intdigest(word)
-            hashes[:] = list(map(known.__getitem__, words))
-        if not words:
-            return hashes.view("int64")
-        width = min(WIDTH, len(words))
-        runs = len(words) - width + 1
-        total = np.full(runs, width, dtype="uint64")
-        for at in range(width):
-            part = hashes[at : at + runs] * _STEPS[at]
-            total += part ^ (part >> np.uint64(29))
-            total *= _STEPS[1]
-        total ^= total >> np.uint64(32)
-        return np.unique(total.view("int64"))
+_BYTES = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype="uint64")
+_SPACES = np.zeros(256, dtype=bool)
+_SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+
+
+def _powers(count: int) -> np.ndarray:
+    return np.cumprod(np.full(max(count, 1), _STEPS[1]), dtype="uint64")
+
+
+def _word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and hash of each word."""
+    data = np.frombuffer(text, "uint8")
+    space = _SPACES[data]
+    before = np.concatenate([[True], space[:-1]]) if len(data) else space
+    starts = np.nonzero(~space & before)[0]
+    if not len(starts):
+        return starts, np.zeros(0, dtype="uint64")
+    place = np.arange(len(data))
+    place -= np.maximum.accumulate(np.where(~space & before, place, 0))
+    place[space] = 0
+    values = np.where(space, np.uint64(0), _BYTES[data] * _powers(place.max() + 1)[place])
+    words = np.add.reduceat(values, starts)
+    words ^= words >> np.uint64(32)
+    return starts, words * _STEPS[1]
+
+
+def _runs(words: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of ``width`` words."""
+    runs = len(words) - width + 1
+    total = np.full(max(runs, 0), width, dtype="uint64")
+    for at in range(width if runs > 0 else 0):
+        part = words[at : at + runs] * _STEPS[at]
+        total += part ^ (part >> np.uint64(29))
+        total *= _STEPS[1]
+    total ^= total >> np.uint64(32)
+    return total.view("int64")
+
+
+def shingles(texts: list[str]) -> list[np.ndarray]:
+    """Hashes of each text's distinct shingles, in ascending order."""
+    encoded = [text.encode().lower() for text in texts]
+    places = np.cumsum([0, *(len(text) + 1 for text in encoded)])
+    starts, words = _word_hashes(b"\n".join(encoded))
+    ends = np.searchsorted(starts, places)
+    runs, found = _runs(words, WIDTH), []
+    for first, end in zip(ends, ends[1:]):
+        if end - first >= WIDTH:
+            found.append(np.unique(runs[first : end - WIDTH + 1]))
+        else:
+            found.append(_runs(words[first:end], end - first)[: end - first])
+    return found
 
 
 def prefix(size):
@@ -65,22 +87,17 @@ def _linkable(n: Column, m: Column, overlap: Column) -> Column:
     return 9 * overlap >= 4 * (n + m)
 
 
-def _columns(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
-    columns = zip(*rows) if rows else [()] * len(types)
-    arrays = [pa.array(c, t) for c, t in zip(columns, types.values())]
-    return pa.RecordBatch.from_arrays(arrays, list(types))
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)])
+    values = np.concatenate(arrays) if arrays else np.zeros(0, dtype="int64")
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
 
 
-_SET = {
-    "doc_id": pa.int64(),
-    "set": pa.binary(),
-    "n": pa.int64(),
-    "low": pa.list_(pa.int64()),
-}
-_FRAGMENT = {"set": pa.binary(), "fragment": pa.int32(), "grams": pa.list_(pa.int64())}
+def _name(grams: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None
 
 
-def shingle_sets(docs: DataFrame, low: bool = True) -> DataFrame:
+def shingle_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, set, n, low) of rows (doc_id, text).
 
     ``set`` is a 128-bit hash of the shingle set and null where it is empty.
@@ -88,15 +105,18 @@ def shingle_sets(docs: DataFrame, low: bool = True) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler()
-        for batch in by_size(batches, "text"):
-            rows = []
-            for doc, text in zip(batch["doc_id"].to_pylist(), texts_of(batch["text"])):
-                grams = shingles(text)
-                first = prefix(len(grams))
-                name = xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None
-                rows.append((doc, name, len(grams), grams[: first + first // 4 + 4]))
-            yield _columns(rows, _SET)
+        for batch in by_size(batches, "text", 1 << 20):
+            grams = shingles(texts_of(batch["text"]))
+            firsts = [prefix(len(own)) for own in grams]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch["doc_id"],
+                    pa.array([_name(own) for own in grams], pa.binary()),
+                    pa.array([len(own) for own in grams], pa.int64()),
+                    _lists([own[: p + p // SLACK + 1] for own, p in zip(grams, firsts)]),
+                ],
+                ["doc_id", "set", "n", "low"],
+            )
 
     return docs.mapInArrow(run, "doc_id long, set binary, n long, low array<long>")
 
@@ -105,16 +125,20 @@ def fragments(docs: DataFrame) -> DataFrame:
     """Sets cut at fixed places of the gram order: (set, fragment, grams), no empty pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler()
         for batch in by_size(batches, "text", 1 << 20):
-            rows = []
-            for text in texts_of(batch["text"]):
-                grams = shingles(text)
-                name = xxhash.xxh3_128_digest(grams.tobytes())
-                numbers = grams >> np.int64(64 - FRAGMENT_BITS)
-                for number in np.unique(numbers):
-                    rows.append((name, int(number), grams[numbers == number]))
-            yield _columns(rows, _FRAGMENT)
+            names, numbers, pieces = [], [], []
+            for grams in shingles(texts_of(batch["text"])):
+                name = _name(grams)
+                places = grams >> np.int64(64 - FRAGMENT_BITS)
+                cuts = np.nonzero(np.diff(places))[0] + 1
+                for piece in np.split(grams, cuts) if len(grams) else []:
+                    names.append(name)
+                    numbers.append(int(piece[0]) >> (64 - FRAGMENT_BITS))
+                    pieces.append(piece)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.binary()), pa.array(numbers, pa.int32()), _lists(pieces)],
+                ["set", "fragment", "grams"],
+            )
 
     return docs.mapInArrow(run, "set binary, fragment int, grams array<long>")
 
@@ -140,14 +164,38 @@ class _Sets:
         return materialize(found.dropDuplicates(["set", "fragment"]))
 
 
-def linked(pairs: DataFrame, sets: _Sets, pieces: DataFrame | None = None) -> DataFrame:
+def plausible(pairs: DataFrame, sets: _Sets) -> DataFrame:
+    """``pairs`` without those that differ too much already among the lowest grams.
+
+    Up to the smaller of their last low grams, the low lists of both sets are
+    whole. Linked sets differ in at most (n + m) / 9 grams in all.
+    """
+
+    def reach(low: str, size: str) -> Column:
+        whole = F.size(low) >= F.col(size)
+        return F.when(whole, F.lit((1 << 63) - 1)).otherwise(F.element_at(low, -1))
+
+    def within(low: str) -> Column:
+        return F.size(F.filter(low, lambda gram: gram <= F.col("reach")))
+
+    lows = sets.distinct.select("set", "low")
+    known = (
+        pairs.join(lows.toDF("b", "low_b"), "b")
+        .join(lows.toDF("a", "low_a"), "a")
+        .withColumn("reach", F.least(reach("low_a", "n"), reach("low_b", "m")))
+    )
+    differing = within("low_a") + within("low_b") - 2 * F.size(F.array_intersect("low_a", "low_b"))
+    return known.where(9 * differing <= F.col("n") + F.col("m")).select("a", "b", "n", "m")
+
+
+def linked(pairs: DataFrame, sets: _Sets) -> DataFrame:
     """Those of ``pairs`` (a, b, n, m) that are linked.
 
     Each fragment counts its part of the overlap; the parts are summed per pair.
     """
-    if pieces is None:
-        wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set")))
-        pieces = sets.pieces(wanted.distinct())
+    pairs = materialize(plausible(pairs, sets))
+    wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set")))
+    pieces = sets.pieces(wanted.distinct())
     left = pieces.select(F.col("set").alias("a"), "fragment", F.col("grams").alias("left"))
     right = pieces.select(F.col("set").alias("b"), "fragment", F.col("grams").alias("right"))
     partial = (
@@ -155,47 +203,19 @@ def linked(pairs: DataFrame, sets: _Sets, pieces: DataFrame | None = None) -> Da
         .join(left, ["a", "fragment"])
         .select("a", "b", "n", "m", F.size(F.array_intersect("left", "right")).alias("part"))
     )
-    return (
+    found = materialize(
         partial.groupBy("a", "b", "n", "m")
         .agg(F.sum("part").alias("overlap"))
         .where(_linkable(F.col("n"), F.col("m"), F.col("overlap")))
         .select("a", "b")
     )
+    discard(pieces)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(set, component): the smallest set that links (a, b) reach, for all sets with a link.
-
-    Labels fall to the least of the neighbours' and then to the label's own
-    label, so chains shorten by half or more in a round.
-    """
-    edges = materialize(
-        links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    )
-    labels = materialize(
-        edges.groupBy(F.col("a").alias("set")).agg(F.min("b").alias("least")).select(
-            "set", F.least("set", "least").alias("component")
-        )
-    )
-    while True:
-        near = (
-            edges.join(labels.withColumnRenamed("set", "b"), "b")
-            .groupBy(F.col("a").alias("set"))
-            .agg(F.min("component").alias("near"))
-        )
-        lower = labels.join(near, "set").select(
-            "set", F.col("component").alias("before"), F.least("component", "near").alias("component")
-        )
-        lower = materialize(lower)
-        jump = lower.select(F.col("set").alias("component"), F.col("component").alias("further"))
-        after = materialize(
-            lower.join(jump, "component", "left").select(
-                "set", "before", F.least("component", F.coalesce("further", "component")).alias("component")
-            )
-        )
-        labels = after.select("set", "component")
-        if after.where(F.col("before") != F.col("component")).isEmpty():
-            return labels
+    """(set, component): the least set that links (a, b) reach, for all sets with a link."""
+    return connected_components(links).toDF("set", "component")
 
 
 def _buckets(sets: _Sets) -> DataFrame:
@@ -207,8 +227,9 @@ def _buckets(sets: _Sets) -> DataFrame:
     mostly common are the dense ones. Others are probes in the buckets of their
     lowest grams, where dense sets appear with any gram. Dense sets meet each
     other in a second family of buckets, of the first grams in the
-    order of their exact frequency. ``shared`` of these is the number of
-    their grams that another dense set has, which bounds any overlap.
+    order of their exact frequency. ``shared`` bounds the overlap with any set
+    for which this is the first common gram: of dense sets, the number of grams
+    from this one on.
     """
     lows = sets.distinct.select("set", "n", F.size("low").alias("q"), F.explode("low").alias("gram"))
     common = small(
@@ -229,18 +250,20 @@ def _buckets(sets: _Sets) -> DataFrame:
         .select("gram", "set", "n", F.lit(True).alias("probe"))
     )
     every = sparse.unionByName(grams.select("gram", "set", "n", F.lit(False).alias("probe")))
+    discard(pieces)
     useful = small(
         materialize(
             every.groupBy("gram")
             .agg(F.count("*").alias("f"), F.max("probe").alias("probed"))
             .where((F.col("f") > 1) & F.col("probed"))
             .select("gram")
-        )
+        ),
+        GRAMS,
     )
     family_a = every.join(useful, "gram").select("gram", "set", "n", F.col("n").alias("shared"), "probe")
 
     counted = materialize(grams.groupBy("gram").agg(F.count("*").alias("f")).where(F.col("f") > 1))
-    several = grams.join(small(counted), "gram")
+    several = grams.join(small(counted, GRAMS), "gram")
     ordered = several.groupBy("set", "n").agg(
         F.sort_array(F.collect_list(F.struct("f", "gram"))).alias("order")
     )
@@ -248,19 +271,25 @@ def _buckets(sets: _Sets) -> DataFrame:
     places = F.greatest(first - (F.col("n") - F.size("order")), F.lit(0)).cast("int")
     family_b = (
         ordered.where(F.size("order") >= 4 * F.col("n") / 5)
-        .select("set", "n", F.size("order").cast("long").alias("shared"), F.slice("order", 1, places).alias("o"))
-        .select("set", "n", "shared", F.explode("o.gram").alias("gram"))
-        .withColumn("probe", F.lit(True))
+        .select("set", "n", F.size("order").alias("known"), F.posexplode(F.slice("order", 1, places)).alias("at", "o"))
+        .select(
+            F.struct(F.lit(1).alias("family"), "o.f", "o.gram").alias("bucket"),
+            "set",
+            "n",
+            (F.col("known") - F.col("at")).cast("long").alias("shared"),
+            F.lit(True).alias("probe"),
+        )
     )
-    both = family_a.select(F.struct(F.lit(0).alias("family"), "gram").alias("bucket"), "set", "n", "shared", "probe").unionByName(
-        family_b.select(F.struct(F.lit(1).alias("family"), "gram").alias("bucket"), "set", "n", "shared", "probe")
+    bucket_a = F.struct(F.lit(0).alias("family"), F.lit(0).cast("long").alias("f"), "gram")
+    members = materialize(
+        family_a.select(bucket_a.alias("bucket"), "set", "n", "shared", "probe").unionByName(family_b)
     )
-    members = materialize(both)
-    # Buckets with the same members say the same; one of them stays.
+    discard(grams)
+    # Of buckets with the same members, the first of the order says most; it stays.
     alike = members.groupBy("bucket").agg(
         F.count("*").alias("size"),
-        F.sum(F.xxhash64("set", "probe", F.lit(1)).cast("decimal(38,0)")).alias("one"),
-        F.sum(F.xxhash64("set", "probe", F.lit(2)).cast("decimal(38,0)")).alias("two"),
+        F.bit_xor(F.xxhash64("set", "probe", F.lit(1))).alias("one"),
+        F.bit_xor(F.xxhash64("set", "probe", F.lit(2))).alias("two"),
         F.min(F.when(F.col("probe"), F.struct(F.col("n") - F.col("shared"), "set", "n", "shared"))).alias("pivot"),
     )
     kept = (
@@ -269,7 +298,9 @@ def _buckets(sets: _Sets) -> DataFrame:
         .agg(F.min(F.struct("bucket", "pivot")).alias("kept"))
         .select("kept.bucket", "kept.pivot")
     )
-    return materialize(members.join(kept, "bucket"))
+    found = materialize(members.join(kept, "bucket"))
+    discard(members)
+    return found
 
 
 def _possible(n: Column, shared: Column, m: Column, other: Column) -> Column:
@@ -292,7 +323,7 @@ def find_components(sets: _Sets) -> DataFrame:
         .distinct()
     )
     star = materialize(star)
-    links = materialize(linked(star, sets))
+    links = linked(star, sets)
     labels = components(links)
     labelled = materialize(
         members.join(labels, "set", "left")
