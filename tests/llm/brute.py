@@ -47,37 +47,40 @@ def contaminated(docs, items, units, window=8, least=5):
             return "<unit>"
         return "<name>" if names and word != word.lower() else word.lower()
 
+    def formed(text):
+        words = TOKEN.findall(text or "")
+        return words, [form(w, True) for w in words], [form(w, False) for w in words]
+
+    bodies = {doc: formed(body) for doc, body in docs.items()}
     found = {}
     for item, text in items.items():
-        theirs = TOKEN.findall(text or "")
+        theirs, *wanted = formed(text)
         size = min(window, len(theirs))
         if size < least:
             continue
-        for doc, body in docs.items():
-            ours = TOKEN.findall(body or "")
+        for doc, (ours, *given) in bodies.items():
+            starts = {}
+            for a, b in zip(wanted, given):
+                for at in range(len(a) - size + 1):
+                    run = a[at : at + size]
+                    if 2 * sum(not w.startswith("<") for w in run) < size:
+                        continue
+                    for place, word in enumerate(b[: len(b) - size + 1]):
+                        if word == run[0] and b[place : place + size] == run:
+                            starts.setdefault(place - at, set()).add(at)
             best = None
-            for shift in range(-len(theirs), len(ours)):
-                starts = set()
-                for names in (True, False):
-                    a = [form(w, names) for w in theirs]
-                    b = [form(w, names) for w in ours]
-                    for at in range(len(a) - size + 1):
-                        run = a[at : at + size]
-                        if at + shift < 0 or b[at + shift : at + shift + size] != run:
-                            continue
-                        if 2 * sum(not w.startswith("<") for w in run) >= size:
-                            starts.add(at)
-                covered = sorted({at + k for at in starts for k in range(size)})
+            for shift, places in starts.items():
+                covered = sorted({at + k for at in places for k in range(size)})
                 slots = {
                     (theirs[at].lower(), ours[at + shift].lower())
                     for at in covered
-                    if form(theirs[at], True).startswith("<")
+                    if wanted[0][at].startswith("<")
                 }
                 one_to_one = len({x for x, _ in slots}) == len({y for _, y in slots}) == len(slots)
-                share = len(starts) / (len(theirs) - size + 1)
-                if starts and one_to_one and (len(covered) >= 13 or share >= 0.5):
+                share = len(places) / (len(theirs) - size + 1)
+                if one_to_one and (len(covered) >= 13 or share >= 0.5):
                     changed = sum(x != y for x, y in slots)
-                    best = max(best or (0, 0), (len(starts), -changed))
+                    best = max(best or (0, -1e9), (len(places), -changed))
             if best:
                 found[doc, item] = (best[0], -best[1])
     return found
