@@ -7,13 +7,20 @@ from pyspark.sql import functions as F
 
 from logsheaf.session import materialize
 
+BROADCAST_ROWS = 1_000_000
 
-def connected_components(links: DataFrame) -> DataFrame:
+
+def connected_components(links: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(node, component) of all nodes of ``links`` (a, b): the least node that links reach.
 
     In each round a node takes the least label of its neighbours and then that
-    label's own label, so long chains shorten quickly.
+    label's own label, so long chains shorten quickly. Labels of up to
+    ``broadcast_rows`` nodes are broadcast; more are joined by shuffling.
     """
+
+    def looked_up(labels: DataFrame) -> DataFrame:
+        return F.broadcast(labels) if few else labels
+
     edges = materialize(
         links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     )
@@ -22,23 +29,21 @@ def connected_components(links: DataFrame) -> DataFrame:
         .agg(F.min("b").alias("_least"))
         .select("node", F.least("node", "_least").alias("component"))
     )
+    few = labels.count() <= broadcast_rows
     while True:
-        near = (
-            edges.join(labels.withColumnRenamed("node", "b"), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("component").alias("_near"))
+        around = edges.join(looked_up(labels.toDF("b", "component")), "b").select(
+            F.col("a").alias("node"), "component", F.lit(None).cast(labels.schema["node"].dataType).alias("_before")
         )
+        own = labels.select("node", "component", F.col("component").alias("_before"))
         lower = materialize(
-            labels.join(near, "node").select(
-                "node",
-                F.col("component").alias("_before"),
-                F.least("component", "_near").alias("component"),
-            )
+            around.unionByName(own)
+            .groupBy("node")
+            .agg(F.min("component").alias("_label"), F.max("_before").alias("_before"))
         )
-        own = lower.select(F.col("node").alias("component"), F.col("component").alias("_own"))
+        onward = looked_up(lower.select(F.col("node").alias("_label"), F.col("_label").alias("_further")))
         after = materialize(
-            lower.join(own, "component", "left").select(
-                "node", "_before", F.coalesce("_own", "component").alias("component")
+            lower.join(onward, "_label", "left").select(
+                "node", "_before", F.coalesce("_further", "_label").alias("component")
             )
         )
         labels = after.select("node", "component")
