@@ -111,7 +111,7 @@ MASK_PROBABILITY = 0.15
 MASK_TOKEN_SHARE = 0.80
 MASK_RANDOM_SHARE = 0.10
 
-# Largest id that fits each stored token id type.
+# Largest id that fits each stored token id type.
 TOKEN_ID_LIMITS = {
     "uint8": 255,
     "int16": 32_767,
@@ -141,9 +141,9 @@ class SessionConfig:
     def __post_init__(self) -> None:
         for name in ("window_mins", "stride_mins", "min_events", "max_tokens"):
             if getattr(self, name) <= 0:
-                raise ValueError(f"{name} must be > 0")
+                raise ValueError(f"{name}: a positive number is needed, not {getattr(self, name)}")
         if self.timestamp_unit not in ("seconds", "milliseconds"):
-            raise ValueError("timestamp_unit must be 'seconds' or 'milliseconds'")
+            raise ValueError(f"unknown timestamp_unit {self.timestamp_unit!r}: seconds or milliseconds")
         if not 1 <= self.id_hex_chars <= 64:
             raise ValueError("id_hex_chars must be between 1 and 64")
         if self.hot_group_rows is not None and self.hot_group_rows <= 0:
@@ -180,15 +180,15 @@ class TokenConfig:
 
     def __post_init__(self) -> None:
         if self.min_freq <= 0:
-            raise ValueError("min_freq must be > 0")
+            raise ValueError(f"min_freq: a positive number is needed, not {self.min_freq}")
         if self.max_len < 3:
             raise ValueError("max_len must be >= 3 to hold [CLS], one token and [SEP]")
         if self.truncation_side not in ("left", "right"):
-            raise ValueError("truncation_side must be 'left' or 'right'")
+            raise ValueError(f"unknown truncation_side {self.truncation_side!r}: left or right")
         if self.chunk_size <= 0:
-            raise ValueError("chunk_size must be > 0")
+            raise ValueError(f"chunk_size: a positive number is needed, not {self.chunk_size}")
         if self.token_id_dtype not in TOKEN_ID_SPARK_TYPES:
-            raise ValueError(f"token_id_dtype must be one of {sorted(TOKEN_ID_SPARK_TYPES)}")
+            raise ValueError(f"no column type for token_id_dtype {self.token_id_dtype!r}")
 
 
 # The declared session length limits of model training.

@@ -110,13 +110,11 @@ def token_warnings(quality: DataFrame, vocabulary_size: int, min_distinct: int =
     found = []
     if row["total_events"] and row["missing_event_ids"]:
         found.append(
-            "missing or placeholder event_id in "
-            f"{row['missing_event_ids']}/{row['total_events']} events"
+            f"{row['missing_event_ids']} of {row['total_events']} events have no id of their own"
         )
     if row["total_events"] >= min_distinct and learned < min_distinct:
         found.append(
-            f"small vocabulary: {learned} learned tokens, "
-            f"{row['distinct_tokens']} distinct observed tokens"
+            f"only {learned} tokens learned, where the events show {row['distinct_tokens']}"
         )
     return found
 
@@ -124,4 +122,4 @@ def token_warnings(quality: DataFrame, vocabulary_size: int, min_distinct: int =
 def require_events(sessions: DataFrame) -> None:
     """Raises when no session holds an event."""
     if sessions.where(_n_events(sessions) > 0).isEmpty():
-        raise RuntimeError("every session has 0 events")
+        raise RuntimeError("no session holds any event")

@@ -81,9 +81,9 @@ def check_vocabulary(
     if stats["repeated_ids"] or stats["repeated_tokens"]:
         raise ValueError("vocabulary holds a token or an id twice, or an id that is not an integer")
     if stats["size"] < min_size:
-        raise ValueError("vocabulary holds too few learned tokens")
+        raise ValueError(f"{stats['size']} tokens in all, fewer than {min_size}")
     if stats["max_token_id"] > TOKEN_ID_LIMITS[token_id_dtype]:
-        raise ValueError(f"{token_id_dtype} cannot store token id {stats['max_token_id']}")
+        raise ValueError(f"id {stats['max_token_id']} is beyond {token_id_dtype}")
 
 
 def special_ids(vocabulary: DataFrame, specials: Sequence[str] = SPECIAL_TOKENS) -> dict[str, int]:

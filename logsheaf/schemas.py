@@ -84,6 +84,7 @@ LOGS_RAW = T.StructType(
     ]
 )
 
+# The field names of parsed logs, alerts and risk profiles.
 LOGS_PARSED = T.StructType(
     [
         T.StructField("@timestamp", T.TimestampType()),

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import types as T
 
 from logsheaf.config import TRAINING_SESSIONS, TRAINING_SPLIT_DAYS
+from logsheaf.functions.tokens import token_schema
 from logsheaf.operators.quality import (
     coerce_events,
     malformed_counters,
@@ -57,7 +58,7 @@ def test_token_warnings(spark):
     assert len(token_warnings(row, 6)) == 1
     many = token_quality(sessions(spark, (1, [(str(i), "K", "N") for i in range(50)])))
     assert tuple(many.first()) == (50, 0, 50)
-    assert "small vocabulary" in token_warnings(many, 6)[0]
+    assert "tokens learned" in token_warnings(many, 6)[0]
     assert token_warnings(many, 55) == []
     assert token_quality(few, approximate=True).first()["distinct_tokens"] == 4
 
@@ -92,7 +93,7 @@ def test_null_elements_of_typed_lists(spark):
 
 
 def test_only_token_fields_are_read(spark, tmp_path):
-    rows = [(1, [(5, "A", "K", "N", True)])]
+    rows = [(1, [(5, "A", "K", "N", True), None])]
     ddl = "day int, events array<struct<time:bigint,event_id:string,auth_type:string,logon_type:string,ok:boolean>>"
     spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / "s"))
     stored = spark.read.parquet(str(tmp_path / "s"))
@@ -100,6 +101,9 @@ def test_only_token_fields_are_read(spark, tmp_path):
     def read(df):
         return df._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ")[1].split("\n")[0]
 
-    for df in (token_quality(stored), token_counts(stored)):
+    narrow = spark.read.schema(token_schema(stored.schema)).parquet(str(tmp_path / "s"))
+    for df in (token_quality(narrow), token_counts(narrow)):
         assert "event_id" in read(df) and "time" not in read(df) and "ok" not in read(df)
     assert "event_id" not in read(session_summary(stored))
+    for df in (stored, narrow):
+        assert [tuple(r) for r in token_counts(df).collect()] == [("A_K_N", 1)]
