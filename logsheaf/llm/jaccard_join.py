@@ -271,7 +271,12 @@ def _buckets(sets: _Sets) -> DataFrame:
     places = F.greatest(first - (F.col("n") - F.size("order")), F.lit(0)).cast("int")
     family_b = (
         ordered.where(F.size("order") >= 4 * F.col("n") / 5)
-        .select("set", "n", F.size("order").alias("known"), F.posexplode(F.slice("order", 1, places)).alias("at", "o"))
+        .select(
+            "set",
+            "n",
+            F.size("order").alias("known"),
+            F.posexplode(F.slice("order", 1, places)).alias("at", "o"),
+        )
         .select(
             F.struct(F.lit(1).alias("family"), "o.f", "o.gram").alias("bucket"),
             "set",
@@ -290,7 +295,9 @@ def _buckets(sets: _Sets) -> DataFrame:
         F.count("*").alias("size"),
         F.bit_xor(F.xxhash64("set", "probe", F.lit(1))).alias("one"),
         F.bit_xor(F.xxhash64("set", "probe", F.lit(2))).alias("two"),
-        F.min(F.when(F.col("probe"), F.struct(F.col("n") - F.col("shared"), "set", "n", "shared"))).alias("pivot"),
+        F.min(
+            F.when(F.col("probe"), F.struct(F.col("n") - F.col("shared"), "set", "n", "shared"))
+        ).alias("pivot"),
     )
     kept = (
         alike.where(F.col("size") > 1)
@@ -333,7 +340,8 @@ def find_components(sets: _Sets) -> DataFrame:
             F.col("pivot.set") == F.col("_pivot"),
             "left",
         )
-        .select("bucket", "set", "n", "shared", "probe", "component", F.coalesce("main", "pivot.set").alias("main"))
+        .withColumn("main", F.coalesce("main", "pivot.set"))
+        .select("bucket", "set", "n", "shared", "probe", "component", "main")
     )
     rest = labelled.where(F.col("component") != F.col("main")).select(
         "bucket",
@@ -417,7 +425,8 @@ def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     left = docs.join(gone, F.col(id) == F.col("_id"), "left_anti")
     repeated = by_id.where(F.col("rows") > 1).select(F.col("doc_id").alias("_id"))
     if found.where(F.col("doc_id").isNull()).limit(2).count() > 1:
-        repeated = repeated.unionByName(docs.sparkSession.range(1).select(F.lit(None).cast("long").alias("_id")))
+        none = docs.sparkSession.range(1).select(F.lit(None).cast("long").alias("_id"))
+        repeated = repeated.unionByName(none)
     repeated = materialize(repeated)
     if repeated.isEmpty():
         return left
