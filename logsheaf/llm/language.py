@@ -24,7 +24,7 @@ WORST = 12.0
 SWITCH = 15.0
 SCRIPT_SHARE = 0.02
 LEAST_SHARE = 0.4
-CACHED = 200_000
+CACHED = 100_000
 UNDETERMINED = "und"
 
 LETTERS = re.compile(r"[^\W\d_]+")

@@ -84,7 +84,7 @@ class PieceEncoder:
                 "pieces", pat_str=r"\p{L}+|[^\p{L}]+", mergeable_ranks=ranks, special_tokens={}
             )
             self._merge = merges._core_bpe.encode_single_piece
-        self._pretokens = _Cache(self._encode_pretoken, CACHED)
+        self._pretokens = _Cache(self._encode_pretoken, CACHED // 2)
         self.ids_of = _Cache(self._encode_piece, CACHED)
 
     @staticmethod
@@ -135,7 +135,7 @@ def encoder(path: str) -> PieceEncoder:
 
 
 def by_size(
-    batches: Iterable[pa.RecordBatch], column: str, size: int = 8 << 20
+    batches: Iterable[pa.RecordBatch], column: str, size: int = 4 << 20
 ) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``size`` bytes of text, one row at least."""
     for batch in batches:
