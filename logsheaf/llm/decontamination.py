@@ -15,6 +15,12 @@ LEAST_SHARE = 0.5
 
 # A token is a run of letters and digits; numbers keep their inner marks.
 TOKEN = r"[\p{L}\p{N}]+(?:[.,]\p{N}+)*"
+# The same, with each character of a script without spaces as a token of its own.
+_UNSPACED = (
+    r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u2FDF\u3005-\u3007\u3040-\u30FF"
+    r"\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}"
+)
+PIECE = rf"[\p{{L}}\p{{N}}&&[^{_UNSPACED}]]+(?:[.,]\p{{N}}+)*|[\p{{L}}\p{{N}}&&[{_UNSPACED}]]"
 NUMBER = r"^\p{N}[\p{N}.,]*$"
 UNITS = (
     "mm", "cm", "km", "mg", "kg", "ml", "kb", "mb", "gb", "mph", "kmh", "inch", "inches",
@@ -29,7 +35,7 @@ UNITS = (
 
 def tokens(text: Column) -> Column:
     """All tokens of a text in order; none for null."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), F.lit(0))
 
 
 def is_literal(form: Column) -> Column:
@@ -73,43 +79,59 @@ def windows(form: Column, size: int) -> Column:
     return _bound(F.transform(form, lambda f: F.xxhash64(f)), runs)
 
 
-def both_windows(text: Column, size: int) -> Column:
-    """Two windows at each position of a text, as a template and with names left as they are.
+def forms_of(size: int) -> int:
+    """How many forms of a window of ``size`` are looked up."""
+    return 3 if size >= LEAST_WINDOW else 1
 
-    The second finds passages whose case was changed.
+
+def all_windows(text: Column, size: int) -> Column:
+    """Windows at each position of a text: exact, as a template, and with names left as they are.
+
+    The last finds passages whose case was changed, the first those of numbers and units. Below
+    ``LEAST_WINDOW`` there are only exact windows.
     """
 
+    def exact(words: Column) -> Column:
+        return windows(F.transform(words, F.lower), size)
+
     def of_forms(words: Column, plain: Column) -> Column:
         templates = windows(template_forms(words, plain), size)
-        return F.flatten(F.zip_with(templates, windows(plain, size), lambda a, b: F.array(a, b)))
+        two = F.zip_with(templates, windows(plain, size), lambda a, b: F.array(a, b))
+        return F.flatten(F.zip_with(exact(words), two, lambda a, b: F.concat(F.array(a), b)))
 
-    return _bound(
-        tokens(text), lambda words: _bound(plain_forms(words), lambda plain: of_forms(words, plain))
-    )
+    def of_words(words: Column) -> Column:
+        if forms_of(size) == 1:
+            return exact(words)
+        return _bound(plain_forms(words), lambda plain: of_forms(words, plain))
+
+    return _bound(tokens(text), of_words)
 
 
 def _items(benchmark: DataFrame, id: str, text: str) -> DataFrame:
-    """Items with their tokens, forms and window size; those below ``LEAST_WINDOW`` are left out."""
+    """Items with their tokens, forms and window size; those without a token are left out."""
     rows = benchmark.select(F.col(id).alias("item_id"), tokens(F.col(text)).alias("item_words"))
     return (
-        rows.withColumn("plain", plain_forms(F.col("item_words")))
+        rows.withColumn("exact", F.transform("item_words", F.lower))
+        .withColumn("plain", plain_forms(F.col("item_words")))
         .withColumn("template", template_forms(F.col("item_words"), F.col("plain")))
         .withColumn("size", F.least(F.size("item_words"), F.lit(WINDOW)))
-        .where(F.col("size") >= LEAST_WINDOW)
+        .where(F.col("size") > 0)
     )
 
 
 def _item_windows(items: DataFrame, size: int) -> DataFrame:
-    """Windows (window, item_id, item_pos) with literal words in at least half of the places."""
-    both = None
-    for name in ("template", "plain"):
+    """Windows (window, item_id, item_pos); with placeholders, half of the places must be literal."""
+    all_forms = None
+    for name in ("exact", "template", "plain")[: forms_of(size)]:
         rows = items.where(F.col("size") == size).select(
             "item_id", name, F.posexplode(windows(F.col(name), size)).alias("item_pos", "window")
         )
-        literals = F.size(F.filter(F.slice(name, F.col("item_pos") + 1, size), is_literal))
-        rows = rows.where(2 * literals >= size).select("window", "item_id", "item_pos")
-        both = rows if both is None else both.unionByName(rows)
-    return both.distinct()
+        if name != "exact":
+            literals = F.size(F.filter(F.slice(name, F.col("item_pos") + 1, size), is_literal))
+            rows = rows.where(2 * literals >= size)
+        rows = rows.select("window", "item_id", "item_pos")
+        all_forms = rows if all_forms is None else all_forms.unionByName(rows)
+    return all_forms.distinct()
 
 
 def contaminated(
@@ -136,8 +158,11 @@ def contaminated(
     of documents and items that match. ``n_changed`` above 0 is a question with
     other values.
 
-    Items shorter than ``WINDOW`` are matched whole; below ``LEAST_WINDOW``
-    tokens they say nothing and match nothing. Documents of a null id are
+    A window with fewer than half literal words, say one of an equation, is
+    looked up with its own numbers and units only. Items shorter than ``WINDOW``
+    are matched whole, and below ``LEAST_WINDOW`` tokens only as they are, but
+    for case; one of a single word is found wherever the word is. Characters of
+    scripts without spaces are tokens. Documents of a null id are
     told apart from others but not from each other, as are those with equal
     ids; null texts are empty; empty tables give no rows; other columns are
     ignored.
@@ -151,10 +176,14 @@ def contaminated(
         indexed = small(materialize(_item_windows(items, size)))
         # Without "outer", Spark would compute all windows again in a filter before the explode.
         places = narrow.select(
-            "doc_id", F.posexplode_outer(both_windows(F.col("text"), size)).alias("at", "window")
+            "doc_id", F.posexplode_outer(all_windows(F.col("text"), size)).alias("at", "window")
         )
         found = places.join(indexed, "window").select(
-            "doc_id", "item_id", F.shiftright("at", 1).alias("pos"), "item_pos", F.lit(size).alias("size")
+            "doc_id",
+            "item_id",
+            F.floor(F.col("at") / forms_of(size)).cast("int").alias("pos"),
+            "item_pos",
+            F.lit(size).alias("size"),
         )
         hits = found if hits is None else hits.unionByName(found)
     aligned = materialize(
