@@ -134,6 +134,21 @@ def _item_windows(items: DataFrame, size: int) -> DataFrame:
     return all_forms.distinct()
 
 
+def _consistent(slots: str) -> Column:
+    """Each item value meets one document value, and names also the other way round.
+
+    Numbers and units may become equal, as 3 and 5 become 4 and 4.
+    """
+    names = F.filter(slots, lambda s: s["form"] == "<name>")
+
+    def distinct(rows: Column, field: str) -> Column:
+        return F.size(F.array_distinct(F.transform(rows, lambda s: s[field])))
+
+    return (distinct(F.col(slots), "theirs") == F.size(slots)) & (
+        distinct(names, "ours") == F.size(names)
+    )
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -146,11 +161,13 @@ def contaminated(
 
     Texts become templates, whose windows of ``WINDOW`` tokens are joined
     with the items' by hash. Windows at one distance between document and item
-    form an alignment. It counts if its slots, the places with a
+    form an alignment. It counts as a whole if its slots, the places with a
     placeholder, are filled consistently: equal values of the item always meet
-    equal values of the document and the other way round. An item is repeated
-    where an alignment covers ``LEAST_TOKENS`` tokens or ``LEAST_SHARE`` of
-    the item's windows.
+    equal values of the document, and equal names also the other way round.
+    Otherwise its windows count that repeat the item word for word, or that
+    hold no slot value in conflict with another. An item is repeated
+    where the windows that count cover ``LEAST_TOKENS`` tokens or
+    ``LEAST_SHARE`` of the item's windows.
 
     Returns (doc_id, item_id, n_windows, coverage, n_slots, n_changed): the best
     alignment's windows, their share of the item's, its distinct slot
@@ -204,28 +221,56 @@ def contaminated(
         return F.struct(
             F.lower(F.element_at("item_words", at + 1)).alias("theirs"),
             F.lower(F.try_element_at("words", at + F.col("shift") + 1)).alias("ours"),
-            is_literal(F.element_at("template", at + 1)).alias("literal"),
+            F.element_at("template", at + 1).alias("form"),
         )
 
-    covered = F.array_distinct(
-        F.flatten(
-            F.transform("starts", lambda at: F.sequence(at, at + F.col("size") - 1))
+    def covered() -> Column:
+        return F.array_distinct(
+            F.flatten(F.transform("starts", lambda at: F.sequence(at, at + F.col("size") - 1)))
         )
-    )
-    slots = F.array_distinct(F.filter(F.transform(covered, slot), lambda s: ~s["literal"]))
+
+    def slots() -> Column:
+        return F.array_distinct(
+            F.filter(F.transform("covered", slot), lambda s: ~is_literal(s["form"]))
+        )
+
+    all_slots = both.withColumn("covered", covered()).withColumn("slots", slots())
+    ambiguous = all_slots.withColumn(
+        "clashing",
+        F.filter(
+            "slots",
+            lambda s: F.exists(
+                "slots", lambda t: (s["theirs"] == t["theirs"]) != (s["ours"] == t["ours"])
+            ),
+        ),
+    ).withColumn("consistent", _consistent("slots"))
+    placed = ambiguous.withColumn(
+        "clashes", F.filter("covered", lambda at: F.array_contains("clashing", slot(at)))
+    ).withColumn("edits", F.filter("covered", lambda at: slot(at)["theirs"] != slot(at)["ours"]))
+
+    def without(places: str, at: Column) -> Column:
+        return ~F.exists(places, lambda place: (place >= at) & (place < at + F.col("size")))
+
+    kept = placed.withColumn(
+        "starts",
+        F.when(F.col("consistent"), F.col("starts")).otherwise(
+            F.filter("starts", lambda at: without("clashes", at) | without("edits", at))
+        ),
+    ).where(F.size("starts") > 0)
     item_windows = F.size("item_words") - F.col("size") + 1
-    checked = both.select(
-        "doc_id",
-        "item_id",
-        F.size("starts").alias("n_windows"),
-        F.size(covered).alias("n_tokens"),
-        (F.size("starts") / item_windows).alias("coverage"),
-        slots.alias("slots"),
+    checked = (
+        kept.withColumn("covered", covered())
+        .withColumn("slots", slots())
+        .select(
+            "doc_id",
+            "item_id",
+            F.size("starts").alias("n_windows"),
+            F.size("covered").alias("n_tokens"),
+            (F.size("starts") / item_windows).alias("coverage"),
+            "slots",
+        )
     )
     pairs = F.size("slots")
-    consistent = (F.size(F.array_distinct("slots.theirs")) == pairs) & (
-        F.size(F.array_distinct("slots.ours")) == pairs
-    )
     changed = F.size(F.filter("slots", lambda s: s["theirs"] != s["ours"]))
     enough = (F.col("n_tokens") >= LEAST_TOKENS) | (F.col("coverage") >= LEAST_SHARE)
     best = F.max(
@@ -238,7 +283,7 @@ def contaminated(
         )
     ).alias("best")
     return (
-        checked.where(consistent & enough)
+        checked.where(enough)
         .groupBy("doc_id", "item_id")
         .agg(best)
         .select(

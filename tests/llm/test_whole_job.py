@@ -32,3 +32,19 @@ def test_items_of_numbers_and_short_items(spark):
         (8, "2 3 4 5 6 7 8 9 9"),
     ]
     assert pairs(spark, docs, items) == {(1, 0): (1, 0), (3, 1): (1, 0), (5, 2): (3, 0), (7, 3): (8, 0)}
+
+
+def test_one_changed_slot_keeps_the_rest(spark):
+    text = "The old mill stands by the river where nobody has worked for a very long time"
+    item = f"{text}. The wheel is broken and all of its boards have fallen into the water below. The end"
+    sums = "Ann has 3 green pears and buys 5 more of the pears at a small shop in town today"
+    items = [(0, item), (1, sums)]
+    docs = [
+        (1, item),
+        (2, item.replace("The wheel", "A wheel")),
+        (3, sums.replace("3", "4").replace("5", "4").replace("Ann", "Eve")),
+        (4, "Ann has 3 green pears and buys 3 more of the pears at a small shop in town today"),
+    ]
+    found = pairs(spark, docs, items)
+    assert set(found) == {(1, 0), (2, 0), (3, 1), (4, 1)}
+    assert found[2, 0][1] == 0 and found[3, 1][1] == 3
