@@ -31,7 +31,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 # First code point of each range of letters, and its script.
 RANGES = (
-    (0x0041, "Latin"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"),
+    (0x0041, "Latin"), (0x02B0, "Other"), (0x0370, "Greek"), (0x0400, "Cyrillic"), (0x0530, "Armenian"),
     (0x0590, "Hebrew"), (0x0600, "Arabic"), (0x0900, "Devanagari"), (0x0980, "Bengali"),
     (0x0A00, "Gurmukhi"), (0x0A80, "Gujarati"), (0x0B00, "Odia"), (0x0B80, "Tamil"),
     (0x0C00, "Telugu"), (0x0C80, "Kannada"), (0x0D00, "Malayalam"), (0x0D80, "Sinhala"),
@@ -39,7 +39,7 @@ RANGES = (
     (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Ethiopic"), (0x1780, "Khmer"),
     (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "Other"), (0x3040, "Kana"),
     (0x3400, "Han"), (0xA000, "Other"), (0xAC00, "Hangul"), (0xD7B0, "Other"),
-    (0xF900, "Han"), (0xFB50, "Arabic"), (0xFE70, "Arabic"), (0xFF00, "Other"),
+    (0xF900, "Han"), (0xFB00, "Latin"), (0xFB13, "Armenian"), (0xFB1D, "Hebrew"), (0xFB50, "Arabic"), (0xFE70, "Arabic"), (0xFF00, "Other"),
     (0x20000, "Han"),
 )
 SCRIPTS = sorted({name for _, name in RANGES})
@@ -54,9 +54,33 @@ def scripts_of(words: list[str]) -> np.ndarray:
     return _SCRIPT_OF_RANGE[np.maximum(np.searchsorted(_STARTS, first, side="right") - 1, 0)]
 
 
+def _piece_pattern() -> str:
+    """Letters of one script, at most ``LONGEST_WORD``; those of "Other" go with any before them."""
+    classes: dict[str, str] = {name: "" for name in SCRIPTS}
+    ends = [start for start, _ in RANGES[1:]] + [0x110000]
+    for (start, name), end in zip(RANGES, ends):
+        classes[name] += f"{chr(start)}-{chr(end - 1)}"
+    other = classes.pop("Other")
+    each = [f"[{own}][{own}{other}]{{0,{LONGEST_WORD - 1}}}" for own in classes.values()]
+    return "|".join([*each, f"[{other}]{{1,{LONGEST_WORD}}}"])
+
+
+PIECE = re.compile(_piece_pattern())
+# Texts whose letters are Latin throughout.
+LATIN = re.compile("[\u0000-\u02af\u1e00-\u1eff\u2000-\u206f\u20a0-\u20bf]*")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, cut at each change of script and after each ``LONGEST_WORD`` letters."""
+    runs = LETTERS.findall(text)
+    if LATIN.fullmatch(text) and max(map(len, runs), default=0) <= LONGEST_WORD:
+        return runs
+    return [piece for run in runs for piece in PIECE.findall(run)]
+
+
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the character n-grams of all words, each between its edges, and their words."""
-    edged = [f"<{w[:LONGEST_WORD]}>" for w in words]
+    edged = [f"<{w}>" for w in words]
     lengths = np.fromiter(map(len, edged), "int64", len(edged))
     codes = np.frombuffer("".join(edged).encode("utf-32-le"), "<u4").astype("uint64")
     owner = np.repeat(np.arange(len(edged)), lengths)
@@ -119,7 +143,7 @@ def train(
         words: dict[str, Counter] = {}
         for batch in batches:
             for value, name in zip(texts_of(batch["text"]), batch["lang"].to_pylist()):
-                words.setdefault(name, Counter()).update(LETTERS.findall(value.lower()))
+                words.setdefault(name, Counter()).update(words_of(value.lower()))
         for name, seen in words.items():
             if not seen:
                 continue
@@ -221,7 +245,7 @@ class _Labeller:
         languages = self.model.languages
         predicted, spans = [UNDETERMINED] * len(texts), [[]] * len(texts)
         scores = np.zeros(len(texts))
-        words = [LETTERS.findall(t.lower()) for t in texts]
+        words = [words_of(t.lower()) for t in texts]
         order = sorted((i for i, w in enumerate(words) if w), key=lambda i: -len(words[i]))
         if order and languages:
             paths, totals = self._paths([words[i] for i in order])
@@ -245,7 +269,8 @@ def identify(
 ) -> DataFrame:
     """Language of each whole text: (doc_id, lang_pred, score, spans).
 
-    Words are runs of letters in lower case. The script of a word leaves some
+    Words are runs of letters in lower case, as ``words_of`` cuts them: at changes
+    of script, and long runs into parts. The script of a word leaves some
     languages, its n-grams score those, and the best path through all words,
     with a penalty per change, labels them. ``spans`` has the runs of
     one language as numbers of words (first, end, lang); the language with most

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from logsheaf.llm import language
 from logsheaf.llm.decontamination import contaminated
 
 
@@ -48,3 +49,14 @@ def test_one_changed_slot_keeps_the_rest(spark):
     found = pairs(spark, docs, items)
     assert set(found) == {(1, 0), (2, 0), (3, 1), (4, 1)}
     assert found[2, 0][1] == 0 and found[3, 1][1] == 3
+
+
+def test_language_of_long_and_mixed_runs(spark):
+    assert language.words_of("ab" * 50 + " c") == ["ab" * 20, "ab" * 20, "ab" * 10, "c"]
+    assert language.words_of("日本語をabc人々") == ["日本語", "を", "abc", "人々"]
+    assert language.words_of("eﬃcient обʼєкт") == ["eﬃcient", "обʼєкт"]
+    rows = [("the cat and the dog were with the other cats", "en"), ("собака и кошка были тут вместе", "ru")]
+    model = language.train(spark.createDataFrame(rows * 5, "text string, lang string"))
+    glued = [(1, "the" * 10 + "собакаикошка" * 20), (2, "собака" * 5 + "theotherdog" * 20)]
+    found = language.identify(spark.createDataFrame(glued, "doc_id long, text string"), model)
+    assert {r.doc_id: r.lang_pred for r in found.collect()} == {1: "ru", 2: "en"}
