@@ -39,6 +39,11 @@ class ToxicityModel:
     bias: float
 
 
+def lowered(text: str) -> str:
+    """Lower case of the same length: only U+0130 has a longer one."""
+    return text.replace("\u0130", "i").lower()
+
+
 def features(word: str) -> list[str]:
     """A word, and its beginnings, which its other forms share."""
     return [word, *(word[:n] + "*" for n in STEMS if len(word) > n)]
@@ -82,7 +87,7 @@ def _vocabulary(labelled: DataFrame) -> list[str]:
         seen = {0: Counter(), 1: Counter()}
         for batch in batches:
             for value, label in zip(texts_of(batch["text"]), batch["label"].to_pylist()):
-                words = set(WORDS.findall(value.lower()))
+                words = set(WORDS.findall(lowered(value)))
                 seen[label].update({f for word in words for f in features(word)})
         words = sorted(seen[0] | seen[1])
         yield pa.RecordBatch.from_arrays(
@@ -123,7 +128,7 @@ def _bags(labelled: DataFrame, vocabulary: list[str]) -> DataFrame:
         for batch in by_size(batches, "text"):
             rows = []
             for value in texts_of(batch["text"]):
-                text = value.lower()
+                text = lowered(value)
                 spans = sentences(text)
                 hits = [bag for bag in finder.bags(text, spans) if bag]
                 rows.append((max(1, len(spans)), hits))
@@ -230,13 +235,12 @@ def score(
         for batch in by_size(batches, "text"):
             scores, offending = np.zeros(batch.num_rows), [[]] * batch.num_rows
             for row, value in enumerate(texts_of(batch["text"])):
-                text = value.lower()
-                aligned = text if len(text) == len(value) else value
-                spans = sentences(aligned)
+                text = lowered(value)
+                spans = sentences(text)
                 if not any(map(get, WORDS.findall(text))):
                     scores[row] = -np.expm1(-idle * max(1, len(spans)))
                     continue
-                z = np.array([model.bias + weights[bag].sum() for bag in finder.bags(aligned, spans)])
+                z = np.array([model.bias + weights[bag].sum() for bag in finder.bags(text, spans)])
                 scores[row] = -np.expm1(-softplus(z).sum())
                 each = 1 / (1 + np.exp(-z))
                 offending[row] = [

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from logsheaf.llm import language
+from logsheaf.llm import language, toxicity
 from logsheaf.llm.decontamination import contaminated
 
 
@@ -60,3 +60,13 @@ def test_language_of_long_and_mixed_runs(spark):
     glued = [(1, "the" * 10 + "собакаикошка" * 20), (2, "собака" * 5 + "theotherdog" * 20)]
     found = language.identify(spark.createDataFrame(glued, "doc_id long, text string"), model)
     assert {r.doc_id: r.lang_pred for r in found.collect()} == {1: "ru", 2: "en"}
+
+
+def test_toxicity_of_capitals_with_a_dotted_capital_i(spark):
+    assert all(len(toxicity.lowered(chr(c))) == 1 for c in range(0x110000))
+    model = toxicity.ToxicityModel({"idiot": 9.0, "nasty": 9.0}, -6.0)
+    texts = ["YOU NASTY THING. fine", "İ YOU NASTY THING. fine", "fine. İDIOT"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    assert all(found[i].predicted == 1 for i in range(3))
+    assert [(s.start, s.end) for i in range(3) for s in found[i].offending] == [(0, 15), (0, 17), (5, 11)]
