@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsheaf.llm.pretokens import by_size, texts_of
+from logsheaf.session import materialize
 
 BUCKETS = 1 << 16
 SAMPLE = 20_000
@@ -101,12 +102,22 @@ def held_out(id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def bounded_sample(rows: DataFrame, by: str, size: int) -> DataFrame:
-    """About ``size`` rows, chosen by a hash of ``by``; all rows where there are fewer."""
-    total = rows.count()
-    if total <= size:
+def bounded_sample(rows: DataFrame, size: int) -> DataFrame:
+    """``size`` rows, those of the least hash over all columns; all rows where there are fewer.
+
+    Only hashes are ordered. Rows of the last hash are equal, so it does not matter which are taken.
+    """
+    if rows.count() <= size:
         return rows
-    return rows.where(F.pmod(F.xxhash64(by), F.lit(1 << 30)) < (1 << 30) * size // total)
+    key = F.xxhash64(*rows.columns)
+    least = materialize(rows.select(key.alias("key")).orderBy("key").limit(size))
+    last = least.agg(F.max("key")).first()[0]
+    below = least.where(F.col("key") < last).count()
+    return rows.where(key < last).unionByName(rows.where(key == last).limit(size - below))
+
+
+def id_of(docs: DataFrame, id: str) -> Column:
+    return F.col(id).cast("string") if id in docs.columns else F.lit(None).cast("string")
 
 
 @dataclass
@@ -131,9 +142,15 @@ class LanguageModel:
 
 
 def train(
-    docs: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE
+    docs: DataFrame,
+    text: str = "text",
+    lang: str = "lang",
+    sample: int = SAMPLE,
+    id: str = "doc_id",
 ) -> LanguageModel:
-    """Learns from about ``sample`` labelled rows; rows without text or language are passed over.
+    """Learns from at most ``sample`` labelled rows; rows without text or language are passed over.
+
+    Rows are chosen by their hash with ``id``, if there is one, so copies count by their share.
 
     Tasks count words and hand on n-gram counts, at most ``BUCKETS`` rows per
     language and task. The model is of languages times ``BUCKETS`` numbers.
@@ -163,10 +180,10 @@ def train(
             )
 
     labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
-        F.col(text).alias("text"), F.col(lang).alias("lang")
+        F.col(text).alias("text"), F.col(lang).alias("lang"), id_of(docs, id).alias("id")
     )
     rows = (
-        bounded_sample(labelled, "text", sample)
+        bounded_sample(labelled, sample)
         .mapInArrow(count, "lang string, bucket int, n long")
         .groupBy("lang", "bucket")
         .agg(F.sum("n").alias("n"))

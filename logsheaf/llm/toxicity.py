@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsheaf.llm.language import bounded_sample
+from logsheaf.llm.language import id_of, bounded_sample
 from logsheaf.llm.pretokens import by_size, texts_of
 
 SAMPLE = 20_000
@@ -183,18 +183,24 @@ def _fit(labels, counts, bags, size: int) -> tuple[np.ndarray, float]:
 
 
 def train(
-    docs: DataFrame, text: str = "text", label: str = "toxic", sample: int = SAMPLE
+    docs: DataFrame,
+    text: str = "text",
+    label: str = "toxic",
+    sample: int = SAMPLE,
+    id: str = "doc_id",
 ) -> ToxicityModel:
-    """Learns from about ``sample`` labelled rows; rows with another label than 0 and 1 are passed over.
+    """Learns from at most ``sample`` labelled rows; rows with another label than 0 and 1 are passed over.
 
     Words and their beginnings are chosen by how much their document share
     differs between the labels. The fit sees only those, by sentence, so what reaches the
     driver is bounded by the sample. Without both labels, the model is neutral.
     """
     labelled = docs.where(F.col(label).isin(0, 1)).select(
-        F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("int").alias("label")
+        F.coalesce(F.col(text), F.lit("")).alias("text"),
+        F.col(label).cast("int").alias("label"),
+        id_of(docs, id).alias("id"),
     )
-    labelled = bounded_sample(labelled, "text", sample).persist()
+    labelled = bounded_sample(labelled, sample).persist()
     vocabulary = _vocabulary(labelled)
     rows = _bags(labelled, vocabulary).collect() if vocabulary else []
     labelled.unpersist()

@@ -70,3 +70,14 @@ def test_toxicity_of_capitals_with_a_dotted_capital_i(spark):
     found = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
     assert all(found[i].predicted == 1 for i in range(3))
     assert [(s.start, s.end) for i in range(3) for s in found[i].offending] == [(0, 15), (0, 17), (5, 11)]
+
+
+def test_training_sample_is_bounded(spark):
+    rows = [(i, "one text of very many rows", 0) for i in range(300)] + [(300 + i, f"text {i}", 1) for i in range(600)]
+    docs = spark.createDataFrame([*rows, *[(None, "same", 0)] * 300], "doc_id long, text string, label int")
+    found = language.bounded_sample(docs, 400).toPandas()
+    assert len(found) == 400 and 60 < (found.text == "one text of very many rows").sum() < 200
+    assert found[found.text.str.startswith("text")].text.is_unique
+    equal = spark.createDataFrame([("same", 0)] * 50, "text string, label int")
+    assert language.bounded_sample(equal, 20).count() == 20
+    assert language.bounded_sample(equal, 50).count() == 50
