@@ -230,7 +230,7 @@ def redact(
     _, found = findings(docs, ledger, rules, id, text)
     keyed = docs.withColumn("_blob", address(F.col(text)))
     spans = materialize(found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")))
-    joined = keyed.join(small(spans), "_blob", "left")
+    joined = keyed.join(small(spans, weight=1 + F.size("_spans")), "_blob", "left")
     changed = joined.withColumn(
         text,
         F.when(F.col("_spans").isNull(), F.col(text)).otherwise(

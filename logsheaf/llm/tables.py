@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1_000_000
 
 
-def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def small(table: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
     """A written table of narrow rows, marked for broadcasting up to ``rows`` of them.
 
-    Beyond that the join shuffles both sides, with the same result.
+    With ``weight``, say the length of a list in each row, its sum counts
+    instead. Beyond that the join shuffles both sides, with the same result.
     """
-    return F.broadcast(table) if table.count() <= rows else table
+    total = table.count() if weight is None else table.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(table) if total <= rows else table

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from logsheaf.llm import language, toxicity
 from logsheaf.llm.decontamination import contaminated
+from logsheaf.llm.tables import small
 
 
 def pairs(spark, docs, items):
@@ -81,3 +84,11 @@ def test_training_sample_is_bounded(spark):
     equal = spark.createDataFrame([("same", 0)] * 50, "text string, label int")
     assert language.bounded_sample(equal, 20).count() == 20
     assert language.bounded_sample(equal, 50).count() == 50
+
+
+def test_lists_count_in_what_is_broadcast(spark):
+    table = spark.range(3).withColumn("spans", F.array_repeat(F.lit(1), 10))
+    few, many = small(table, 40, F.size("spans")), small(table, 20, F.size("spans"))
+    hinted = ["ResolvedHint" in t._jdf.queryExecution().analyzed().toString() for t in (few, many)]
+    assert hinted == [True, False]
+    assert many.count() == 3
