@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsheaf.llm import chat, language, oracle, secret_scan, toxicity, url_filter
+from logsheaf.llm import chat, conversation_repair, language, oracle, secret_scan, toxicity, url_filter
+from logsheaf.llm.collision_search import nearest
 from logsheaf.llm.decontamination import contaminated
 from logsheaf.llm.jaccard_join import near_duplicates
 from logsheaf.llm.language import held_out
 from logsheaf.llm.lz_fingerprints import compare_with_edits
 from logsheaf.llm.packing import pack
+from logsheaf.llm.prefix_trie import prefix_trie
 from logsheaf.llm.token_counts import count_tokens
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -133,6 +135,48 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """The conversations with the faults that a hash of conversation and turn picks.
+
+    A dropped row stays as one that is ``lost``, so that its conversation is known.
+    """
+    space = F.lit(" ")
+    name = F.concat_ws(
+        ":", *(F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn"))
+    )
+    rows = turns.select(
+        "conv_id",
+        "turn",
+        F.coalesce("role", space).alias("role"),
+        F.coalesce("text", space).alias("text"),
+        (F.crc32(name.cast("binary")) % 20).alias("fate"),
+    )
+    text = F.when(F.col("fate") == 1, "").when(
+        F.col("fate") == 2, F.translate("text", ".!?", "")
+    )
+    return rows.select(
+        "conv_id",
+        "turn",
+        F.when(F.col("fate") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.coalesce(text, F.col("text")).alias("text"),
+        (F.col("fate") == 0).alias("lost"),
+        F.explode(F.array_repeat(F.lit(0), F.when(F.col("fate") == 3, 2).otherwise(1))).alias("copy"),
+    ).drop("copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = damaged(_table(spark, sf_dir, "conversations"))
+    return conversation_repair.summaries(conversation_repair.repair(turns, lost="lost"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
@@ -144,6 +188,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE: dict[str, str] = {
