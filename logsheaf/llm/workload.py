@@ -6,7 +6,16 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsheaf.llm import chat, conversation_repair, language, oracle, secret_scan, toxicity, url_filter
+from logsheaf.llm import (
+    chat,
+    conversation_oracle,
+    conversation_repair,
+    language,
+    oracle,
+    secret_scan,
+    toxicity,
+    url_filter,
+)
 from logsheaf.llm.collision_search import nearest
 from logsheaf.llm.decontamination import contaminated
 from logsheaf.llm.jaccard_join import near_duplicates
@@ -198,4 +207,6 @@ ORACLE: dict[str, str] = {
     "op3_secret_scan": oracle.SECRETS,
     "op4_chat_formatting": oracle.CHAT,
     "op5_ngram_jaccard_join": oracle.NEAR_DUPLICATES,
+    "op11_conversation_repair": conversation_oracle.REPAIR,
+    "op13_prefix_trie": conversation_oracle.TRIE,
 }

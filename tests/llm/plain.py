@@ -138,8 +138,10 @@ def trie(rows, heads=6):
     own = defaultdict(list)
     for conv, turn, role, text in rows:
         if conv is not None:
-            own[conv].append((turn is not None, turn or 0, role or "", text or ""))
-    turns = {c: [r[2:] for r in sorted(o)] for c, o in own.items()}
+            role, text = role or "", text or ""
+            tie = hashlib.sha256(f"{len(role)}:{role}{text}".encode()).hexdigest()
+            own[conv].append((turn is not None, turn or 0, role, tie, text))
+    turns = {c: [(r[2], r[4]) for r in sorted(o)] for c, o in own.items()}
     members, ends = defaultdict(set), defaultdict(list)
     for conv, mine in turns.items():
         h = zlib.crc32(str(conv).encode()) % heads
