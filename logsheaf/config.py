@@ -84,6 +84,7 @@ WILDCARD = "<*>"
 
 # Template mining settings.
 DRAIN_SIMILARITY = 0.4
+DRAIN_CHILDREN = 100
 
 # Declared scoring settings.
 RECONSTRUCTION_WEIGHT = 0.6
@@ -125,6 +126,9 @@ TOKEN_ID_SPARK_TYPES = {"int16": "smallint", "int32": "int", "int64": "bigint"}
 class SessionConfig:
     """Sliding-window session parameters.
 
+    With ``merge_similar`` the sessions job gives similar messages one template,
+    within a tree of ``prefix_tokens`` levels of at most ``max_children`` children.
+
     ``hot_group_rows`` and ``max_hot_groups`` only choose the physical route
     of large groups (see ``operators.sessions``); they never change results.
     """
@@ -137,6 +141,10 @@ class SessionConfig:
     id_hex_chars: int = 8
     hot_group_rows: int | None = 1_000_000
     max_hot_groups: int = 100_000
+    merge_similar: bool = False
+    similarity: float = DRAIN_SIMILARITY
+    prefix_tokens: int = 1
+    max_children: int = DRAIN_CHILDREN
 
     def __post_init__(self) -> None:
         for name in ("window_mins", "stride_mins", "min_events", "max_tokens"):
@@ -148,6 +156,10 @@ class SessionConfig:
             raise ValueError("id_hex_chars must be between 1 and 64")
         if self.hot_group_rows is not None and self.hot_group_rows <= 0:
             raise ValueError("hot_group_rows must be > 0, or None to turn the check off")
+        if not 0 < self.similarity <= 1:
+            raise ValueError("similarity must be above 0 and at most 1")
+        if self.prefix_tokens < 0 or self.max_children < 1:
+            raise ValueError("prefix_tokens must be >= 0 and max_children >= 1")
         if self.max_hot_groups <= 0:
             raise ValueError("max_hot_groups must be > 0")
 

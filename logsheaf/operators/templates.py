@@ -1,4 +1,4 @@
-"""Log templates: signatures, stable ids, parameters and similarity merging."""
+"""Log templates: signatures, stable ids and parameters."""
 
 from __future__ import annotations
 
@@ -7,18 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsheaf.config import (
-    DRAIN_SIMILARITY,
-    MESSAGE_MASKS,
-    WILDCARD,
-)
+from logsheaf.config import MESSAGE_MASKS, WILDCARD
 from logsheaf.functions.masking import with_masked
 from logsheaf.functions.text import strip
-from logsheaf.operators.components import connected_components
 from logsheaf.operators.joins import BROADCAST_BYTES, lookup_join
 from logsheaf.operators.ranking import with_position
 from logsheaf.schemas import TEMPLATE
-from logsheaf.session import materialize
 
 # The fields of an authentication message, in order.
 MESSAGE_FIELDS = (
@@ -209,126 +203,3 @@ def template_params(message: Column, template: Column) -> Column:
 def template_count(templates: DataFrame) -> DataFrame:
     """Merged signatures share one template and count once."""
     return templates.agg(F.countDistinct("template_id").alias("templates"))
-
-
-def _shared_places(a: str, b: str) -> Column:
-    """Number of places at which two token lists have the same token, wildcards aside."""
-    same = F.zip_with(a, b, lambda x, y: (x == y) & (x != WILDCARD))
-    return F.size(F.filter(same, lambda equal: equal))
-
-
-def similar_pairs(signatures: DataFrame, similarity: float, prefix_tokens: int) -> DataFrame:
-    """Links (a, b) that connect the same signatures as all similar pairs do.
-
-    Similar signatures share one of their rarest (place, token) items, so
-    only those are joined. In each such bucket the earliest signature is compared
-    with the others; what is not connected then is compared with the rest of
-    the bucket. No task gathers a bucket.
-    """
-    tokens = F.split("signature", " ")
-    leaf = F.concat_ws(" ", F.size(tokens), F.slice(tokens, 1, prefix_tokens))
-    rows = materialize(
-        signatures.select("signature", "first_seen", tokens.alias("tokens"), leaf.alias("leaf"))
-    )
-    items = (
-        rows.select("signature", "leaf", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token"))
-        .where(F.col("token") != WILDCARD)
-        .withColumn("item", F.struct("leaf", "place", "token"))
-    )
-    frequency = materialize(items.groupBy("item").agg(F.count("*").alias("f")))
-    needed = F.greatest(F.ceil(F.col("n") * similarity), F.lit(1))
-    ordered = (
-        items.join(frequency, "item")
-        .groupBy("signature", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("f", "item"))).alias("order"))
-        .withColumn("first", F.greatest(F.size("order") - needed + 1, F.lit(0)).cast("int"))
-        .select("signature", F.explode(F.slice("order", 1, F.col("first"))).alias("o"))
-        .where(F.col("o.f") > 1)
-        .select("signature", F.col("o.item").alias("item"))
-    )
-    members = materialize(ordered.join(rows.select("signature", "first_seen"), "signature"))
-    pivots = members.groupBy("item").agg(F.min(F.struct("first_seen", "signature")).alias("pivot"))
-    around = materialize(
-        members.join(pivots.select("item", F.col("pivot.signature").alias("pivot")), "item")
-    )
-
-    def similar(pairs: DataFrame) -> DataFrame:
-        left = rows.select(F.col("signature").alias("a"), F.col("tokens").alias("_a"))
-        right = rows.select(F.col("signature").alias("b"), F.col("tokens").alias("_b"))
-        return (
-            pairs.join(left, "a")
-            .join(right, "b")
-            .where(_shared_places("_a", "_b") >= F.size("_a") * similarity)
-            .select("a", "b")
-        )
-
-    star = (
-        around.where(F.col("signature") != F.col("pivot"))
-        .select(F.col("pivot").alias("a"), F.col("signature").alias("b"))
-        .distinct()
-    )
-    links = materialize(similar(star))
-    labels = connected_components(links)
-    labelled = materialize(
-        around.join(labels.select(F.col("node").alias("signature"), "component"), "signature", "left")
-        .join(labels.select(F.col("node").alias("pivot"), F.col("component").alias("main")), "pivot", "left")
-        .select(
-            "item",
-            "signature",
-            F.coalesce("component", "signature").alias("component"),
-            F.coalesce("main", "pivot").alias("main"),
-        )
-    )
-    apart = labelled.where(F.col("component") != F.col("main")).select(
-        "item", F.col("signature").alias("a"), F.col("component").alias("_a")
-    )
-    others = labelled.select("item", F.col("signature").alias("b"), F.col("component").alias("_b"))
-    more = apart.join(others, "item").where(F.col("_a") != F.col("_b")).select("a", "b").distinct()
-    return links.unionByName(similar(more))
-
-
-def merge_similar(
-    signatures: DataFrame, similarity: float = DRAIN_SIMILARITY, prefix_tokens: int = 1
-) -> DataFrame:
-    """Templates after merging similar signatures, as TEMPLATE rows.
-
-    Signatures with equal token count and first tokens are similar where at
-    least the share ``similarity`` of their places holds the same token,
-    wildcards aside. What similar pairs connect is one template: places that
-    differ become wildcards, and its id follows the earliest member. The result
-    depends neither on order nor on the number of signatures.
-    """
-    labels = connected_components(similar_pairs(signatures, similarity, prefix_tokens))
-    parts = materialize(
-        signatures.join(labels.withColumnRenamed("node", "signature"), "signature", "left")
-        .withColumn("component", F.coalesce("component", "signature"))
-        .withColumn("_tokens", F.split("signature", " "))
-    )
-    places = (
-        parts.select("component", F.posexplode("_tokens").alias("place", "token"))
-        .groupBy("component", "place")
-        .agg(F.min("token").alias("least"), F.max("token").alias("most"))
-        .withColumn("token", F.when(F.col("least") == F.col("most"), F.col("least")).otherwise(WILDCARD))
-    )
-    texts = places.groupBy("component").agg(
-        F.array_sort(F.collect_list(F.struct("place", "token"))).alias("_places")
-    )
-    leaders = parts.groupBy("component").agg(
-        F.min(F.struct("first_seen", "signature")).alias("leader")
-    )
-    ids = with_position(
-        leaders.select("component", "leader.first_seen", "leader.signature"),
-        F.col("first_seen"),
-        F.col("signature"),
-    ).select("component", (F.col("position") + 1).cast("int").alias("template_id"))
-    named = texts.join(ids, "component").select(
-        "component",
-        "template_id",
-        F.array_join(F.transform("_places", lambda p: p["token"]), " ").alias("template"),
-    )
-    return (
-        parts.join(named, "component")
-        .withColumn("n_tokens", F.size("_tokens"))
-        .select(*TEMPLATE.fieldNames())
-        .to(TEMPLATE)
-    )

@@ -118,6 +118,48 @@ PARTS = {
                     FROM groups)
               GROUP BY leader, place)
         GROUP BY leader""",
+    "first_linked": """
+        SELECT signature AS member, signature AS other FROM drained WHERE first_seen < 86400
+        UNION SELECT member, b FROM first_linked JOIN alike ON other = a
+              JOIN drained ON b = signature WHERE first_seen < 86400""",
+    "first_ids": """
+        SELECT member AS signature, dense_rank() OVER (ORDER BY first_seen, leader) AS stored_id
+        FROM (SELECT member, arg_min(other, (first_seen, other)) AS leader
+              FROM first_linked JOIN drained ON other = signature GROUP BY member)
+        JOIN drained ON leader = signature""",
+    "met": """
+        SELECT leader, min(stored_id) AS oldest FROM groups LEFT JOIN first_ids ON member = signature
+        GROUP BY leader""",
+    "met_ids": """
+        SELECT leader, coalesce(oldest, (SELECT max(stored_id) FROM first_ids)
+                 + row_number() OVER (PARTITION BY oldest IS NULL ORDER BY first_seen, leader)) AS template_id
+        FROM met JOIN drained ON leader = signature""",
+    "wide": """
+        SELECT signature, min(time) AS first_seen, count(*) AS n_events, string_split(signature, ' ') AS t
+        FROM (SELECT time, translate(src_user, '0123456789', 'abcdefghij') || ' ' || auth_type || '-'
+                || translate(src_computer, '01', 'ab') || ' ' || auth_orientation AS signature FROM auth)
+        GROUP BY signature""",
+    "wide_names": """
+        SELECT t[1] AS name, row_number() OVER (ORDER BY min(first_seen), t[1]) AS r FROM wide GROUP BY t[1]""",
+    "wide_leaves": """
+        SELECT wide.*, CASE WHEN r < 100 THEN name ELSE '*' END AS leaf FROM wide JOIN wide_names ON name = t[1]""",
+    "wide_alike": """
+        SELECT a.signature AS a, b.signature AS b FROM wide_leaves a JOIN wide_leaves b USING (leaf)
+        WHERE len(list_filter(list_zip(a.t, b.t), lambda p: p[1] = p[2])) >= 1.8""",
+    "wide_linked": """
+        SELECT signature AS member, signature AS other FROM wide
+        UNION SELECT member, b FROM wide_linked JOIN wide_alike ON other = a""",
+    "wide_groups": """
+        SELECT member, arg_min(other, (first_seen, other)) AS leader
+        FROM wide_linked JOIN wide ON other = signature GROUP BY member""",
+    "wide_texts": """
+        SELECT leader, string_agg(token, ' ' ORDER BY place) AS template
+        FROM (SELECT leader, place,
+                     CASE WHEN count(DISTINCT token) = 1 THEN min(token) ELSE '<*>' END AS token
+              FROM (SELECT leader, unnest(range(1, 4)) AS place, unnest(string_split(member, ' ')) AS token
+                    FROM wide_groups)
+              GROUP BY leader, place)
+        GROUP BY leader""",
     "lines": r"""
         SELECT *, CASE WHEN value < 3 THEN 0 WHEN value < 20 THEN 7 ELSE 9 END AS fields FROM keyed""",
 }
@@ -186,6 +228,16 @@ ORACLE = {
         FROM drained JOIN groups ON signature = member
         JOIN (SELECT leader, first_seen FROM groups JOIN drained ON leader = signature GROUP BY ALL) led USING (leader)
         JOIN texts USING (leader)""",
+    "template_merged_runs": """
+        SELECT d.signature, CAST(coalesce(stored_id, template_id) AS INTEGER) AS stored_id,
+               CAST(template_id AS INTEGER) AS template_id, template
+        FROM drained d JOIN groups ON d.signature = member JOIN met_ids USING (leader) JOIN texts USING (leader)
+        LEFT JOIN first_ids USING (signature)""",
+    "template_wide_tree": """
+        SELECT wide.signature, CAST(dense_rank() OVER (ORDER BY led.first_seen, leader) AS INTEGER) AS template_id,
+               template, 3 AS n_tokens, wide.first_seen, wide.n_events
+        FROM wide JOIN wide_groups ON wide.signature = member JOIN wide led ON leader = led.signature
+        JOIN wide_texts USING (leader)""",
     "coerced_events": """
         SELECT event_id AS "row",
                CASE event_type WHEN 'view' THEN CAST('10' || event_id AS BIGINT) ELSE event_id END AS time,

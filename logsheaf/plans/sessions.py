@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logsheaf.config import SessionConfig
 from logsheaf.functions.identity import host_key, user_key
+from logsheaf.operators.merging import extend_merged, resolved
 from logsheaf.operators.parse import in_days, parse_auth_lines
 from logsheaf.operators.quality import rows_per_day
 from logsheaf.operators.sessions import GROUP, build_sessions, prepare_events
@@ -19,7 +20,7 @@ from logsheaf.operators.templates import (
     recounted,
     with_auth_signature,
 )
-from logsheaf.schemas import SESSION_EVENT, TEMPLATE
+from logsheaf.schemas import SESSION_EVENT, TEMPLATE, TEMPLATE_ALIAS
 from logsheaf.session import discard, materialize, planned_bytes, sized_shuffles, table_exists
 from logsheaf.sources.logs import read_log_lines
 from logsheaf.sources.metrics import write_metrics
@@ -75,6 +76,34 @@ def sessions_of(
     )
 
 
+def read_aliases(spark: SparkSession, templates_path: str) -> DataFrame:
+    """Template ids that met an older one, in all runs so far."""
+    path = f"{templates_path}_aliases"
+    if table_exists(spark, path):
+        return spark.read.schema(TEMPLATE_ALIAS).parquet(path)
+    return spark.createDataFrame([], TEMPLATE_ALIAS)
+
+
+def extend_templates(mined: DataFrame, path: str, config: SessionConfig = SessionConfig()) -> DataFrame:
+    """Adds the new signatures of ``mined`` to the stored templates; all of them.
+
+    Ids only grow. With ``merge_similar`` the ids that met are stored first, at
+    ``<path>_aliases``: a run that stops in between finds the same again.
+    """
+    spark = mined.sparkSession
+    known = spark.read.schema(TEMPLATE).parquet(path) if table_exists(spark, path) else None
+    if config.merge_similar:
+        fresh, met = extend_merged(
+            mined, known, read_aliases(spark, path),
+            config.similarity, config.prefix_tokens, config.max_children,
+        )
+        met.write.mode("append").parquet(f"{path}_aliases")
+    else:
+        fresh = assign_template_ids(mined, known)
+    fresh.write.mode("append").parquet(path)
+    return spark.read.schema(TEMPLATE).parquet(path)
+
+
 def write_template_counts(staged: DataFrame, path: str) -> DataFrame:
     """Replaces the days of ``staged`` in the counts (day, signature, n_events); all days' sums."""
     spark = staged.sparkSession
@@ -129,14 +158,9 @@ def _run(
     events = parse_auth_lines(lines, observation=counts)
     staged = stage_events(in_days(events, start_day, end_day), config)
 
-    known = (
-        spark.read.schema(TEMPLATE).parquet(templates_path)
-        if table_exists(spark, templates_path)
-        else None
-    )
-    assign_template_ids(mine_signatures(staged), known).write.mode("append").parquet(templates_path)
-    ids = spark.read.schema(TEMPLATE).parquet(templates_path)
-    templates = recounted(ids, write_template_counts(staged, f"{templates_path}_counts"))
+    ids = extend_templates(mine_signatures(staged), templates_path, config)
+    named = resolved(ids, read_aliases(spark, templates_path)) if config.merge_similar else ids
+    templates = recounted(named, write_template_counts(staged, f"{templates_path}_counts"))
 
     days = [row["day"] for row in staged.select("day").distinct().collect()]
     write_sessions(sessions_of(staged, ids, config), sessions_path, days)

@@ -35,6 +35,7 @@ from logsheaf.operators.parse import (
     parse_auth_lines,
     parse_counters,
 )
+from logsheaf.operators.merging import extend_merged, merge_similar, resolved
 from logsheaf.operators.quality import (
     coerce_events,
     malformed_counters,
@@ -48,12 +49,12 @@ from logsheaf.operators.templates import (
     assign_template_ids,
     auth_message,
     enrich,
-    merge_similar,
     mine_signatures,
     mine_templates,
     template_count,
     template_params,
     with_auth_signature,
+    with_signature,
 )
 from logsheaf.operators.vocabulary import (
     rank_tokens,
@@ -61,7 +62,7 @@ from logsheaf.operators.vocabulary import (
     token_counts,
     vocabulary_stats,
 )
-from logsheaf.plans.sessions import sessions_of, stage_events
+from logsheaf.plans.sessions import extend_templates, read_aliases, sessions_of, stage_events
 from logsheaf.session import discard, materialize, scratch_path, table_exists
 from logsheaf.sources.logs import read_log_lines
 from logsheaf.sources.sessions import read_sessions, write_sessions
@@ -427,6 +428,36 @@ def template_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _seven_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = auth_events(spark, sf_dir).drop("dst_user", "auth_orientation")
+    return with_auth_signature(events, keep_digit_tokens=["logon_type"]).select("time", "signature")
+
+
+def merged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged templates of the first day, stored, then extended by all days.
+
+    Beside each signature's stored id stand the present id and text of its cluster.
+    """
+    path, config = scratch_path(spark), SessionConfig(merge_similar=True)
+    messages = materialize(_seven_columns(spark, sf_dir))
+    extend_templates(mine_signatures(messages.where(F.col("time") < 86_400)), path, config)
+    stored = extend_templates(mine_signatures(messages), path, config)
+    present = resolved(stored, read_aliases(spark, path))
+    return stored.select("signature", F.col("template_id").alias("stored_id")).join(
+        present.select("signature", "template_id", "template"), "signature"
+    )
+
+
+def wide_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merging of messages that begin with more names than a node of the tree has children."""
+    named = F.translate(F.col("src_user"), "0123456789", "abcdefghij")
+    kind = F.concat_ws("-", "auth_type", F.translate("src_computer", "01", "ab"))
+    message = F.concat_ws(" ", named, kind, "auth_orientation")
+    events = materialize(auth_events(spark, sf_dir).select("time", message.alias("message")))
+    signatures = mine_signatures(with_signature(events, F.col("message")))
+    return merge_similar(signatures, similarity=0.6)
+
+
 # --- vocabulary and tokens --------------------------------------------------
 
 
@@ -663,6 +694,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "template_params": params,
     "template_count": templates_total,
     "template_drain": template_drain,
+    "template_merged_runs": merged_runs,
+    "template_wide_tree": wide_tree,
     "token_counts": counts,
     "token_counts_null_events": counts_beside_nulls,
     "vocabulary": vocabulary,

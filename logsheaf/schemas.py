@@ -66,6 +66,13 @@ TEMPLATE = T.StructType(
     ]
 )
 
+TEMPLATE_ALIAS = T.StructType(
+    [
+        T.StructField("template_id", T.IntegerType()),
+        T.StructField("merged_into", T.IntegerType()),
+    ]
+)
+
 VOCABULARY = T.StructType(
     [
         T.StructField("token", T.StringType()),

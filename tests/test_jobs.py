@@ -303,3 +303,27 @@ def test_stale_sequences_do_not_pass_for_missing_ones(spark, built, tmp_path):
     chunks = spark.read.parquet(f"{out}_chunks").agg(F.count("*"), F.sum("sessions")).first()
     report = spark.read.parquet(f"{out}_manifest").first()
     assert tuple(chunks) == (report["chunk_count"], report["session_count"])
+
+
+def test_merged_templates_keep_their_ids_over_runs(spark, tmp_path):
+    config = SessionConfig(window_mins=120, stride_mins=60, merge_similar=True, similarity=0.3)
+    out = [str(tmp_path / name) for name in ("sessions", "templates")]
+    for day in (1, 2, 3):
+        (tmp_path / f"{day}.txt").write_text("\n".join(log_lines((day,), seed=day)) + "\n")
+    first = run_sessions(spark, [str(tmp_path / "1.txt")], *out, 1, 1, config)
+    before = {r["signature"]: r["template_id"] for r in first.templates.collect()}
+    assert len(set(before.values())) == 1 < len(before)
+    assert {r["template"] for r in first.templates.collect()} == {
+        "<*> <*> <*> <*> <*> <*> auth_orientation=LogOn <*>"
+    }
+    second = run_sessions(
+        spark, [str(tmp_path / f"{day}.txt") for day in (2, 3)], *out, 2, 3, config
+    )
+    after = {r["signature"]: r["template_id"] for r in second.templates.collect()}
+    assert before.items() <= after.items() and len(after) > len(before)
+    events = second.sessions.select(F.explode("events.event_id").alias("id")).distinct()
+    assert {r["id"] for r in events.collect()} == {"1"}
+    # The first day again: nothing moves.
+    run_sessions(spark, [str(tmp_path / "1.txt")], *out, 1, 1, config)
+    stored = spark.read.parquet(out[1])
+    assert {r["signature"]: r["template_id"] for r in stored.collect()} == after

@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 
 from logsheaf.functions.masking import with_masked
 from logsheaf.operators.joins import lookup_join
+from logsheaf.operators.merging import extend_merged, merge_similar, resolved, with_leaf
 from logsheaf.operators.templates import (
     MESSAGE_FIELDS,
     auth_message,
     enrich,
-    merge_similar,
     mine_signatures,
     mine_templates,
     template_count,
@@ -141,3 +141,93 @@ def test_merge_matches_all_pairs(spark):
 def test_signatures_combine(spark):
     mined = mine_signatures(pair(spark)).collect()
     assert [(r["n_events"], r["first_seen"]) for r in mined] == [(2, 1)]
+
+
+SIGNATURES = "signature string, first_seen bigint, n_events bigint"
+
+
+def test_merge_of_long_messages(spark, monkeypatch):
+    """Too many sets for one listing: lists grow only where nodes stay apart."""
+    from logsheaf.operators import merging
+
+    draw = random.Random(12)
+    for keys, places, letters in ((128, 14, "abcd"), (1, 5, "abcd")):
+        monkeypatch.setattr(merging, "KEYS", keys)
+        texts = {" ".join(["x"] + [draw.choice(letters) for _ in range(places)]) for _ in range(60)}
+        rows = [(text, draw.randrange(40), 1) for text in texts]
+        df = spark.createDataFrame(rows, SIGNATURES)
+        got = {r["signature"]: (r["template"], r["template_id"]) for r in merge_similar(df, 0.7).collect()}
+        assert got == merge_all_pairs([(s, t) for t, s, _ in rows], 0.7)
+
+
+def test_pages_just_below_the_threshold_form_no_pairs(spark):
+    """Many messages with most places equal and yet unlike: lists stay in proportion."""
+    from logsheaf.operators.merging import similar_links
+
+    n = 600
+    texts = [f"t a b c d p{i} q{i} r{i} s{i} u{i}" for i in range(n)]
+    rows = spark.createDataFrame([(i, "l", t.split(" "), True) for i, t in enumerate(texts)],
+                                 "node bigint, leaf string, tokens array<string>, fresh boolean")
+    assert similar_links(materialize(rows), 0.6).count() == 0
+    assert similar_links(materialize(rows), 0.5).count() == n - 1
+
+
+def test_first_children_keep_their_place(spark):
+    rows = [(f"w{i} x", i // 2, 1) for i in range(9)] + [("<*> x", 0, 1), ("w0", 5, 1), ("w1 y", 9, 1)]
+    df = spark.createDataFrame(rows, SIGNATURES)
+    leaves = {r["signature"]: r["leaf"] for r in with_leaf(df, 1, 4).collect()}
+    assert {s for s, leaf in leaves.items() if leaf == "2 <*>"} == {f"w{i} x" for i in range(3, 9)} | {"<*> x"}
+    assert leaves["w1 x"] == leaves["w1 y"] == "2 w1" and leaves["w0"] == "1 w0"
+    deep = {r["leaf"] for r in with_leaf(df, 2, 2).collect()}
+    assert deep == {"2 w0 x", "2 <*> x", "2 <*> <*>", "1 w0 "}
+
+
+def two_runs(first, second, similarity):
+    """Ids after two runs, from all pairs; signatures: (first_seen, text)."""
+    known = {text: number for text, (_, number) in merge_all_pairs(first, similarity).items()}
+    new = [s for s in second if s[1] not in known]
+    whole = merge_all_pairs(first + new, similarity)
+    groups = {}
+    for seen, text in sorted(first + new):
+        groups.setdefault(whole[text][1], []).append((seen, text))
+    ids, following, present = dict(known), max(known.values()), {}
+    for _, own in sorted(groups.items(), key=lambda g: min(g[1])):
+        old = [known[text] for _, text in own if text in known]
+        if not old:
+            following += 1
+        number = min(old) if old else following
+        for _, text in own:
+            ids.setdefault(text, number)
+            present[text] = (number, whole[text][0])
+    return ids, present
+
+
+def test_runs_extend_clusters(spark):
+    draw = random.Random(21)
+    texts = list({" ".join(["<*>"] + [draw.choice("abcdefghijkl") for _ in range(5)]) for _ in range(150)})
+    first = [(draw.randrange(9), t) for t in texts[:40]]
+    second = [(9 + draw.randrange(9), t) for t in texts[20:]]
+
+    def mined(rows):
+        return spark.createDataFrame([(t, s, 1) for s, t in rows], SIGNATURES)
+
+    none = spark.createDataFrame([], "template_id int, merged_into int")
+    known = materialize(extend_merged(mined(first), None, None)[0])
+    fresh, met = (materialize(t) for t in extend_merged(mined(second), known, none))
+    stored = materialize(known.unionByName(fresh))
+    ids, present = two_runs(first, second, 0.4)
+    assert {r["signature"]: r["template_id"] for r in stored.collect()} == ids
+    assert met.count() > 0
+    got = {r["signature"]: (r["template_id"], r["template"]) for r in resolved(stored, met).collect()}
+    assert got == present
+    # Nothing new: no id moves, and no alias is added.
+    again = extend_merged(mined(second), stored, met)
+    assert again[0].count() == again[1].count() == 0
+    # A bridge between two clusters makes one the alias of the other, and of its aliases.
+    apart = [(0, "<*> a a a z z"), (1, "<*> b b b y y"), (2, "<*> c c c x x")]
+    known, aliases = materialize(extend_merged(mined(apart), None, None, 0.3)[0]), none
+    for bridge in ((3, "<*> b b b x x"), (4, "<*> b b b z z"), (5, "<*> a a a y y")):
+        fresh, met = extend_merged(mined([bridge]), known, aliases, 0.3)
+        known, aliases = (materialize(a.unionByName(b)) for a, b in ((known, fresh), (aliases, met)))
+    present = {r["signature"]: r["template_id"] for r in resolved(known, aliases).collect()}
+    assert set(present.values()) == {1}
