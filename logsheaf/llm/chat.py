@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
+TURN, TEXT, JOINT, END = "<|turn|>", "<|text|>", "<|part|>", "<|end|>"
 
 # A control string is an opening bracket and a tail. Escaping adds one backslash
 # between the two, whatever number is there, so it can be undone exactly.
@@ -71,23 +71,25 @@ def _is_attachment(part: Column) -> Column:
 
 def _segments(role: Column, parts: Column) -> Column:
     """A turn as segments (text, loss): header, one per part, end."""
-    learned = F.coalesce(role == "assistant", F.lit(False))
+    learned, none = F.coalesce(role == "assistant", F.lit(False)), F.lit(False)
 
     def segment(text: Column, loss: Column) -> Column:
         return F.struct(text.alias("text"), loss.alias("loss"))
 
-    def visit(part: Column) -> Column:
+    def visit(part: Column, place: Column) -> Column:
         placeholder = F.concat(F.lit("<|"), part["type"], F.lit("|>"))
         text = F.when(_is_attachment(part), placeholder).otherwise(
             escaped(F.coalesce(part["text"], F.lit("")))
         )
-        return segment(text, learned & ~_is_attachment(part))
+        own = segment(text, learned & ~_is_attachment(part))
+        # Between texts stands a mark, or two of them could make up a control string.
+        follows = (place > 0) & ~_is_attachment(part) & ~_is_attachment(F.get(parts, place - 1))
+        return F.when(follows, F.array(segment(F.lit(JOINT), none), own)).otherwise(F.array(own))
 
     header = F.concat(F.lit(TURN), escaped(F.coalesce(role, F.lit(""))), F.lit(TEXT))
-    none = F.lit(False)
     return F.concat(
         F.array(segment(header, none)),
-        F.transform(parts, visit),
+        F.flatten(F.transform(parts, visit)),
         F.array(segment(F.lit(END), none)),
     )
 
@@ -102,7 +104,7 @@ def format_chat(
     """One row per conversation: (conv_id, n_turns, formatted, loss_spans, attachments, n_attached).
 
     ``parts`` is an array of ``PART``. A visitor writes text parts escaped and
-    the other types as ``<|type|>``. The n-th placeholder belongs to the n-th
+    the other types as ``<|type|>``, with a mark between adjacent texts. The n-th placeholder belongs to the n-th
     of ``attachments`` (type, uri, tokens); ``n_attached`` is the sum of their
     tokens. ``loss_spans`` are the code points (start, end) of the
     assistant's text parts.
@@ -158,7 +160,7 @@ def format_chat(
 
 
 def read_back(formatted: Column) -> Column:
-    """The turns [(role, text)] of a formatted conversation, unescaped."""
+    """The turns [(role, text)] of a formatted conversation, unescaped, the parts of a text joined."""
 
     def parse(turn: Column) -> Column:
         role = F.substring_index(turn, TEXT, 1)
@@ -167,7 +169,8 @@ def read_back(formatted: Column) -> Column:
             F.length(role) + len(TEXT) + 1,
             F.length(turn) - F.length(role) - len(TEXT) - len(END),
         )
-        return F.struct(unescaped(role).alias("role"), unescaped(body).alias("text"))
+        texts = F.transform(F.split(body, r"<\|part\|>", -1), unescaped)
+        return F.struct(unescaped(role).alias("role"), F.array_join(texts, "").alias("text"))
 
     turns = F.split(formatted, r"<\|turn\|>", -1)
     return F.transform(F.slice(turns, 2, F.greatest(F.size(turns) - 1, F.lit(0))), parse)
