@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsheaf.llm.tables import small
+from logsheaf.llm.tables import small, spare
 from logsheaf.session import materialize
 
 WINDOW = 8
@@ -79,34 +79,52 @@ def windows(form: Column, size: int) -> Column:
     return _bound(F.transform(form, lambda f: F.xxhash64(f)), runs)
 
 
-def forms_of(size: int) -> int:
-    """How many forms of a window of ``size`` are looked up."""
-    return 3 if size >= LEAST_WINDOW else 1
+def text_windows(text: Column, size: int) -> Column:
+    """Windows of a text as arrays by position: with names left as they are, as a template, and exact.
 
-
-def all_windows(text: Column, size: int) -> Column:
-    """Windows at each position of a text: exact, as a template, and with names left as they are.
-
-    The last finds passages whose case was changed, the first those of numbers and units. Below
-    ``LEAST_WINDOW`` there are only exact windows.
+    There is no template where the text has no capitals. Windows of which fewer
+    than half are literal are never looked up by their form but exactly; only
+    texts with so many numbers and units can have any, others have none.
+    Below ``LEAST_WINDOW`` there are only exact windows.
     """
+    none = F.array().cast("array<bigint>")
 
     def exact(words: Column) -> Column:
         return windows(F.transform(words, F.lower), size)
 
     def of_forms(words: Column, plain: Column) -> Column:
-        templates = windows(template_forms(words, plain), size)
-        two = F.zip_with(templates, windows(plain, size), lambda a, b: F.array(a, b))
-        return F.flatten(F.zip_with(exact(words), two, lambda a, b: F.concat(F.array(a), b)))
+        template = template_forms(words, plain)
+        odd = 2 * F.size(F.filter(plain, lambda f: ~is_literal(f))) > size
+        named = F.exists(template, lambda f: f == "<name>")
+        return F.struct(
+            windows(plain, size).alias("plain"),
+            F.when(named, windows(template, size)).otherwise(none).alias("template"),
+            F.when(odd, exact(words)).otherwise(none).alias("exact"),
+        )
 
     def of_words(words: Column) -> Column:
-        if forms_of(size) == 1:
-            return exact(words)
+        if size < LEAST_WINDOW:
+            return F.struct(none.alias("plain"), none.alias("template"), exact(words).alias("exact"))
         return _bound(plain_forms(words), lambda plain: of_forms(words, plain))
 
     return _bound(tokens(text), of_words)
 
 
+def placed_windows(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, at, window) of all windows to look up; a template only where it differs."""
+    # Without "outer", Spark would compute all windows again in a filter before the explode.
+    each = docs.select("doc_id", text_windows(F.col("text"), size).alias("w")).select(
+        "doc_id", F.posexplode_outer(F.arrays_zip("w.plain", "w.template", "w.exact")).alias("at", "w")
+    )
+    plain, template, exact = F.col("w.plain"), F.col("w.template"), F.col("w.exact")
+    kinds = (
+        F.when(exact.isNotNull(), F.array(plain, template, exact))
+        .when(template != plain, F.array(plain, template))
+        .otherwise(F.array(plain))
+    )
+    return each.select("doc_id", "at", F.explode(kinds).alias("window"))
+
+
 def _items(benchmark: DataFrame, id: str, text: str) -> DataFrame:
     """Items with their tokens, forms and window size; those without a token are left out."""
     rows = benchmark.select(F.col(id).alias("item_id"), tokens(F.col(text)).alias("item_words"))
@@ -120,15 +138,21 @@ def _items(benchmark: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def _item_windows(items: DataFrame, size: int) -> DataFrame:
-    """Windows (window, item_id, item_pos); with placeholders, half of the places must be literal."""
+    """Windows (window, item_id, item_pos).
+
+    With placeholders, half of the places must be literal; windows for which that does not
+    hold before names become placeholders are indexed exactly. Others need no exact
+    window, since where one is equal the form is equal too.
+    """
     all_forms = None
-    for name in ("exact", "template", "plain")[: forms_of(size)]:
+    for name in ("exact", "template", "plain") if size >= LEAST_WINDOW else ("exact",):
         rows = items.where(F.col("size") == size).select(
-            "item_id", name, F.posexplode(windows(F.col(name), size)).alias("item_pos", "window")
+            "item_id", name, "plain", F.posexplode(windows(F.col(name), size)).alias("item_pos", "window")
         )
-        if name != "exact":
-            literals = F.size(F.filter(F.slice(name, F.col("item_pos") + 1, size), is_literal))
-            rows = rows.where(2 * literals >= size)
+        if size >= LEAST_WINDOW:
+            form = "plain" if name == "exact" else name
+            literals = F.size(F.filter(F.slice(form, F.col("item_pos") + 1, size), is_literal))
+            rows = rows.where((2 * literals < size) == F.lit(name == "exact"))
         rows = rows.select("window", "item_id", "item_pos")
         all_forms = rows if all_forms is None else all_forms.unionByName(rows)
     return all_forms.distinct()
@@ -191,16 +215,8 @@ def contaminated(
     hits = None
     for size in sizes or [WINDOW]:
         indexed = small(materialize(_item_windows(items, size)))
-        # Without "outer", Spark would compute all windows again in a filter before the explode.
-        places = narrow.select(
-            "doc_id", F.posexplode_outer(all_windows(F.col("text"), size)).alias("at", "window")
-        )
-        found = places.join(indexed, "window").select(
-            "doc_id",
-            "item_id",
-            F.floor(F.col("at") / forms_of(size)).cast("int").alias("pos"),
-            "item_pos",
-            F.lit(size).alias("size"),
+        found = placed_windows(narrow, size).join(indexed, "window").select(
+            "doc_id", "item_id", F.col("at").alias("pos"), "item_pos", F.lit(size).alias("size")
         )
         hits = found if hits is None else hits.unionByName(found)
     aligned = materialize(
@@ -300,7 +316,13 @@ def contaminated(
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose document repeats no benchmark item."""
-    found = contaminated(docs, benchmark, id, text).select(F.col("doc_id").alias("_found")).distinct()
+    """The rows of ``docs``, with all columns, whose document repeats no benchmark item.
+
+    Rows of one id go together, those of a null id too, and repeated rows stay
+    repeated; a null text repeats nothing. Very long texts are looked through as a
+    whole. An empty table stays empty; columns may have any names.
+    """
+    own = spare("found", docs)
+    found = contaminated(docs, benchmark, id, text).select(F.col("doc_id").alias(own)).distinct()
     found = small(materialize(found))
-    return docs.join(found, F.col(id).eqNullSafe(F.col("_found")), "left_anti")
+    return docs.join(found, F.col(id).eqNullSafe(F.col(own)), "left_anti")

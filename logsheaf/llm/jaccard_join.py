@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logsheaf.llm.pretokens import by_size, texts_of
-from logsheaf.llm.tables import small
+from logsheaf.llm.tables import small, spare
 from logsheaf.operators.components import connected_components
 from logsheaf.session import discard, materialize
 
@@ -413,23 +413,26 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
 def deduplicated(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs``, all columns, with one document of each component: that of the smallest id.
 
-    Rows that repeat an id and its text are one document. Rows without an
+    Rows that repeat an id and its text are one document. Null and empty texts
+    are near nothing; very long ones are compared as a whole. An empty table
+    stays empty; columns may have any names. Rows without an
     id cannot be the one that stays for others, so only such repeats of them go.
     """
     found = materialize(near_duplicates(docs, id, text))
+    own = spare("found", docs)
     stays = (F.col("doc_id") == F.col("component_id")).cast("int")
     by_id = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max(stays).alias("stays"), F.count("*").alias("rows")
     )
-    gone = small(materialize(by_id.where(F.col("stays") == 0).select(F.col("doc_id").alias("_id"))))
-    left = docs.join(gone, F.col(id) == F.col("_id"), "left_anti")
-    repeated = by_id.where(F.col("rows") > 1).select(F.col("doc_id").alias("_id"))
+    gone = small(materialize(by_id.where(F.col("stays") == 0).select(F.col("doc_id").alias(own))))
+    left = docs.join(gone, F.col(id) == F.col(own), "left_anti")
+    repeated = by_id.where(F.col("rows") > 1).select(F.col("doc_id").alias(own))
     if found.where(F.col("doc_id").isNull()).limit(2).count() > 1:
-        none = docs.sparkSession.range(1).select(F.lit(None).cast("long").alias("_id"))
+        none = docs.sparkSession.range(1).select(F.lit(None).cast("long").alias(own))
         repeated = repeated.unionByName(none)
     repeated = materialize(repeated)
     if repeated.isEmpty():
         return left
-    same = F.col(id).cast("long").eqNullSafe(F.col("_id"))
+    same = F.col(id).cast("long").eqNullSafe(F.col(own))
     once = left.join(small(repeated), same, "left_anti")
     return once.unionByName(left.join(small(repeated), same, "left_semi").dropDuplicates([id, text]))

@@ -331,7 +331,9 @@ def with_language(
     """The rows of ``docs``, all columns, whose language is known.
 
     Rejected are texts without letters, null included, and those in which no
-    language has the share ``least`` of the letters.
+    language has the share ``least`` of the letters; of equal shares the first
+    by name counts. Very long texts are judged as a whole, and repeated rows
+    alike. An empty table stays empty; columns may have any names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logsheaf.llm.tables import small
+from logsheaf.llm.tables import small, spare
 from logsheaf.session import materialize, shared_dir, table_exists
 
 SPAN = "struct<start:int,rank:int,end:int,kind:string,rule:string>"
@@ -224,21 +224,22 @@ def redact(
 ) -> DataFrame:
     """``docs`` with all columns and rows, secrets in ``text`` replaced; ``n_chars`` follows, if any.
 
-    Texts without findings, null included, stay as they are.
+    Texts without findings, null included, stay as they are. Null ids and
+    repeated rows are kept; very long texts are scanned as a whole. An empty
+    table stays empty; columns may have any names.
     """
     names = docs.columns
     _, found = findings(docs, ledger, rules, id, text)
-    keyed = docs.withColumn("_blob", address(F.col(text)))
-    spans = materialize(found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")))
-    joined = keyed.join(small(spans, weight=1 + F.size("_spans")), "_blob", "left")
+    blob, own = spare("blob", docs), spare("spans", docs)
+    keyed = docs.withColumn(blob, address(F.col(text)))
+    spans = materialize(found.select(F.col("blob").alias(blob), F.col("spans").alias(own)))
+    joined = keyed.join(small(spans, weight=1 + F.size(own)), blob, "left")
     changed = joined.withColumn(
         text,
-        F.when(F.col("_spans").isNull(), F.col(text)).otherwise(
-            redacted(F.col(text), F.col("_spans"))
-        ),
+        F.when(F.col(own).isNull(), F.col(text)).otherwise(redacted(F.col(text), F.col(own))),
     )
     if "n_chars" in names:
-        kept = F.col("_spans").isNull()
+        kept = F.col(own).isNull()
         length = F.length(text).cast(docs.schema["n_chars"].dataType)
         changed = changed.withColumn("n_chars", F.when(kept, F.col("n_chars")).otherwise(length))
     return changed.select(*names)

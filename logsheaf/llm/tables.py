@@ -16,3 +16,11 @@ def small(table: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None =
     """
     total = table.count() if weight is None else table.agg(F.sum(weight)).first()[0] or 0
     return F.broadcast(table) if total <= rows else table
+
+
+def spare(name: str, *tables: DataFrame) -> str:
+    """``name``, lengthened until no table has a column of that name."""
+    taken = {column.lower() for table in tables for column in table.columns}
+    while name in taken:
+        name += "_"
+    return name
