@@ -33,17 +33,46 @@ def row_is_valid(max_len: int) -> Column:
 
 
 def chunk_report(sequences: DataFrame, max_len: int) -> DataFrame:
-    """One row per stored file: day, rows, invalid rows, event counts."""
-    return (
-        sequences.withColumn("file", F.col("_metadata.file_path"))
-        .groupBy("day", "file")
+    """One row per chunk: split, number, rows, invalid rows, event counts."""
+    return sequences.groupBy("split", "chunk").agg(
+        F.count("*").alias("sessions"),
+        F.count_if(~row_is_valid(max_len)).alias("invalid_rows"),
+        F.sum("n_unknown").alias("unknown_events"),
+        F.sum("n_events").alias("total_events"),
+    )
+
+
+def numbered_chunks(sessions: DataFrame, chunk_size: int) -> DataFrame:
+    """(day, session_id, chunk) of all sessions, in the order of days and ids.
+
+    Chunks are numbered from 0 without gaps and hold ``chunk_size`` sessions
+    each, the last one the rest, however the input is partitioned.
+    """
+    keys = sessions.select("day", "session_id")
+    return assign_chunks(keys, chunk_size, F.col("day"), F.col("session_id"))
+
+
+def sound_chunks(expected: DataFrame, stored: DataFrame, max_len: int) -> DataFrame:
+    """The chunks whose stored rows are valid and exactly the expected sessions.
+
+    ``stored`` is read so that damaged files count as empty: a chunk that was cut
+    off, lost or changed lacks rows that it should have.
+    """
+    keys = ["day", "session_id"]
+    wanted = expected.groupBy("chunk").agg(F.count("*").alias("expected"))
+    placed = expected.withColumnRenamed("chunk", "_chunk")
+    right = F.coalesce((F.col("_chunk") == F.col("chunk")) & row_is_valid(max_len), F.lit(False))
+    found = (
+        stored.join(placed, keys, "left")
+        .groupBy("chunk")
         .agg(
-            F.count("*").alias("sessions"),
-            F.count_if(~row_is_valid(max_len)).alias("invalid_rows"),
-            F.sum("n_unknown").alias("unknown_events"),
-            F.sum("n_events").alias("total_events"),
+            F.count("*").alias("rows"),
+            F.count_if(~right).alias("wrong"),
+            F.count_distinct(*keys).alias("sessions"),
         )
     )
+    whole = (F.col("rows") == F.col("expected")) & (F.col("sessions") == F.col("expected"))
+    return wanted.join(found, "chunk").where(whole & (F.col("wrong") == 0)).select("chunk")
 
 
 def valid_days(sequences: DataFrame, max_len: int) -> DataFrame:
@@ -56,25 +85,8 @@ def valid_days(sequences: DataFrame, max_len: int) -> DataFrame:
     )
 
 
-def sound_days(sessions: DataFrame, stored: DataFrame, max_len: int) -> DataFrame:
-    """The days whose stored sequences are valid, of present sessions, and one for each."""
-    stale = pending(stored, sessions).select("day").distinct()
-    single = (
-        stored.groupBy("day")
-        .agg((F.count("*") == F.count_distinct("session_id")).alias("single"))
-        .where("single")
-        .select("day")
-    )
-    return valid_days(stored, max_len).join(single, "day", "left_semi").join(stale, "day", "left_anti")
-
-
-def same_sessions(sessions: DataFrame, stored: DataFrame) -> bool:
-    """Whether every session has a stored sequence and every sequence a session."""
-    return pending(sessions, stored).isEmpty() and pending(stored, sessions).isEmpty()
-
-
 def manifest(sequences: DataFrame, config: TokenConfig) -> DataFrame:
-    """One row: files, sessions, sequence length, unknown and all events."""
+    """One row: chunks, sessions, sequence length, unknown and all events."""
     return chunk_report(sequences, config.max_len).agg(
         F.count("*").alias("chunk_count"),
         F.coalesce(F.sum("sessions"), F.lit(0)).alias("session_count"),

@@ -120,12 +120,22 @@ def tokenize(
 
 
 def padded(
-    sessions: DataFrame, vocabulary: DataFrame, config: TokenConfig = TokenConfig()
+    sessions: DataFrame,
+    vocabulary: DataFrame,
+    chunks: DataFrame,
+    n_chunks: int,
+    config: TokenConfig = TokenConfig(),
 ) -> DataFrame:
-    """``tokenize`` for writing by day: the short ids are dealt out by day, then padded."""
+    """``tokenize`` for writing: the short ids go to one task per chunk, in order, and are padded there.
+
+    ``chunks`` (day, session_id, chunk) names the ``n_chunks`` chunks to write.
+    """
     specials = special_ids(vocabulary)
-    encoded = encode_sessions(sessions, vocabulary, specials=specials).hint("rebalance", "day")
-    return to_sequences(encoded, specials, config).drop("token_ids")
+    keys = ["day", "session_id"]
+    wanted = sessions.join(chunks.select(*keys), keys, "left_semi")
+    encoded = encode_sessions(wanted, vocabulary, specials=specials).join(chunks, keys)
+    dealt = encoded.repartitionById(max(1, n_chunks), F.col("chunk").cast("int")).sortWithinPartitions("chunk", *keys)
+    return to_sequences(dealt, specials, config).drop("token_ids")
 
 
 def decode(

@@ -340,8 +340,20 @@ ORACLE = {
         SELECT session_id,
                (row_number() OVER (ORDER BY day, user_id, host_id, start_ts) - 1) // 100 AS chunk
         FROM sess""",
+    "sequence_chunks": """
+        SELECT 'all' AS split, chunk, count(DISTINCT session_id) AS sessions, CAST(0 AS BIGINT) AS invalid_rows,
+               count(*) FILTER (WHERE token_id = 4) AS unknown_events, count(*) AS total_events
+        FROM enc JOIN (SELECT session_id, (row_number() OVER (ORDER BY day, session_id) - 1) // 100 AS chunk
+                       FROM sess) USING (session_id)
+        GROUP BY chunk""",
+    "resumable_chunks": """
+        SELECT a.chunk FROM (SELECT *, (row_number() OVER (ORDER BY day, session_id) - 1) // 100 AS chunk FROM sess) a
+        FULL JOIN (SELECT session_id, (row_number() OVER (ORDER BY day, session_id) - 1) // 100 AS chunk
+                   FROM sess WHERE day <> 7) b ON a.session_id = b.session_id AND a.chunk = b.chunk
+        GROUP BY a.chunk HAVING a.chunk IS NOT NULL AND bool_and(b.chunk IS NOT NULL) AND bool_and(day <> 20)""",
     "sequence_manifest": """
-        SELECT count(DISTINCT session_id) AS session_count, 12 AS max_len,
+        SELECT CAST(ceil(count(DISTINCT session_id) / 100) AS BIGINT) AS chunk_count,
+               count(DISTINCT session_id) AS session_count, 12 AS max_len,
                count(*) FILTER (WHERE token_id = 4) AS unknown_events, count(*) AS total_events,
                CAST(0 AS BIGINT) AS invalid_rows
         FROM enc""",

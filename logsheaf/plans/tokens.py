@@ -13,18 +13,17 @@ from logsheaf.operators.chunks import (
     chunk_report,
     is_complete,
     manifest,
-    pending,
-    same_sessions,
-    sound_days,
+    numbered_chunks,
+    sound_chunks,
 )
 from logsheaf.operators.encoding import padded
 from logsheaf.operators.quality import require_events
 from logsheaf.operators.splits import Ranges, in_split, missing_days
 from logsheaf.operators.vocabulary import check_vocabulary, rank_tokens, token_counts
 from logsheaf.schemas import SESSION
-from logsheaf.session import planned_bytes, sized_shuffles, table_exists
-from logsheaf.sources.metrics import write_metrics
-from logsheaf.sources.sequences import read_sequences, write_sequences, write_table
+from logsheaf.session import materialize, planned_bytes, sized_shuffles, table_exists
+from logsheaf.sources.metrics import write_chunk_metrics, write_metrics
+from logsheaf.sources.sequences import read_sequences, stored_chunks, write_chunks, write_table
 from logsheaf.sources.sessions import read_session_shards, read_sessions
 from logsheaf.sources.vocabulary import read_vocabulary, write_vocabulary
 
@@ -84,12 +83,17 @@ def run_tokens(
     files named ``day_NN.parquet``, whose sessions may lack ids. Null events
     are passed over and counted.
 
-    A resumed run keeps the vocabulary and the days whose stored sequences are
-    all valid and of present sessions, adds the sessions they lack, and
-    writes every other day anew. All counts are over the whole output; they
-    and the list of chunks are stored at ``<sequences_path>_manifest`` and
-    ``<sequences_path>_chunks``. Start, skip, resume and completion append
-    their counters to the table at ``metrics_path``.
+    The output of a split is numbered chunks of ``chunk_size`` sessions, in the
+    order of days and session ids, one file each. It is replaced in one step
+    when all is written: days that have no session any more go with it, and a
+    run that stops early leaves the old output as it was.
+
+    A resumed run keeps the vocabulary and the chunks that hold exactly their
+    sessions and can be read, and writes every other chunk anew, also one whose
+    file is damaged or lost. All counts are over the whole output of the split;
+    they and the list of chunks are stored at ``<sequences_path>_manifest`` and
+    ``<sequences_path>_chunks``. Start, skip, resume, each written chunk and
+    completion append their counters to the table at ``metrics_path``.
     """
     schema = token_schema(SESSION)
     if isinstance(sessions_path, str):
@@ -129,14 +133,21 @@ def _run(
     absent = missing_days(sessions, split, ranges).count()
     record("start", {**checks, "missing_days": absent})
 
-    resumed = resume and table_exists(spark, sequences_path)
-    if resumed and table_exists(spark, vocabulary_in or vocabulary_path):
-        stored = in_split(read_sequences(spark, sequences_path, config.token_id_dtype), split, ranges)
-        report = manifest(stored, config)
-        if is_complete(report, total) and same_sessions(sessions, stored):
+    chunks = materialize(numbered_chunks(sessions, config.chunk_size))
+    n_chunks = -(-total // config.chunk_size)
+    resumed = resume and bool(stored_chunks(spark, sequences_path, split))
+    resumed = resumed and table_exists(spark, vocabulary_in or vocabulary_path)
+    sound: list[int] = []
+    if resumed:
+        stored = read_sequences(spark, sequences_path, config.token_id_dtype, split, damaged="skip")
+        sound = [row["chunk"] for row in sound_chunks(chunks, stored, config.max_len).collect()]
+        whole = len(sound) == n_chunks == len(stored_chunks(spark, sequences_path, split))
+        if whole and table_exists(spark, f"{sequences_path}_manifest"):
             record("skip_complete", {"session_count": total})
+            stored = read_sequences(spark, sequences_path, config.token_id_dtype, split)
             vocabulary = read_vocabulary(spark, vocabulary_in or vocabulary_path)
-            return TokensResult(vocabulary, stored, report, True)
+            return TokensResult(vocabulary, stored, manifest(stored, config), True)
+        record("resume", {"session_count": total, "sound_chunks": len(sound)})
 
     if vocabulary_in:
         vocabulary = read_vocabulary(spark, vocabulary_in)
@@ -146,19 +157,20 @@ def _run(
         )
     check_vocabulary(vocabulary, config.token_id_dtype)
 
-    if resumed:
-        stored = in_split(read_sequences(spark, sequences_path, config.token_id_dtype), split, ranges)
-        sound = [row["day"] for row in sound_days(sessions, stored, config.max_len).collect()]
-        in_sound = F.col("day").isin(sound)
-        record("resume", {"session_count": total, "sound_days": len(sound)})
-        missing = pending(sessions.where(in_sound), stored.where(in_sound))
-        write_sequences(padded(missing, vocabulary, config), sequences_path, config, "append")
-        sessions = sessions.where(~in_sound)
-    write_sequences(padded(sessions, vocabulary, config), sequences_path, config, "overwrite")
-
-    stored = in_split(read_sequences(spark, sequences_path, config.token_id_dtype), split, ranges)
+    todo = chunks
+    if sound:
+        done = spark.createDataFrame([(chunk,) for chunk in sound], "chunk bigint")
+        todo = chunks.join(done, "chunk", "left_anti")
+    sequences = padded(sessions, vocabulary, todo, n_chunks - len(sound), config)
+    write_chunks(sequences, sequences_path, config, split, sound)
+
+    stored = read_sequences(spark, sequences_path, config.token_id_dtype, split)
     write_table(chunk_report(stored, config.max_len), f"{sequences_path}_chunks")
     write_table(manifest(stored, config), f"{sequences_path}_manifest")
+    if metrics_path:
+        write_chunk_metrics(spark, metrics_path, f"tokens {split}", f"{sequences_path}_chunks", sound)
     report = spark.read.parquet(f"{sequences_path}_manifest")
+    if not is_complete(report, total):
+        raise RuntimeError(f"the sequences of split {split} do not cover its {total} sessions")
     record("complete", report.first().asDict())
     return TokensResult(vocabulary, stored, report, False)

@@ -20,11 +20,20 @@ from logsheaf.functions.masking import with_masked
 from logsheaf.functions.tokens import session_tokens
 from logsheaf.functions.wire import decode_json, encode_json
 from logsheaf.operators import scoring
-from logsheaf.operators.chunks import assign_chunks, manifest, pending, valid_days
+from logsheaf.operators.chunks import (
+    assign_chunks,
+    chunk_report,
+    manifest,
+    numbered_chunks,
+    pending,
+    sound_chunks,
+    valid_days,
+)
 from logsheaf.operators.encoding import (
     decode,
     encode_events,
     encode_sessions,
+    padded,
     tokenize,
     unknown_rate,
 )
@@ -65,6 +74,7 @@ from logsheaf.operators.vocabulary import (
 from logsheaf.plans.sessions import extend_templates, read_aliases, sessions_of, stage_events
 from logsheaf.session import discard, materialize, scratch_path, table_exists
 from logsheaf.sources.logs import read_log_lines
+from logsheaf.sources.sequences import read_sequences, write_chunks
 from logsheaf.sources.sessions import read_sessions, write_sessions
 from logsheaf.streaming.ingest import clean
 
@@ -533,9 +543,31 @@ def chunk_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_chunks(keys, CHUNK, *order).select("session_id", "chunk")
 
 
+def _stored_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sequences, written in numbered chunks and read back."""
+    path, sessions = scratch_path(spark), _sessions(spark, sf_dir)
+    chunks = materialize(numbered_chunks(sessions, CHUNK))
+    n_chunks = chunks.select("chunk").distinct().count()
+    sequences = padded(sessions, _vocabulary(sessions, sf_dir), chunks, n_chunks, TOKENS)
+    write_chunks(sequences, path, TOKENS)
+    return read_sequences(spark, path)
+
+
 def sequence_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = materialize(_sequences(spark, sf_dir)[0], "day")
-    return manifest(stored, TOKENS).drop("chunk_count")
+    return manifest(_stored_sequences(spark, sf_dir), TOKENS)
+
+
+def sequence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each stored chunk holds."""
+    return chunk_report(_stored_sequences(spark, sf_dir), TOKENS.max_len)
+
+
+def resumable_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that still hold their sessions when those of day 7 are gone and day 20 lost a mask."""
+    sessions, stored = _sessions(spark, sf_dir), _stored_sequences(spark, sf_dir)
+    mask = F.when(F.col("day") != 20, F.col("attention_mask"))
+    expected = numbered_chunks(sessions.where(F.col("day") != 7), CHUNK)
+    return sound_chunks(expected, stored.withColumn("attention_mask", mask), TOKENS.max_len)
 
 
 def sound_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -711,6 +743,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "decoded_sequences": decoded_sequences,
     "chunk_assignment": chunk_assignment,
     "sequence_manifest": sequence_manifest,
+    "sequence_chunks": sequence_chunks,
+    "resumable_chunks": resumable_chunks,
     "sound_days": sound_days,
     "missing_days": absent_days,
     "resume_antijoin": resume_antijoin,

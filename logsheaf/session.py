@@ -133,20 +133,21 @@ def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The file system of ``path``, and ``path`` as it takes it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
     """Whether something is stored at ``path``."""
-    files, target = _file_system(spark, path)
+    files, target = file_system(spark, path)
     return files.exists(target)
 
 
 def delete(spark: SparkSession, path: str) -> None:
     """Removes what is stored at ``path``, if anything."""
-    files, target = _file_system(spark, path)
+    files, target = file_system(spark, path)
     files.delete(target, True)
 
 
@@ -157,5 +158,5 @@ def discard(table: DataFrame) -> None:
     for file in table.inputFiles()[:1]:
         if marker in file:
             root, inner = file.split(marker, 1)
-            files, target = _file_system(spark, root + marker + inner.split("/", 1)[0])
+            files, target = file_system(spark, root + marker + inner.split("/", 1)[0])
             files.delete(target, True)

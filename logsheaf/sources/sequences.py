@@ -1,12 +1,15 @@
-"""Stored token sequences."""
+"""Stored token sequences, in numbered chunks of fixed size."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Collection
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logsheaf.config import TOKEN_ID_SPARK_TYPES, TokenConfig
+from logsheaf.sources import versions
 
 
 def sequence_schema(token_id_dtype: str = "int32") -> T.StructType:
@@ -17,20 +20,46 @@ def sequence_schema(token_id_dtype: str = "int32") -> T.StructType:
     )
 
 
-def write_sequences(sequences: DataFrame, path: str, config: TokenConfig, mode: str = "append") -> None:
-    """Writes sequences that are dealt out by day, at most ``chunk_size`` of them per file.
+def _part(split: str, chunk: int) -> str:
+    return f"split={split}/chunk={chunk:06}"
+
+
+def stored_chunks(spark: SparkSession, path: str, split: str) -> dict[int, str]:
+    """Version by number of the chunks of a split."""
+    stored, start = versions.parts(spark, path) or {}, f"split={split}/chunk="
+    return {int(part[len(start) :]): of for part, of in stored.items() if part.startswith(start)}
+
 
-    ``append`` adds to stored days; ``overwrite`` replaces the days written.
+def write_chunks(
+    sequences: DataFrame,
+    path: str,
+    config: TokenConfig,
+    split: str = "all",
+    kept: Collection[int] = (),
+) -> None:
+    """Writes sequences, one file per ``chunk``, as the split's output together with the chunks ``kept``.
+
+    All rows of a chunk must lie in one partition. The new chunks replace those
+    of their numbers, and all others of the split that are not kept go, in one
+    step (see ``versions``). Other splits stay.
     """
+    spark, version, written = sequences.sparkSession, versions.new_version(), Observation()
     columns = sequence_schema(config.token_id_dtype).fieldNames()
     (
-        sequences.select(*columns)
-        .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
-        .option("maxRecordsPerFile", config.chunk_size)
-        .partitionBy("day")
-        .parquet(path)
+        sequences.select(*columns, F.format_string("%06d", "chunk").alias("chunk"))
+        .observe(written, F.collect_set("chunk").alias("chunks"))
+        .write.partitionBy("chunk")
+        .parquet(f"{versions.folder(path, version)}/split={split}")
     )
+    before = stored_chunks(spark, path, split)
+    others = {
+        part: of
+        for part, of in (versions.parts(spark, path) or {}).items()
+        if not part.startswith(f"split={split}/")
+    }
+    same = {_part(split, chunk): before[chunk] for chunk in kept}
+    new = {_part(split, int(chunk)): version for chunk in written.get["chunks"]}
+    versions.commit(spark, path, others | same | new)
 
 
 def write_single(sequences: DataFrame, path: str, config: TokenConfig) -> None:
@@ -46,5 +75,37 @@ def write_table(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").parquet(path)
 
 
-def read_sequences(spark: SparkSession, path: str, token_id_dtype: str = "int32") -> DataFrame:
-    return spark.read.schema(sequence_schema(token_id_dtype)).parquet(path)
+def read_sequences(
+    spark: SparkSession,
+    path: str,
+    token_id_dtype: str = "int32",
+    split: str | None = None,
+    damaged: str = "error",
+) -> DataFrame:
+    """Stored sequences with their ``split`` and ``chunk``, of one split or of all.
+
+    A damaged or lost file is an error, or, with ``damaged="skip"``, counts as one
+    without rows. Sequences stored as a single artifact have neither split nor chunk.
+    """
+    schema = sequence_schema(token_id_dtype)
+    skip = str(damaged == "skip").lower()
+    reader = spark.read.option("ignoreCorruptFiles", skip).option("ignoreMissingFiles", skip)
+    stored = versions.parts(spark, path)
+    if stored is None:
+        rows = reader.schema(schema).parquet(path)
+        return rows.withColumns({"split": F.lit(None).cast("string"), "chunk": F.lit(None).cast("bigint")})
+    chosen = {part: of for part, of in stored.items() if split is None or part.startswith(f"split={split}/")}
+    if damaged == "skip":
+        places = {tuple([of, part.split("/")[0]]) for part, of in chosen.items()}
+        there = {
+            (of, f"{group}/{name}")
+            for of, group in places
+            for name in versions.listed(spark, f"{versions.folder(path, of)}/{group}")
+        }
+        chosen = {part: of for part, of in chosen.items() if (of, part) in there}
+    columns = [*schema.fieldNames(), "split", F.col("chunk").cast("bigint").alias("chunk")]
+    placed = T.StructType([*schema.fields, T.StructField("split", T.StringType()), T.StructField("chunk", T.StringType())])
+    if not chosen:
+        return spark.createDataFrame([], placed).select(*columns)
+    files = [f"{versions.folder(path, of)}/{part}" for part, of in sorted(chosen.items())]
+    return reader.schema(placed).option("basePath", path).parquet(*files).select(*columns)

@@ -11,33 +11,60 @@ from pyspark.sql import types as T
 from logsheaf.operators.sessions import session_id
 from logsheaf.operators.splits import day_from_path
 from logsheaf.schemas import SESSION
-from logsheaf.session import delete
+from logsheaf.sources import versions
+
+
+def _stored_days(spark: SparkSession, path: str) -> dict[str, str]:
+    """Version by day, also of a folder that was written without versions."""
+    stored = versions.parts(spark, path)
+    if stored is None:
+        names = (name for name in versions.listed(spark, path) if name.startswith("day="))
+        stored = dict.fromkeys(names, versions.UNVERSIONED)
+    return stored
 
 
 def write_sessions(sessions: DataFrame, path: str, days: Iterable[int] = ()) -> None:
     """Replaces the days that occur in ``sessions``, and empties others of ``days``; the rest stays.
 
-    The rebalance hint gathers each day into files of the advisory partition
-    size and splits a day that is much larger, so that the number of files
-    follows the data and not tasks times days.
+    Readers see either all of that or nothing (see ``versions``). The rebalance
+    hint gathers each day into files of the advisory partition size and splits
+    a day that is much larger, so that the number of files follows the data
+    and not tasks times days.
     """
-    written = Observation()
+    spark, version, written = sessions.sparkSession, versions.new_version(), Observation()
+    stored = _stored_days(spark, path)
     (
         sessions.hint("rebalance", "day")
         .observe(written, F.collect_set("day").alias("days"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("compression", "snappy")
+        .write.option("compression", "snappy")
         .partitionBy("day")
-        .parquet(path)
+        .parquet(versions.folder(path, version))
     )
-    for day in sorted(set(days).difference(written.get["days"])):
-        delete(sessions.sparkSession, f"{path}/day={day}")
+    present = {f"day={day}" for day in written.get["days"]}
+    touched = present | {f"day={day}" for day in days}
+    kept = {day: of for day, of in stored.items() if day not in touched}
+    versions.commit(spark, path, kept | dict.fromkeys(present, version))
 
 
 def read_sessions(spark: SparkSession, path: str, schema: T.StructType = SESSION) -> DataFrame:
     """Sessions under ``path``; a damaged file is an error."""
-    return spark.read.schema(schema).option("ignoreCorruptFiles", "false").parquet(path)
+    reader = spark.read.schema(schema).option("ignoreCorruptFiles", "false")
+    stored = versions.parts(spark, path)
+    if stored is None:
+        return reader.parquet(path)
+    reader = reader.option("basePath", path)
+    found = None
+    # Days written without versions lie at another depth than the others.
+    for old in (False, True):
+        days = [
+            f"{versions.folder(path, of)}/{day}"
+            for day, of in sorted(stored.items())
+            if (of == versions.UNVERSIONED) == old
+        ]
+        if days:
+            rows = reader.parquet(*days).select(*schema.names)
+            found = rows if found is None else found.unionByName(rows)
+    return spark.createDataFrame([], schema) if found is None else found
 
 
 def read_session_shards(spark: SparkSession, *paths: str, schema: T.StructType = SESSION) -> DataFrame:

@@ -1,17 +1,18 @@
 import glob
 import os
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from logsheaf import SessionConfig, TokenConfig
-from logsheaf.operators.chunks import chunk_report, valid_days
+from logsheaf.operators.chunks import chunk_report
 from logsheaf.plans.sessions import run_sessions
 from logsheaf.plans.tokens import run_tokens
-from logsheaf.session import shared_dir, shuffle_partitions, sized_shuffles, table_exists
+from logsheaf.session import materialize, shared_dir, shuffle_partitions, sized_shuffles, table_exists
 from logsheaf.sources.metrics import read_metrics
-from logsheaf.sources.sequences import read_sequences, write_sequences, write_single
+from logsheaf.sources.sequences import read_sequences, stored_chunks, write_chunks, write_single
 from logsheaf.sources.sessions import read_session_shards, read_sessions, shard_counts, write_sessions
 from logsheaf.sources.vocabulary import export_vocabulary_json, read_vocabulary_json, write_vocabulary
 
@@ -107,7 +108,8 @@ def test_metrics(spark, built, tmp_path):
             resume=resume, ranges=RANGES, metrics_path=where,
         )
     events = [r["event"] for r in read_metrics(spark, where).select("at", "event").distinct().orderBy("at").collect()]
-    assert events == ["start", "complete", "start", "skip_complete"]
+    assert [e for e in events if e != "chunk_written"] == ["start", "complete", "start", "skip_complete"]
+    assert "chunk_written" in events
 
 
 def test_shuffle_partitions():
@@ -179,25 +181,121 @@ def test_tokens_job(spark, built):
     assert again.skipped
 
 
-def test_resume_fills_gaps_and_replaces_bad_days(spark, built, tmp_path):
+def chunk_files(out, chunk, split="all"):
+    return glob.glob(f"{out}/v=*/split={split}/chunk={chunk:06}/*.parquet")
+
+
+def test_chunks_are_numbered_and_full(spark, built, tmp_path):
+    """The same for any number of partitions."""
+    _, paths, _ = built
+    sessions, config = read_sessions(spark, paths["sessions"]), TokenConfig(min_freq=1, max_len=8, chunk_size=7)
+    keys = sorted((r["day"], r["session_id"]) for r in sessions.select("day", "session_id").collect())
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions in (1, 5):
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        out = str(tmp_path / f"s{partitions}")
+        try:
+            run_tokens(spark, paths["sessions"], str(tmp_path / "v"), out, "all", config, ranges=RANGES)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        got = read_sequences(spark, out).select("chunk", "day", "session_id").collect()
+        assert {(r["day"], r["session_id"]): r["chunk"] for r in got} == {k: i // 7 for i, k in enumerate(keys)}
+        assert all(len(chunk_files(out, chunk)) == 1 for chunk in range(-(-len(keys) // 7)))
+
+
+def test_resume_mends_only_damaged_chunks(spark, built, tmp_path):
     root, paths, _ = built
-    out = str(tmp_path / "sequences")
+    out, metrics = str(tmp_path / "sequences"), str(tmp_path / "metrics")
     config = TokenConfig(min_freq=1, max_len=8, chunk_size=10)
-    run_tokens(spark, paths["sessions"], str(tmp_path / "v"), out, "all", config, ranges=RANGES)
-    whole = sorted(map(str, read_sequences(spark, out).collect()))
 
-    # Day 1 loses a file; day 2 gains sequences of a wrong length.
-    os.remove(sorted(glob.glob(f"{out}/day=1/*.parquet"))[0])
-    stored = read_sequences(spark, out).where("day = 2").limit(2)
-    short = stored.withColumn("input_ids", F.slice("input_ids", 1, 3))
-    write_sequences(short, out, config, "append")
-    assert sorted(r["day"] for r in valid_days(read_sequences(spark, out), 8).collect()) == [1, 3]
-    fixed = run_tokens(
-        spark, paths["sessions"], str(tmp_path / "v"), out, "all", config,
-        resume=True, reuse_vocabulary=True, ranges=RANGES,
+    def run(resume=True):
+        return run_tokens(
+            spark, paths["sessions"], str(tmp_path / "v"), out, "all", config,
+            resume=resume, ranges=RANGES, metrics_path=metrics,
+        )
+
+    run(False)
+    assert run().skipped
+    whole = sorted(map(str, read_sequences(spark, out).collect()))
+    untouched = chunk_files(out, 0)
+    # One file is cut off, one is lost, one lost its folder, and one has short rows.
+    cut = chunk_files(out, 1)[0]
+    data = open(cut, "rb").read()
+    with open(cut, "wb") as file:
+        file.write(data[: len(data) // 2])
+    os.remove(chunk_files(out, 2)[0])
+    shutil.rmtree(os.path.dirname(chunk_files(out, 3)[0]))
+    short = read_sequences(spark, out, damaged="skip").where("chunk = 4").withColumn(
+        "input_ids", F.slice("input_ids", 1, 3)
     )
+    write_chunks(materialize(short), out, config, "all", [c for c in stored_chunks(spark, out, "all") if c != 4])
+    fixed = run()
     assert not fixed.skipped
     assert sorted(map(str, read_sequences(spark, out).collect())) == whole
+    assert chunk_files(out, 0) == untouched
+    written = read_metrics(spark, metrics).where("event = 'chunk_written' and name = 'chunk_count'")
+    numbers = [r["value"] for r in written.orderBy("at", "value").collect()]
+    assert sorted(numbers)[:9] == [1, 2, 2, 3, 3, 4, 4, 5, 5]
+    assert run().skipped
+
+
+def test_vanished_days_leave_the_sequences(spark, built, tmp_path):
+    _, paths, _ = built
+    mine, out = str(tmp_path / "sessions"), str(tmp_path / "sequences")
+    sessions = read_sessions(spark, paths["sessions"])
+    write_sessions(sessions, mine)
+    config = TokenConfig(min_freq=1, max_len=8, chunk_size=10)
+
+    def run():
+        return run_tokens(spark, mine, str(tmp_path / "v"), out, "all", config, resume=True, ranges=RANGES)
+
+    run()
+    write_sessions(sessions.where("false"), mine, [2])
+    changed = run()
+    assert not changed.skipped
+    left = sessions.where("day <> 2").count()
+    assert changed.manifest.first()["session_count"] == left == read_sequences(spark, out).count()
+    assert run().skipped
+
+
+def test_a_run_that_stops_early_changes_nothing(spark, built, tmp_path, monkeypatch):
+    from logsheaf.sources import versions
+
+    _, paths, _ = built
+    mine, out = str(tmp_path / "sessions"), str(tmp_path / "sequences")
+    sessions = read_sessions(spark, paths["sessions"])
+    write_sessions(sessions, mine)
+    config = TokenConfig(min_freq=1, max_len=8, chunk_size=10)
+    run_tokens(spark, mine, str(tmp_path / "v"), out, "all", config, ranges=RANGES)
+    before = [sorted(map(str, t.collect())) for t in (read_sessions(spark, mine), read_sequences(spark, out))]
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(versions, "commit", stop)
+    with pytest.raises(KeyboardInterrupt):
+        write_sessions(sessions.where("day = 1").limit(1), mine, [1, 2, 3])
+    with pytest.raises(KeyboardInterrupt):
+        run_tokens(spark, mine, str(tmp_path / "v"), out, "all", config, ranges=RANGES)
+    monkeypatch.undo()
+    after = [sorted(map(str, t.collect())) for t in (read_sessions(spark, mine), read_sequences(spark, out))]
+    assert after == before
+    # What stopped is cleared away by later runs, and so are versions out of use.
+    for _ in range(3):
+        write_sessions(sessions.where("day = 1").limit(1), mine, [1, 2, 3])
+    assert read_sessions(spark, mine).count() == 1
+    assert len(glob.glob(f"{mine}/v=*")) == 2 and len(glob.glob(f"{mine}/_pointers/*.json")) == 2
+
+
+def test_days_stored_without_versions_stay_readable(spark, built, tmp_path):
+    _, paths, _ = built
+    mine = str(tmp_path / "sessions")
+    sessions = read_sessions(spark, paths["sessions"])
+    sessions.write.partitionBy("day").parquet(mine)
+    assert read_sessions(spark, mine).count() == sessions.count()
+    write_sessions(sessions.where("day = 2").limit(3), mine, [2, 3])
+    counts = {r["day"]: r["sessions"] for r in shard_counts(read_sessions(spark, mine)).collect()}
+    assert counts == {1: sessions.where("day = 1").count(), 2: 3}
 
 
 def test_empty_split_is_an_error(spark, built, tmp_path):
@@ -287,15 +385,14 @@ def test_shards_without_ids_and_null_events(spark, built, tmp_path):
 def test_stale_sequences_do_not_pass_for_missing_ones(spark, built, tmp_path):
     _, paths, _ = built
     out, words = str(tmp_path / "sequences"), str(tmp_path / "v")
-    config = TokenConfig(min_freq=1, max_len=8)
+    config = TokenConfig(min_freq=1, max_len=8, chunk_size=20)
     run_tokens(spark, paths["sessions"], words, out, "all", config, ranges=RANGES)
     whole = sorted(map(str, read_sequences(spark, out).collect()))
-    day = read_sequences(spark, out).where("day = 2")
-    first = F.lit(day.agg(F.min("session_id")).first()[0])
+    chunk = read_sequences(spark, out).where("chunk = 1")
+    first = F.lit(chunk.agg(F.min("session_id")).first()[0])
     renamed = F.when(F.col("session_id") == first, F.lit("gone")).otherwise(F.col("session_id"))
-    changed = str(tmp_path / "changed")
-    day.withColumn("session_id", renamed).write.parquet(changed)
-    write_sequences(spark.read.parquet(changed), out, config, "overwrite")
+    changed = materialize(chunk.withColumn("session_id", renamed))
+    write_chunks(changed, out, config, "all", [c for c in stored_chunks(spark, out, "all") if c != 1])
     assert read_sequences(spark, out).count() == len(whole)
     again = run_tokens(spark, paths["sessions"], words, out, "all", config, resume=True, ranges=RANGES)
     assert not again.skipped
