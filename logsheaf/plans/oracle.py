@@ -366,6 +366,14 @@ ORACLE = {
         SELECT conv_id, turn, variant, original, 'raw_logs' AS dataset FROM messages
         WHERE original IS NOT NULL AND NOT regexp_matches(original, '(?m)^\s*$')
           AND NOT regexp_matches(original, '(?m)^(GET /health|GET /ready|POST /metrics)$')""",
+    "ingest_refused": """
+        SELECT CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k, count(*) AS n,
+               CAST(NULL AS VARCHAR) AS value, CAST(NULL AS BIGINT) AS "offset"
+        FROM events WHERE event_type = 'click' GROUP BY 1
+        UNION ALL
+        SELECT NULL, NULL, CASE event_type WHEN 'error' THEN props[1:4] WHEN 'signup' THEN '[' || props || ']'
+                 WHEN 'view' THEN '{"k": "k' || event_id || '"}' END, event_id
+        FROM events WHERE event_type <> 'click'""",
     "severity_bands": """
         SELECT event_id, round(score, 6) AS score, score >= 0.75 AS is_anomaly,
                CASE WHEN score >= 0.90 THEN 'critical' WHEN score >= 0.75 THEN 'high'

@@ -73,6 +73,7 @@ from logsheaf.operators.vocabulary import (
 )
 from logsheaf.plans.sessions import extend_templates, read_aliases, sessions_of, stage_events
 from logsheaf.session import discard, materialize, scratch_path, table_exists
+from logsheaf.sources.kafka import parted_values
 from logsheaf.sources.logs import read_log_lines
 from logsheaf.sources.sequences import read_sequences, write_chunks
 from logsheaf.sources.sessions import read_sessions, write_sessions
@@ -640,6 +641,25 @@ def ingest_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ingest_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON values, fit and unfit by event type, as events and as refused texts."""
+    kind, props = F.col("event_type"), F.col("props")
+    text = (
+        F.when(kind == "click", F.concat(props, F.lit(" ")))
+        .when(kind == "error", F.substring(props, 1, 4))
+        .when(kind == "signup", F.concat(F.lit("["), props, F.lit("]")))
+        .when(kind == "view", F.concat(F.lit('{"k": "k'), "event_id", F.lit('"}')))
+    )
+    records = _table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("offset"), text.alias("value")
+    )
+    events, refused = parted_values(records, EVENT_K)
+    accepted = events.groupBy("k").agg(F.count("*").alias("n"))
+    return accepted.select("k", "n", F.lit(None).cast("string").alias("value"), F.lit(None).cast("bigint").alias("offset")).unionByName(
+        refused.select(F.lit(None).cast("bigint").alias("k"), F.lit(None).cast("bigint").alias("n"), "value", "offset")
+    )
+
+
 # --- scores -----------------------------------------------------------------
 
 
@@ -751,6 +771,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "masked_examples": masked_examples,
     "ingest_clean": ingest_clean,
     "ingest_json": ingest_json,
+    "ingest_refused": ingest_refused,
     "severity_bands": severity_bands,
     "risk_ewma": risk_ewma,
     "alert_severity": alert_severities,

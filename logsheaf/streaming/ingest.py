@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from logsheaf.functions.wire import encode_json
-from logsheaf.sources.kafka import DEFAULT_TOPIC, read_topic, write_topic
+from logsheaf.sources.kafka import DEFAULT_TOPIC, parted_values, topic_records, write_topic
 
 # Lines of health probes, and envelope columns of the shipper.
 PROBE_LINES = ("GET /health", "GET /ready", "POST /metrics")
@@ -67,11 +67,37 @@ def run_to_files(events: DataFrame, path: str, checkpoint: str, fmt: str = "parq
     )
 
 
+def run_parted(
+    records: DataFrame, schema: T.StructType, path: str, refused_path: str, checkpoint: str
+) -> StreamingQuery:
+    """Processes all available records: events go to ``path``, values that are none to ``refused_path``.
+
+    Each micro-batch writes its own folder ``batch=<id>`` in both places, so one
+    that is run again after a crash replaces what it wrote, and nothing is
+    stored twice. The checkpoint and both places belong together.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
+        held = batch.persist()
+        try:
+            for rows, place in zip(parted_values(held, schema), (path, refused_path)):
+                rows.write.mode("overwrite").parquet(f"{place}/batch={number}")
+        finally:
+            held.unpersist()
+
+    return (
+        records.writeStream.foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def ingest_to_topic(
-    events: DataFrame, servers: str, checkpoint: str, topic: str = DEFAULT_TOPIC
+    events: DataFrame, servers: str, checkpoint: str, topic: str = DEFAULT_TOPIC, **extra: str
 ) -> StreamingQuery:
-    """Cleans a stream of raw log events and writes it to a topic."""
-    return write_topic(clean(events), servers, checkpoint, topic)
+    """Cleans a stream of raw log events and writes it to a topic; ``extra`` are producer settings."""
+    return write_topic(clean(events), servers, checkpoint, topic, **extra)
 
 
 def consume_topic(
@@ -79,11 +105,18 @@ def consume_topic(
     servers: str,
     schema: T.StructType,
     path: str,
+    refused_path: str,
     checkpoint: str,
     topic: str = DEFAULT_TOPIC,
+    **extra: str,
 ) -> StreamingQuery:
-    """Passes the events of a topic on, unchanged, into files."""
-    return run_to_files(read_topic(spark, servers, schema, topic), path, checkpoint)
+    """Passes the events of a topic on, unchanged, into files; values that are no event go aside.
+
+    ``extra`` holds reader options such as ``startingOffsets``,
+    ``maxOffsetsPerTrigger`` and ``kafka.security.protocol``.
+    """
+    records = topic_records(spark, servers, topic, **extra)
+    return run_parted(records, schema, path, refused_path, checkpoint)
 
 
 def run_as_json(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

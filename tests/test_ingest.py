@@ -4,8 +4,9 @@ from pyspark.sql import types as T
 
 from logsheaf.functions.wire import encode_json
 from logsheaf.operators.parse import parse_auth_lines
-from logsheaf.sources.kafka import decode_values, kafka_options
-from logsheaf.streaming.ingest import clean, drop_blank, run_as_json, run_to_files
+from logsheaf.sources.kafka import decode_values, kafka_options, parted_values
+from logsheaf.streaming import ingest
+from logsheaf.streaming.ingest import clean, drop_blank, run_as_json, run_parted, run_to_files
 
 SCHEMA = "message string, host string, agent string, ecs string, input string, tags string, id int"
 MESSAGES = [
@@ -90,3 +91,59 @@ def test_stream_of_auth_lines(spark, tmp_path):
     events = parse_auth_lines(spark.readStream.text(source))
     run_to_files(events, out, state).awaitTermination()
     assert sorted((r["time"], r["is_success"]) for r in spark.read.parquet(out).collect()) == [(1, True), (2, False)]
+
+
+EVENT = T.StructType().add("a", T.LongType()).add("b", T.StructType().add("c", T.StringType()))
+FIT = ['{"a": 1}', '{"a": null, "b": {"c": "x"}, "other": 2}', " {} "]
+UNFIT = ['{"a": 1', '{"a": "one"}', "[]x", "3", "", "text", None]
+
+
+def test_unfit_values(spark):
+    records = spark.createDataFrame([(v, i) for i, v in enumerate(FIT + UNFIT)], "value string, offset long")
+    events, refused = parted_values(records, EVENT)
+    assert sorted(map(str, events.collect())) == sorted(
+        ["Row(a=1, b=None)", "Row(a=None, b=Row(c='x'))", "Row(a=None, b=None)"]
+    )
+    assert {(r["value"], r["offset"]) for r in refused.collect()} == {(v, i + 3) for i, v in enumerate(UNFIT)}
+    named = T.StructType().add("_broken", T.StringType()).add("value", T.StringType())
+    events, _ = parted_values(spark.createDataFrame([('{"_broken": "b", "value": "v"}',)], "value string"), named)
+    assert [tuple(r) for r in events.collect()] == [("b", "v")]
+
+
+def test_unfit_values_go_aside_and_nothing_is_stored_twice(spark, tmp_path, monkeypatch):
+    source, out, aside, state = (str(tmp_path / n) for n in ("in", "out", "aside", "state"))
+
+    def feed(values):
+        spark.createDataFrame([(v,) for v in values], "value string").write.mode("append").text(source)
+
+    def run():
+        run_parted(spark.readStream.text(source), EVENT, out, aside, state).awaitTermination()
+
+    def stored():
+        return [sorted(str(r) for r in spark.read.parquet(p).drop("batch").collect()) for p in (out, aside)]
+
+    feed(FIT + UNFIT[:-1])
+    run()
+    first = stored()
+    assert len(first[0]) == 3 and "Row(a=None, b=None)" in first[0] and len(first[1]) == 6
+    run()
+    assert stored() == first
+    # A batch that stops between its two places is run again in full.
+    whole = ingest.parted_values
+
+    def half(records, schema):
+        events, refused = whole(records, schema)
+        yield events
+        raise RuntimeError("lost")
+
+    feed(['{"a": 7}', "bad"])
+    monkeypatch.setattr(ingest, "parted_values", half)
+    try:
+        run()
+    except Exception:
+        pass
+    monkeypatch.undo()
+    assert len(stored()[1]) == 6
+    run()
+    events, refused = stored()
+    assert events == sorted([*first[0], "Row(a=7, b=None)"]) and refused == sorted([*first[1], "Row(value='bad')"])
