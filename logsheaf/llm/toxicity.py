@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from logsheaf.llm.language import id_of, bounded_sample
 from logsheaf.llm.pretokens import by_size, texts_of
+from logsheaf.llm.tables import small
+from logsheaf.session import materialize
 
 SAMPLE = 20_000
 VOCABULARY = 2_048
@@ -182,6 +184,30 @@ def _fit(labels, counts, bags, size: int) -> tuple[np.ndarray, float]:
     return values[:-1], float(values[-1])
 
 
+def labelled_texts(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str = "toxic",
+    sample: int = SAMPLE,
+    id: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """A written table (``id``, ``text``, ``label``) of about ``sample`` labelled documents.
+
+    The sample is chosen from ids, hashes of texts and labels, so a labels
+    table of any size joins without moving texts; only those chosen are read
+    then. Rows that repeat an id and its text all come along.
+    """
+    key = F.xxhash64(F.col(text))
+    pairs = docs.select(F.col(id).alias("id"), key.alias("key")).join(
+        labels.where(F.col(label).isin(0, 1)).select(F.col(id).alias("id"), F.col(label).alias("label")), "id"
+    )
+    chosen = materialize(bounded_sample(materialize(pairs), sample).distinct())
+    texts = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), key.alias("key"))
+    found = texts.join(small(chosen), ["id", "key"]).drop("key")
+    return materialize(found.toDF(id, text, label))
+
+
 def train(
     docs: DataFrame,
     text: str = "text",
