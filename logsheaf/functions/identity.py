@@ -18,6 +18,12 @@ def pseudonym(raw: Column, hex_chars: int = 8) -> Column:
     return F.coalesce(F.substring(F.sha2(bare, 256), 1, hex_chars), F.lit("UNKNOWN"))
 
 
+def identity_check(raw: Column) -> Column:
+    """64 more bits of the hash behind a pseudonym, to tell apart names that share it; null for none."""
+    bare = F.nullif(strip(raw.cast("string")), F.lit(""))
+    return F.conv(F.substring(F.sha2(bare, 256), 49, 16), 16, -10).cast("bigint")
+
+
 def first_present(schema: T.StructType, candidates: Sequence[str]) -> Column:
     """The first candidate column with a usable value, else ``UNKNOWN``.
 
@@ -35,3 +41,11 @@ def user_key(schema: T.StructType, hex_chars: int = 8) -> Column:
 
 def host_key(schema: T.StructType, hex_chars: int = 8) -> Column:
     return pseudonym(first_present(schema, HOST_CANDIDATES), hex_chars)
+
+
+def user_check(schema: T.StructType) -> Column:
+    return identity_check(first_present(schema, USER_CANDIDATES))
+
+
+def host_check(schema: T.StructType) -> Column:
+    return identity_check(first_present(schema, HOST_CANDIDATES))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,6 +105,43 @@ def token_quality(sessions: DataFrame, approximate: bool = False) -> DataFrame:
     )
 
 
+# 2**14 registers: the estimate's standard error is below one percent.
+SKETCH_SIZE = 14
+
+
+def token_sketches(sessions: DataFrame) -> DataFrame:
+    """One row per day, to be stored beside it: (day, total_events, missing_event_ids, sketch).
+
+    The sketch counts distinct tokens; those of any days join without reading events again.
+    """
+    event_type = token_event_type(sessions.schema)
+    has_id = "event_id" in event_type.fieldNames()
+    event = F.col("event")
+    return (
+        sessions.select("day", F.explode(token_events(sessions.schema)).alias("event"))
+        .select(
+            "day",
+            (is_placeholder(event["event_id"]) if has_id else F.lit(True)).alias("placeholder"),
+            event_token(event, event_type).alias("token"),
+        )
+        .groupBy("day")
+        .agg(
+            F.count("*").alias("total_events"),
+            F.count_if("placeholder").alias("missing_event_ids"),
+            F.hll_sketch_agg("token", SKETCH_SIZE).alias("sketch"),
+        )
+    )
+
+
+def quality_of_days(sketches: DataFrame) -> DataFrame:
+    """``token_quality`` of the days of stored sketches, distinct tokens estimated."""
+    return sketches.agg(
+        F.coalesce(F.sum("total_events"), F.lit(0)).alias("total_events"),
+        F.coalesce(F.sum("missing_event_ids"), F.lit(0)).alias("missing_event_ids"),
+        F.coalesce(F.hll_sketch_estimate(F.hll_union_agg("sketch")), F.lit(0)).alias("distinct_tokens"),
+    )
+
+
 def token_warnings(quality: DataFrame, vocabulary_size: int, min_distinct: int = 50) -> list[str]:
     """Texts that describe a suspicious token space; empty when it looks sound."""
     row = quality.first()
@@ -123,3 +162,23 @@ def require_events(sessions: DataFrame) -> None:
     """Raises when no session holds an event."""
     if sessions.where(_n_events(sessions) > 0).isEmpty():
         raise RuntimeError("no session holds any event")
+
+
+def id_collisions(events: DataFrame, pairs: Mapping[str, str]) -> DataFrame:
+    """Pseudonymous ids that stand for several names: (kind, id, names).
+
+    ``pairs`` names each id column and that of its ``identity_check``. No name is
+    kept or read. Distinct pairs combine on the map side.
+    """
+    found = None
+    for id, check in pairs.items():
+        distinct = events.where(F.col(check).isNotNull()).select(F.col(id).alias("id"), F.col(check).alias("check"))
+        rows = (
+            distinct.distinct()
+            .groupBy("id")
+            .agg(F.count("*").alias("names"))
+            .where(F.col("names") > 1)
+            .select(F.lit(id).alias("kind"), "id", "names")
+        )
+        found = rows if found is None else found.unionByName(rows)
+    return found

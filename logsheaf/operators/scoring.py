@@ -37,10 +37,9 @@ def severity(score: Column, bands: Sequence[tuple[str, float]] = C.SEVERITY_BAND
     return result.otherwise(ordered[-1][0])
 
 
-def risk_profiles(
+def risk_states(
     scores: DataFrame,
     entity: str,
-    entity_type: str,
     time: str,
     score: str,
     order: Sequence[str] = (),
@@ -49,13 +48,14 @@ def risk_profiles(
     weight: float = C.RISK_ANOMALY_WEIGHT,
     threshold: float = C.ANOMALY_THRESHOLD,
 ) -> DataFrame:
-    """Per entity the risk ``r = decay * r + weight * score`` in time order.
-
-    A score that ``j`` later scores follow contributes ``weight * score *
-    decay^j``. Each entity and time bucket is summed by itself first; then the
-    short list of bucket sums decays by the number of later scores. An entity
-    with very many scores so spreads over its buckets. ``time`` holds epoch
-    seconds; ``order`` breaks ties.
+    """Per entity what its risk needs of these scores: their number and decayed sum.
+
+    The risk is ``r = decay * r + weight * score`` in time order. A score that
+    ``j`` later scores follow contributes ``weight * score * decay^j``. Each entity
+    and time bucket is summed by itself first; then the short list of bucket
+    sums decays by the number of later scores. An entity with very many
+    scores so spreads over its buckets. ``time`` holds epoch seconds; ``order``
+    breaks ties.
     """
     keyed = scores.withColumn("_bucket", F.floor(F.col(time) / bucket_seconds))
     later = W.partitionBy(entity, "_bucket").orderBy(F.desc(time), *[F.desc(c) for c in order])
@@ -74,23 +74,63 @@ def risk_profiles(
     )
     return (
         buckets.withColumn("_after", F.coalesce(F.sum("_n").over(after), F.lit(0)))
-        .groupBy(entity)
+        .groupBy(F.col(entity).cast("string").alias("entity_id"))
         .agg(
-            F.sum(F.col("_sum") * F.pow(F.lit(decay), F.col("_after"))).alias("risk_score"),
-            F.sum("_anomalies").cast("int").alias("anomaly_count"),
-            F.timestamp_seconds(F.max("_last")).alias("last_seen"),
-        )
-        .select(
-            F.col(entity).cast("string").alias("entity_id"),
-            F.lit(entity_type).alias("entity_type"),
-            "risk_score",
-            "anomaly_count",
-            "last_seen",
-            F.current_timestamp().alias("updated_at"),
+            F.sum("_n").alias("n_scores"),
+            F.sum(F.col("_sum") * F.pow(F.lit(decay), F.col("_after"))).alias("decayed"),
+            F.sum("_anomalies").alias("n_anomalies"),
+            F.max("_last").cast("bigint").alias("last_time"),
         )
     )
 
 
+def folded_states(earlier: DataFrame, later: DataFrame, decay: float = C.RISK_DECAY) -> DataFrame:
+    """The states of both sets of scores, of which those of ``later`` came after the others.
+
+    Folding is associative, so runs may be folded in any grouping.
+    """
+    new = later.select("entity_id", *(F.col(c).alias(f"_{c}") for c in later.columns if c != "entity_id"))
+    count = F.coalesce("_n_scores", F.lit(0))
+    return earlier.join(new, "entity_id", "full").select(
+        "entity_id",
+        (F.coalesce("n_scores", F.lit(0)) + count).alias("n_scores"),
+        (
+            F.coalesce("decayed", F.lit(0.0)) * F.pow(F.lit(decay), count) + F.coalesce("_decayed", F.lit(0.0))
+        ).alias("decayed"),
+        (F.coalesce("n_anomalies", F.lit(0)) + F.coalesce("_n_anomalies", F.lit(0))).alias("n_anomalies"),
+        F.greatest("last_time", "_last_time").alias("last_time"),
+    )
+
+
+def profiles_of(states: DataFrame, entity_type: str) -> DataFrame:
+    """RISK_PROFILES rows of risk states."""
+    return states.select(
+        "entity_id",
+        F.lit(entity_type).alias("entity_type"),
+        F.col("decayed").alias("risk_score"),
+        F.col("n_anomalies").cast("int").alias("anomaly_count"),
+        F.timestamp_seconds("last_time").alias("last_seen"),
+        F.current_timestamp().alias("updated_at"),
+    )
+
+
+def risk_profiles(
+    scores: DataFrame,
+    entity: str,
+    entity_type: str,
+    time: str,
+    score: str,
+    order: Sequence[str] = (),
+    bucket_seconds: int = 60,
+    decay: float = C.RISK_DECAY,
+    weight: float = C.RISK_ANOMALY_WEIGHT,
+    threshold: float = C.ANOMALY_THRESHOLD,
+) -> DataFrame:
+    """Per entity its risk, anomalies and last time, from all scores at once (see ``risk_states``)."""
+    states = risk_states(scores, entity, time, score, order, bucket_seconds, decay, weight, threshold)
+    return profiles_of(states, entity_type)
+
+
 def technique_bonus(technique_id: Column, bonus: Mapping[str, float] = C.TECHNIQUE_BONUS) -> Column:
     """The declared bonus of a technique, 0 for any other."""
     result = F.lit(None).cast("double")
@@ -152,6 +192,55 @@ def score_percentiles(
     total, bound = values.agg(F.count("*"), F.percentile_approx("v", floor, accuracy)).first()
     if not total:
         raise ValueError("no scores to rank")
+    return _percentiles(values, total, values.where(F.col("v") >= bound), percentiles)
+
+
+def score_sketches(scores: DataFrame, score: str, day: str = "day") -> DataFrame:
+    """One row per day, to be stored beside it: (day, n, highest, sketch), a KLL sketch of its scores.
+
+    Days may be joined by any later run; null scores do not count.
+    """
+    value = F.col(score).cast("double")
+    return (
+        scores.where(value.isNotNull())
+        .groupBy(F.col(day).alias("day"))
+        .agg(F.count("*").alias("n"), F.max(value).alias("highest"), F.kll_sketch_agg_double(value).alias("sketch"))
+    )
+
+
+# A KLL sketch of the default size errs in rank by less than this share.
+SKETCH_ERROR = 0.02
+
+
+def percentiles_of_days(
+    scores: DataFrame,
+    sketches: DataFrame,
+    score: str,
+    percentiles: Mapping[str, float] = C.ALERT_PERCENTILES,
+    day: str = "day",
+) -> dict[str, float]:
+    """The same percentiles from stored sketches, reading only days that reach the tail.
+
+    The joined sketch bounds the tail from below; of the scores, partitioned
+    by day, only the days whose highest score reaches the bound are read.
+    """
+    floor = max(0.0, min(percentiles.values()) / 100 - SKETCH_ERROR)
+    merged = F.kll_merge_agg_double("sketch")
+    total, bound = sketches.agg(
+        F.sum("n"), F.kll_sketch_get_quantile_double(merged, F.lit(floor))
+    ).first()
+    if not total:
+        raise ValueError("no scores to rank")
+    days = [row["day"] for row in sketches.where(F.col("highest") >= bound).select("day").collect()]
+    values = scores.select(day, F.col(score).alias("v")).where(F.col("v").isNotNull())
+    tail = values.where(F.col(day).isin(days) & (F.col("v") >= bound)).select("v")
+    return _percentiles(values.select("v"), total, tail, percentiles)
+
+
+def _percentiles(
+    values: DataFrame, total: int, tail: DataFrame, percentiles: Mapping[str, float]
+) -> dict[str, float]:
+    """Percentiles of ``total`` values from the highest of them; from all, should those be too few."""
     targets = {name: p / 100 * (total - 1) for name, p in percentiles.items()}
     ranks = {min(int(t) + step, total - 1) for t in targets.values() for step in (0, 1)}
     # Positions count from the top, so nothing below the bound is needed.
@@ -174,7 +263,7 @@ def score_percentiles(
             if row["position"] <= rank < row["end"]
         }
 
-    found = scores_at_ranks(values.where(F.col("v") >= bound))
+    found = scores_at_ranks(tail)
     if len(found) < len(ranks):
         found = scores_at_ranks(values)
 
@@ -207,22 +296,26 @@ def masked_examples(
 ) -> DataFrame:
     """Adds ``masked_ids`` and ``labels`` (-100 where nothing is predicted).
 
-    Choices hash the session id, the position and the seed, so that they are
-    the same on every run. Special tokens are never chosen.
+    Choices follow from an MD5 of the session id, the position and the seed, so
+    that they are the same on every run and engine. Special tokens are never
+    chosen.
     """
     first_learned = max(specials.values()) + 1
     choices = max(vocabulary_size - first_learned, 1)
 
+    def drawn(position: Column, salt: int) -> Column:
+        name = F.concat_ws("|", "session_id", position.cast("string"), F.lit(f"{seed}|{salt}"))
+        return F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("bigint")
+
     def draw(position: Column, salt: int) -> Column:
-        digest = F.xxhash64("session_id", position, F.lit(seed), F.lit(salt))
-        return F.pmod(digest, F.lit(1_000_000)) / 1_000_000
+        return drawn(position, salt) % 1_000_000 / 1_000_000
 
     def chosen(token: Column, position: Column) -> Column:
         return ~token.isin(*specials.values()) & (draw(position, 0) < probability)
 
     def replacement(token: Column, position: Column) -> Column:
         kind = draw(position, 1)
-        other = F.pmod(F.xxhash64("session_id", position, F.lit(seed), F.lit(2)), F.lit(choices))
+        other = drawn(position, 2) % choices
         return (
             F.when(kind < mask_share, F.lit(specials["[MASK]"]))
             .when(kind < mask_share + random_share, (other + first_learned).cast("int"))

@@ -357,6 +357,35 @@ ORACLE = {
                count(*) FILTER (WHERE token_id = 4) AS unknown_events, count(*) AS total_events,
                CAST(0 AS BIGINT) AS invalid_rows
         FROM enc""",
+    "single_sequences": "SELECT day, count(*) AS sequences FROM sess GROUP BY day",
+    "sequence_completeness": "SELECT * FROM (VALUES (0, true), (1, false)) AS t(more, complete)",
+    "session_shards": """
+        SELECT day, count(*) AS sessions, max(session_id) AS last_id FROM sess WHERE day IN (4, 11, 30)
+        GROUP BY day""",
+    "stored_vocabulary": "SELECT token, token_id, token_id AS json_id FROM vocab",
+    "vocabulary_check_damaged": """
+        SELECT count(*) + 3 AS size, CAST(100006 AS INTEGER) AS max_token_id, CAST(1 AS BIGINT) AS missing_specials,
+               CAST(3 AS BIGINT) AS repeated_ids, CAST(1 AS BIGINT) AS repeated_tokens FROM vocab""",
+    "token_quality_placeholders": """
+        SELECT count(*) AS total_events, count(*) FILTER (WHERE event_type <> 'purchase') AS missing_event_ids,
+               count(DISTINCT CASE event_type WHEN 'purchase' THEN CAST(user_id AS VARCHAR) ELSE event_type END)
+                 AS distinct_tokens FROM events""",
+    "training_splits": """
+        SELECT split, count(day) AS sessions
+        FROM (VALUES ('pretrain', 1, 50), ('finetune', 51, 55), ('test', 56, 58)) AS s(split, a, b)
+        LEFT JOIN sess ON day BETWEEN a AND b GROUP BY split""",
+    "masked_examples": """
+        SELECT session_id,
+               array_to_string(list_transform(drawn, lambda d: CASE
+                 WHEN NOT d.chosen THEN d.t WHEN d.kind < 0.8 THEN 2
+                 WHEN d.kind < 0.9 THEN d.other % greatest(size - 5, 1) + 5 ELSE d.t END), ',') AS masked_ids,
+               array_to_string(list_transform(drawn, lambda d: CASE WHEN d.chosen THEN d.t ELSE -100 END), ',') AS labels
+        FROM (SELECT session_id, size, list_transform(input_ids, lambda t, i: {
+                't': t, 'chosen': t > 4 AND ('0x' || md5(session_id || '|' || (i - 1) || '|0|0')[1:8])::BIGINT
+                                            % 1000000 / 1000000.0::DOUBLE < 0.15::DOUBLE,
+                'kind': ('0x' || md5(session_id || '|' || (i - 1) || '|0|1')[1:8])::BIGINT % 1000000 / 1000000.0::DOUBLE,
+                'other': ('0x' || md5(session_id || '|' || (i - 1) || '|0|2')[1:8])::BIGINT}) AS drawn
+              FROM seq, (SELECT count(*) AS size FROM vocab))""",
     "sound_days": "SELECT DISTINCT day FROM sess WHERE day <> 7",
     "missing_days": """
         SELECT CAST(day AS INTEGER) AS day FROM range(26, 36) AS r(day)
@@ -382,6 +411,20 @@ ORACLE = {
     "risk_ewma": """
         SELECT entity AS entity_id, 'user' AS entity_type, round(risk_score, 6) AS risk_score,
                anomaly_count, last_seen FROM risk""",
+    "percentiles_by_day": """
+        SELECT (SELECT count(*) FROM scored) AS scores, level, round(bound, 6) AS bound
+        FROM (SELECT unnest(['P1', 'P2', 'P3']) AS level, unnest([0.999, 0.99, 0.97]) AS p)
+        JOIN (SELECT unnest([0.999, 0.99, 0.97]) AS p,
+                     unnest(quantile_cont(score, [0.999, 0.99, 0.97])) AS bound FROM scored) USING (p)""",
+    "token_quality_by_day": """
+        SELECT split, count(day) AS total_events, CAST(0 AS BIGINT) AS missing_event_ids, true AS near
+        FROM (VALUES ('train', 1, 20), ('val', 21, 25), ('test', 26, 30), ('all', 1, 30)) AS s(split, a, b)
+        LEFT JOIN rows_in ON day BETWEEN a AND b GROUP BY split""",
+    "id_collisions": """
+        SELECT 'user_id' AS kind, sha256(src_user)[1:2] AS id, count(DISTINCT src_user) AS names
+        FROM auth GROUP BY 2 HAVING names > 1
+        UNION ALL SELECT 'host_id', sha256(src_computer)[1:2] AS id, count(DISTINCT src_computer) AS names
+        FROM auth GROUP BY 2 HAVING names > 1""",
     "alert_severity": """
         SELECT event_id, round(score * 0.5::DOUBLE + risk_score * 0.3::DOUBLE
                  + CASE technique_id WHEN 'T1486' THEN 0.4 WHEN 'T1003' THEN 0.3 WHEN 'T1053' THEN 0.2
@@ -394,6 +437,7 @@ ORACLE = {
                              quantile_cont(score, 0.97) AS p3 FROM scored)""",
 }
 ORACLE["token_counts_null_events"] = ORACLE["token_counts"]
+ORACLE["risk_over_runs"] = ORACLE["risk_ewma"]
 ORACLE["ingest_json"] = ORACLE["ingest_clean"]
 ORACLE["session_events_hot"] = ORACLE["session_events_last_n"]
 ORACLE["encoded_events_salted"] = ORACLE["encoded_events"]

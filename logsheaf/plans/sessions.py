@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from logsheaf.config import SessionConfig
-from logsheaf.functions.identity import host_key, user_key
+from logsheaf.functions.identity import host_check, host_key, user_check, user_key
 from logsheaf.operators.merging import extend_merged, resolved
 from logsheaf.operators.parse import in_days, parse_auth_lines
-from logsheaf.operators.quality import rows_per_day
+from logsheaf.operators.quality import id_collisions, rows_per_day
 from logsheaf.operators.sessions import GROUP, build_sessions, prepare_events
 from logsheaf.operators.templates import (
     assign_template_ids,
@@ -27,6 +27,9 @@ from logsheaf.sources.metrics import write_metrics
 from logsheaf.sources.sessions import read_sessions, write_sessions
 
 
+CHECKS = {"user_id": "user_check", "host_id": "host_check"}
+
+
 @dataclass(frozen=True)
 class SessionsResult:
     """What a run wrote, its counters, and events and sessions per day."""
@@ -47,11 +50,13 @@ def stage_events(events: DataFrame, config: SessionConfig = SessionConfig()) ->
         {
             "user_id": user_key(events.schema, config.id_hex_chars),
             "host_id": host_key(events.schema, config.id_hex_chars),
+            **{name: check(events.schema) for name, check in zip(CHECKS.values(), (user_check, host_check))},
         }
     )
     return materialize(
         with_auth_signature(keyed).select(
             *GROUP,
+            *CHECKS.values(),
             "time",
             "auth_type",
             "logon_type",
@@ -176,7 +181,9 @@ def _run(
         F.count("*").alias("processed_days"),
         F.coalesce(F.sum("sessions"), F.lit(0)).alias("written_sessions"),
     ).first()
+    id_collisions(staged, CHECKS).write.mode("overwrite").parquet(f"{templates_path}_collisions")
+    colliding = spark.read.parquet(f"{templates_path}_collisions").count()
     discard(staged)
-    counters = {**counts.get, **totals.asDict()}
+    counters = {**counts.get, **totals.asDict(), "colliding_ids": colliding}
     write_metrics(spark, metrics_path, "sessions", "complete", counters)
     return SessionsResult(stored, templates, counters, per_day)

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logsheaf.config import SessionConfig, TokenConfig
-from logsheaf.functions.identity import host_key, user_key
+from logsheaf.config import TRAINING_SPLIT_DAYS, SessionConfig, TokenConfig
+from logsheaf.functions.identity import host_check, host_key, user_check, user_key
 from logsheaf.functions.masking import with_masked
 from logsheaf.functions.tokens import session_tokens
 from logsheaf.functions.wire import decode_json, encode_json
@@ -23,6 +23,7 @@ from logsheaf.operators import scoring
 from logsheaf.operators.chunks import (
     assign_chunks,
     chunk_report,
+    is_complete,
     manifest,
     numbered_chunks,
     pending,
@@ -47,10 +48,13 @@ from logsheaf.operators.parse import (
 from logsheaf.operators.merging import extend_merged, merge_similar, resolved
 from logsheaf.operators.quality import (
     coerce_events,
+    id_collisions,
     malformed_counters,
+    quality_of_days,
     rows_per_day,
     session_summary,
     token_quality,
+    token_sketches,
 )
 from logsheaf.operators.sessions import build_sessions, prepare_events, session_windows
 from logsheaf.operators.splits import in_split, missing_days
@@ -72,11 +76,24 @@ from logsheaf.operators.vocabulary import (
     vocabulary_stats,
 )
 from logsheaf.plans.sessions import extend_templates, read_aliases, sessions_of, stage_events
-from logsheaf.session import discard, materialize, scratch_path, table_exists
+from logsheaf.session import discard, file_system, materialize, scratch_path, table_exists
+from logsheaf.sources import versions
 from logsheaf.sources.kafka import parted_values
 from logsheaf.sources.logs import read_log_lines
-from logsheaf.sources.sequences import read_sequences, write_chunks
-from logsheaf.sources.sessions import read_sessions, write_sessions
+from logsheaf.sources.records import fold_risk_states, read_risk_states
+from logsheaf.sources.sequences import read_sequences, write_chunks, write_single
+from logsheaf.sources.sessions import (
+    read_session_shards,
+    read_sessions,
+    shard_counts,
+    write_sessions,
+)
+from logsheaf.sources.vocabulary import (
+    export_vocabulary_json,
+    read_vocabulary,
+    read_vocabulary_json,
+    write_vocabulary,
+)
 from logsheaf.streaming.ingest import clean
 
 WINDOWS = SessionConfig(window_mins=1440, stride_mins=720)
@@ -578,6 +595,76 @@ def sound_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valid_days(sequences.withColumn("attention_mask", mask), TOKENS.max_len)
 
 
+def single_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences per day of a single artifact, written and read back."""
+    path = scratch_path(spark)
+    write_single(_sequences(spark, sf_dir)[0], path, TOKENS)
+    return rows_per_day(read_sequences(spark, path), "sequences")
+
+
+def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the stored sequences cover all sessions, and whether they would cover one more."""
+    report, total = manifest(_stored_sequences(spark, sf_dir), TOKENS), _sessions(spark, sf_dir).count()
+    rows = [(more, is_complete(report, total + more)) for more in (0, 1)]
+    return spark.createDataFrame(rows, "more int, complete boolean")
+
+
+def session_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions per day from single files named by day, stored without ids."""
+    sessions, path = _sessions(spark, sf_dir), scratch_path(spark)
+    shards = []
+    for day in (4, 11, 30):
+        folder, shard = f"{path}/{day}", f"{path}/day_{day:02}.parquet"
+        sessions.where(F.col("day") == day).drop("day", "session_id").coalesce(1).write.parquet(folder)
+        part = next(name for name in versions.listed(spark, folder) if name.endswith(".parquet"))
+        files, source = file_system(spark, f"{folder}/{part}")
+        files.rename(source, file_system(spark, shard)[1])
+        shards.append(shard)
+    stored = read_session_shards(spark, *shards)
+    ids = stored.groupBy("day").agg(F.max("session_id").alias("last_id"))
+    return shard_counts(stored).join(ids, "day")
+
+
+def stored_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary after storing it as a table and as JSON lines, and reading both."""
+    words, path = _vocabulary(_sessions(spark, sf_dir), sf_dir), scratch_path(spark)
+    write_vocabulary(words, f"{path}/table")
+    export_vocabulary_json(words, f"{path}/json")
+    back = read_vocabulary_json(spark, f"{path}/json").withColumnRenamed("token_id", "json_id")
+    return read_vocabulary(spark, f"{path}/table").join(back, "token", "full")
+
+
+def damaged_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the check finds in a vocabulary without one special, with ids and tokens twice."""
+    words = _vocabulary(_sessions(spark, sf_dir), sf_dir)
+    token, number = F.col("token"), F.col("token_id")
+    more = words.where(number.between(5, 7)).select(F.concat(token, F.lit("+")).alias("token"), "token_id")
+    again = words.where(number == 6).select("token", (number + 100_000).cast("int").alias("token_id"))
+    return vocabulary_stats(words.where(token != "[MASK]").unionByName(more).unionByName(again))
+
+
+def placeholder_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token quality of sessions whose event ids are placeholders of every form but for purchases."""
+    kind = F.col("event_type")
+    name = (
+        F.when(kind == "click", "NA").when(kind == "error", " UNK ").when(kind == "signup", "")
+        .when(kind == "purchase", F.col("user_id").cast("string"))
+    )
+    event = F.struct(name.alias("event_id"), kind.alias("auth_type"), F.lit("t").alias("logon_type"))
+    events = _table(spark, sf_dir, "events")
+    return token_quality(events.groupBy("event_id").agg(F.collect_list(event).alias("events")))
+
+
+def training_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of the splits that the training settings declare."""
+    sessions, found = _sessions(spark, sf_dir), None
+    for split in TRAINING_SPLIT_DAYS:
+        rows = in_split(sessions, split, TRAINING_SPLIT_DAYS).agg(F.count("*").alias("sessions"))
+        rows = rows.select(F.lit(split).alias("split"), "sessions")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 def absent_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing_days(_sessions(spark, sf_dir), "late", SPLITS)
 
@@ -717,6 +804,65 @@ def alert_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.alert_levels(_scored(spark, sf_dir), "score").select("event_id", "level")
 
 
+def risk_over_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risk from three runs, by time, folded into one stored table; the second is repeated."""
+    scored, path = _scored(spark, sf_dir), scratch_path(spark)
+    day = F.floor((F.col("time") - F.lit(1_704_067_200)) / 86_400)
+    runs = {"a": day < 7, "b": (day >= 7) & (day < 20), "c": day >= 20}
+    for run in "abbc":
+        states = scoring.risk_states(scored.where(runs[run]), "entity", "time", "score", ["event_id"])
+        fold_risk_states(states, path, run)
+    return scoring.profiles_of(read_risk_states(spark, path), "user").select(
+        "entity_id",
+        "entity_type",
+        F.round("risk_score", 6).alias("risk_score"),
+        "anomaly_count",
+        F.unix_seconds("last_seen").alias("last_seen"),
+    )
+
+
+def percentiles_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The percentiles of all scores from sketches per day and the days that reach the tail."""
+    day = day_index(F.col("time") - F.lit(1_704_067_200))
+    scored = materialize(_scored(spark, sf_dir).select("score", day.alias("day")), "day")
+    sketches = materialize(scoring.score_sketches(scored, "score"))
+    found = scoring.percentiles_of_days(scored, sketches, "score")
+    rows = sorted((name, round(value, 6)) for name, value in found.items())
+    return sketches.agg(F.sum("n").alias("scores")).select(
+        "scores", F.inline(F.array(*[F.struct(F.lit(n).alias("level"), F.lit(v).alias("bound")) for n, v in rows]))
+    )
+
+
+def quality_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token quality of each split from sketches per day, and whether it is near the exact count."""
+    sessions = _sessions(spark, sf_dir)
+    sketches, found = materialize(token_sketches(sessions)), None
+    for split in ("train", "val", "test", "all"):
+        exact = token_quality(in_split(sessions, split, SPLITS)).select(
+            F.lit(split).alias("split"), F.col("distinct_tokens").alias("exact")
+        )
+        estimate = quality_of_days(in_split(sketches, split, SPLITS)).withColumn("split", F.lit(split))
+        rows = estimate.join(exact, "split").select(
+            "split",
+            "total_events",
+            "missing_event_ids",
+            (F.abs(F.col("distinct_tokens") - F.col("exact")) <= 0.02 * F.col("exact")).alias("near"),
+        )
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+def collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudonyms of two hex characters that stand for several users or computers."""
+    events = auth_events(spark, sf_dir)
+    schema = events.schema
+    keyed = events.select(
+        user_key(schema, 2).alias("user_id"), host_key(schema, 2).alias("host_id"),
+        user_check(schema).alias("user_check"), host_check(schema).alias("host_check"),
+    )
+    return id_collisions(keyed, {"user_id": "user_check", "host_id": "host_check"})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_auth_lines": parsed_lines,
     "parse_counters": line_counters,
@@ -765,6 +911,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sequence_manifest": sequence_manifest,
     "sequence_chunks": sequence_chunks,
     "resumable_chunks": resumable_chunks,
+    "single_sequences": single_sequences,
+    "sequence_completeness": completeness,
+    "session_shards": session_shards,
+    "stored_vocabulary": stored_vocabulary,
+    "vocabulary_check_damaged": damaged_vocabulary,
+    "token_quality_placeholders": placeholder_quality,
+    "training_splits": training_splits,
     "sound_days": sound_days,
     "missing_days": absent_days,
     "resume_antijoin": resume_antijoin,
@@ -776,4 +929,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "risk_ewma": risk_ewma,
     "alert_severity": alert_severities,
     "alert_percentiles": alert_percentiles,
+    "risk_over_runs": risk_over_runs,
+    "percentiles_by_day": percentiles_by_day,
+    "token_quality_by_day": quality_by_day,
+    "id_collisions": collisions,
 }

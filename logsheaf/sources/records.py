@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logsheaf.operators.joins import lookup_join
-from logsheaf.operators.scoring import is_anomaly, severity
+from logsheaf.operators.scoring import folded_states, is_anomaly, severity
 from logsheaf.schemas import ALERTS, LOGS_PARSED, LOGS_RAW, RISK_PROFILES
+from logsheaf.sources import versions
 
 TABLES = {
     "logs_raw": (LOGS_RAW, "@timestamp"),
@@ -98,3 +99,32 @@ def alert_records(
         ),
         "alerts",
     )
+
+
+RISK_STATE = "entity_id string, n_scores bigint, decayed double, n_anomalies bigint, last_time bigint"
+
+
+def read_risk_states(spark: SparkSession, path: str) -> DataFrame:
+    """Risk states of all runs so far; none before the first."""
+    stored = (versions.parts(spark, path) or {}).get("states")
+    if stored is None:
+        return spark.createDataFrame([], RISK_STATE)
+    return spark.read.schema(RISK_STATE).parquet(versions.folder(path, stored))
+
+
+def fold_risk_states(states: DataFrame, path: str, run: str) -> DataFrame:
+    """Folds the states of a run's scores into the stored ones, once; the states after it.
+
+    The new table and the note that ``run`` is in it come in one step, so a run
+    that is repeated, or stopped before, changes nothing. Scores of a run
+    count as later than those of the runs before.
+    """
+    spark = states.sparkSession
+    stored = versions.parts(spark, path) or {}
+    if f"run={run}" not in stored:
+        version = versions.new_version()
+        folded = folded_states(read_risk_states(spark, path), states)
+        folded.write.parquet(versions.folder(path, version))
+        runs = {part: version for part in stored if part.startswith("run=")}
+        versions.commit(spark, path, {**runs, "states": version, f"run={run}": version})
+    return read_risk_states(spark, path)
