@@ -16,11 +16,11 @@ LEAST_SHARE = 0.5
 # A token is a run of letters and digits; numbers keep their inner marks.
 TOKEN = r"[\p{L}\p{N}]+(?:[.,]\p{N}+)*"
 # The same, with each character of a script without spaces as a token of its own.
-_UNSPACED = (
-    r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u2FDF\u3005-\u3007\u3040-\u30FF"
-    r"\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{20000}-\x{3FFFF}"
+UNSPACED = (
+    r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{2E80}-\x{2FDF}\x{3005}-\x{3007}\x{3040}-\x{30FF}"
+    r"\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF66}-\x{FF9F}\x{20000}-\x{3FFFF}"
 )
-PIECE = rf"[\p{{L}}\p{{N}}&&[^{_UNSPACED}]]+(?:[.,]\p{{N}}+)*|[\p{{L}}\p{{N}}&&[{_UNSPACED}]]"
+PIECE = rf"[\p{{L}}\p{{N}}&&[^{UNSPACED}]]+(?:[.,]\p{{N}}+)*|[\p{{L}}\p{{N}}&&[{UNSPACED}]]"
 NUMBER = r"^\p{N}[\p{N}.,]*$"
 UNITS = (
     "mm", "cm", "km", "mg", "kg", "ml", "kb", "mb", "gb", "mph", "kmh", "inch", "inches",

@@ -9,6 +9,7 @@ from logsheaf.llm.decontamination import (
     NUMBER,
     TOKEN,
     UNITS,
+    UNSPACED,
     WINDOW,
 )
 from logsheaf.llm.secret_scan import BASE, RULES
@@ -106,66 +107,97 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM sets JOIN least O
 
 
 def _contaminated() -> str:
-    """Every window as text, alignments by their shift, slots counted per alignment."""
+    """Every window as text, alignments by their shift, slots and conflicts counted per alignment.
+
+    Characters of scripts without spaces are set apart first, so that each is a token.
+    """
     units = ", ".join(f"'{unit}'" for unit in UNITS)
 
     def formed(source: str, key: str) -> str:
         return f"""
-  SELECT {key}, w, plain, list_transform(range(1, len(w) + 1), lambda i:
+  SELECT {key}, w, plain, list_transform(w, lambda x: lower(x)) AS exact,
+    list_transform(range(1, len(w) + 1), lambda i:
       CASE WHEN NOT starts_with(plain[i], '<') AND w[i] <> plain[i] THEN '<name>' ELSE plain[i] END
     ) AS template
   FROM (SELECT *, list_transform(w, lambda x:
       CASE WHEN regexp_matches(lower(x), '{NUMBER}') THEN '<num>'
         WHEN lower(x) IN ({units}) THEN '<unit>' ELSE lower(x) END) AS plain
-    FROM (SELECT {key}, regexp_extract_all(coalesce(text, ''), '{TOKEN}') AS w FROM {source}))"""
+    FROM (SELECT {key}, regexp_extract_all(
+        regexp_replace(coalesce(text, ''), '([{UNSPACED}])', ' \\1 ', 'g'), '{TOKEN}') AS w FROM {source}))"""
 
-    def cut(source: str, key: str, form: str) -> str:
+    def cut(source: str, key: str, form: str, where: str = "true") -> str:
         return f"""
   SELECT {key}, size, pos, {form}[pos:pos + size - 1] AS win
-  FROM (SELECT *, unnest(range(1, len({form}) - size + 2)) AS pos FROM {source})"""
+  FROM (SELECT *, unnest(range(1, len({form}) - size + 2)) AS pos FROM {source}) WHERE {where}"""
+
+    def literal(form: str) -> str:
+        counted = f"len(list_filter({form}[pos:pos + size - 1], lambda f: NOT starts_with(f, '<')))"
+        return f"size >= {LEAST_WINDOW} AND 2 * {counted} >= size"
 
     return f"""
 WITH docs AS ({formed("documents", "doc_id")}),
 items AS (
-  SELECT *, least(len(w), {WINDOW}) AS size FROM ({formed("benchmark", "item_id")})
-  WHERE len(w) >= {LEAST_WINDOW}
+  SELECT *, least(len(w), {WINDOW}) AS size FROM ({formed("benchmark", "item_id")}) WHERE len(w) > 0
 ),
 sized AS (SELECT docs.*, size FROM docs, (SELECT DISTINCT size FROM items)),
-ours AS ({cut("sized", "doc_id", "template")} UNION {cut("sized", "doc_id", "plain")}),
+ours AS (
+  {cut("sized", "doc_id", "template", f"size >= {LEAST_WINDOW}")}
+  UNION {cut("sized", "doc_id", "plain", f"size >= {LEAST_WINDOW}")}
+  UNION {cut("sized", "doc_id", "exact")}
+),
 theirs AS (
-  SELECT * FROM ({cut("items", "item_id", "template")} UNION {cut("items", "item_id", "plain")})
-  WHERE 2 * len(list_filter(win, lambda f: NOT starts_with(f, '<'))) >= size
+  {cut("items", "item_id", "template", literal("template"))}
+  UNION {cut("items", "item_id", "plain", literal("plain"))}
+  UNION {cut("items", "item_id", "exact", f"NOT ({literal('plain')})")}
 ),
 aligned AS (
   SELECT doc_id, item_id, ours.pos - theirs.pos AS shift, size, list(DISTINCT theirs.pos) AS starts
   FROM ours JOIN theirs USING (size, win) GROUP BY ALL
 ),
 places AS (
-  SELECT DISTINCT doc_id, item_id, shift,
-    unnest(flatten(list_transform(starts, lambda s: range(s, s + size)))) AS place
-  FROM aligned
+  SELECT *, {{'a': a, 'b': b, 'form': form}} AS slot, starts_with(form, '<') AS is_slot
+  FROM (
+    SELECT doc_id, item_id, shift, place, lower(items.w[place]) AS a, lower(docs.w[place + shift]) AS b,
+      items.template[place] AS form
+    FROM (SELECT DISTINCT doc_id, item_id, shift,
+            unnest(flatten(list_transform(starts, lambda s: range(s, s + size)))) AS place FROM aligned)
+    JOIN docs USING (doc_id) JOIN items USING (item_id))
 ),
 slots AS (
-  SELECT doc_id, item_id, shift, count(*) AS n_tokens,
-    list(DISTINCT {{'a': lower(items.w[place]), 'b': lower(docs.w[place + shift])}})
-      FILTER (starts_with(items.template[place], '<')) AS pairs
-  FROM places JOIN docs USING (doc_id) JOIN items USING (item_id)
-  GROUP BY doc_id, item_id, shift
+  SELECT doc_id, item_id, shift, coalesce(list(DISTINCT slot) FILTER (is_slot), []) AS slots,
+    coalesce(list(place) FILTER (a <> b), []) AS edits
+  FROM places GROUP BY ALL
+),
+judged AS (
+  SELECT *, len(list_distinct(list_transform(slots, lambda s: s.a))) = len(slots)
+      AND len(list_distinct(list_transform(names, lambda s: s.b))) = len(names) AS consistent,
+    list_filter(slots, lambda s: len(list_filter(slots, lambda t: (s.a = t.a) <> (s.b = t.b))) > 0) AS clashing
+  FROM (SELECT *, list_filter(slots, lambda s: s.form = '<name>') AS names FROM slots)
+),
+clashes AS (
+  SELECT doc_id, item_id, shift, coalesce(list(place) FILTER (is_slot AND list_contains(clashing, slot)), []) AS clashes
+  FROM places JOIN judged USING (doc_id, item_id, shift) GROUP BY ALL
+),
+kept AS (
+  SELECT doc_id, item_id, shift, size, CASE WHEN consistent THEN starts ELSE list_filter(starts, lambda x:
+      len(list_filter(clashes, lambda p: p >= x AND p < x + size)) = 0
+      OR len(list_filter(edits, lambda p: p >= x AND p < x + size)) = 0) END AS starts
+  FROM aligned JOIN judged USING (doc_id, item_id, shift) JOIN clashes USING (doc_id, item_id, shift)
+),
+covered AS (
+  SELECT DISTINCT doc_id, item_id, shift,
+    unnest(flatten(list_transform(starts, lambda s: range(s, s + size)))) AS place FROM kept
 ),
-checked AS (
-  SELECT doc_id, item_id, len(starts) AS n_windows, n_tokens,
-    len(starts) / (len(items.w) - items.size + 1) AS coverage,
-    coalesce(len(pairs), 0) AS n_slots,
-    coalesce(len(list_filter(pairs, lambda p: p.a <> p.b)), 0) AS n_changed,
-    coalesce(len(list_distinct(list_transform(pairs, lambda p: p.a))), 0) AS left_values,
-    coalesce(len(list_distinct(list_transform(pairs, lambda p: p.b))), 0) AS right_values
-  FROM aligned JOIN slots USING (doc_id, item_id, shift) JOIN items USING (item_id)
+counted AS (
+  SELECT doc_id, item_id, shift, count(*) AS n_tokens, count(DISTINCT slot) FILTER (is_slot) AS n_slots,
+    count(DISTINCT slot) FILTER (is_slot AND a <> b) AS n_changed
+  FROM covered JOIN places USING (doc_id, item_id, shift, place) GROUP BY ALL
 )
-SELECT doc_id, item_id, n_windows::INTEGER AS n_windows, coverage, n_slots::INTEGER AS n_slots,
+SELECT doc_id, item_id, len(starts)::INTEGER AS n_windows,
+  len(starts) / (len(items.w) - items.size + 1) AS coverage, n_slots::INTEGER AS n_slots,
   n_changed::INTEGER AS n_changed
-FROM checked
-WHERE left_values = n_slots AND right_values = n_slots
-  AND (n_tokens >= {LEAST_TOKENS} OR coverage >= {LEAST_SHARE})
+FROM kept JOIN counted USING (doc_id, item_id, shift) JOIN items USING (item_id)
+WHERE n_tokens >= {LEAST_TOKENS} OR coverage >= {LEAST_SHARE}
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id
   ORDER BY n_windows DESC, coverage DESC, n_changed, n_slots DESC) = 1
 """

@@ -97,3 +97,38 @@ def test_scores_are_a_noisy_or_of_sentences(spark):
             clear = 1 - 1 / (1 + np.exp(-model.bias))
         assert abs(got[i].score - (1 - clear)) < 1e-9
         assert [(s.start, s.end) for s in got[i].offending] == spans
+
+
+def test_sql_of_decontamination_knows_short_odd_and_partial_matches(spark):
+    import duckdb
+    import pandas as pd
+    from compare import rows_of
+
+    from logsheaf.llm import oracle
+    from logsheaf.llm.decontamination import contaminated
+
+    text = "The old mill stands by the river where nobody has worked for a very long time"
+    item = f"{text}. The wheel is broken and all of its boards have fallen into the water below. The end"
+    sums = "Ann has 3 green pears and buys 5 more of the pears at a small shop in town today"
+    items = [
+        "What is 12 * 34 + 5 * 6 - 7?", "Name Paris", "水的沸点是多少,请回答",
+        "1 2 3 4 5 6 7 8 9 10 11 12 13 14 km", "...", item, sums, None,
+    ]
+    docs = [
+        "Now: what is 12 * 34 + 5 * 6 - 7? Go.", "What is 12 * 34 + 5 * 6 - 8?", "please name PARIS now",
+        "name a city, Paris", "问题一水的沸点是多少,请回答", "水的冰点",
+        "0 1 2 3 4 5 6 7 8 9 10 11 12 13 14 km and on", "2 3 4 5 6 7 8 9 9", item,
+        item.replace("The wheel", "A wheel"), sums.replace("3", "4").replace("5", "4").replace("Ann", "Eve"),
+        "Ann has 3 green pears and buys 3 more of the pears at a small shop in town today", None, "",
+    ]
+    got = contaminated(
+        spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"),
+        spark.createDataFrame(list(enumerate(items)), "item_id long, text string"),
+    )
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(list(enumerate(docs)), columns=["doc_id", "text"]))
+    con.register("benchmark", pd.DataFrame(list(enumerate(items)), columns=["item_id", "text"]))
+    result = con.execute(oracle.DECONTAMINATION)
+    want = rows_of([d[0] for d in result.description], result.fetchall())
+    rows = rows_of(got.columns, got.collect())
+    assert rows == want and len(rows) == 8
