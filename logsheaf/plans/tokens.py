@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from logsheaf.operators.chunks import (
     sound_chunks,
 )
 from logsheaf.operators.encoding import padded
-from logsheaf.operators.quality import require_events
+from logsheaf.operators.quality import quality_of_days, require_events, token_sketches, token_warnings
 from logsheaf.operators.splits import Ranges, in_split, missing_days
 from logsheaf.operators.vocabulary import check_vocabulary, rank_tokens, token_counts
 from logsheaf.schemas import SESSION
@@ -36,6 +36,7 @@ class TokensResult:
     sequences: DataFrame
     manifest: DataFrame
     skipped: bool
+    warnings: list[str] = field(default_factory=list)
 
 
 def learn_vocabulary(
@@ -92,8 +93,10 @@ def run_tokens(
     sessions and can be read, and writes every other chunk anew, also one whose
     file is damaged or lost. All counts are over the whole output of the split;
     they and the list of chunks are stored at ``<sequences_path>_manifest`` and
-    ``<sequences_path>_chunks``. Start, skip, resume, each written chunk and
-    completion append their counters to the table at ``metrics_path``.
+    ``<sequences_path>_chunks``, and the token quality of each day at
+    ``<sequences_path>_days``, whose sketches join for any range of days. Start,
+    skip, resume, token quality, each written chunk and completion append their
+    counters to the table at ``metrics_path``.
     """
     schema = token_schema(SESSION)
     if isinstance(sessions_path, str):
@@ -156,6 +159,10 @@ def _run(
             sessions, vocabulary_path, config, reuse_vocabulary or resumed
         )
     check_vocabulary(vocabulary, config.token_id_dtype)
+    write_table(token_sketches(sessions), f"{sequences_path}_days")
+    quality = materialize(quality_of_days(spark.read.parquet(f"{sequences_path}_days")))
+    record("token_quality", quality.first().asDict())
+    warnings = token_warnings(quality, vocabulary.count())
 
     todo = chunks
     if sound:
@@ -173,4 +180,4 @@ def _run(
     if not is_complete(report, total):
         raise RuntimeError(f"the sequences of split {split} do not cover its {total} sessions")
     record("complete", report.first().asDict())
-    return TokensResult(vocabulary, stored, report, False)
+    return TokensResult(vocabulary, stored, report, False, warnings)

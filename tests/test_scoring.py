@@ -1,10 +1,20 @@
+import glob
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from logsheaf.operators import scoring
-from logsheaf.sources.records import TABLES, alert_records, read_records, write_records
+from logsheaf.session import materialize
+from logsheaf.sources.records import (
+    TABLES,
+    alert_records,
+    fold_risk_states,
+    read_records,
+    read_risk_states,
+    write_records,
+)
 
 
 def test_severity_and_threshold(spark):
@@ -91,3 +101,46 @@ def test_record_tables(spark, tmp_path):
     assert read_records(spark, "risk_profiles", str(tmp_path / "risk")).count() == 1
     for table, (schema, stamp) in TABLES.items():
         assert stamp in schema.fieldNames(), table
+
+
+def test_percentiles_of_days_read_only_the_tail(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    rows = [(day, float(v)) for day in range(1, 6) for v in rng.random(400) * (1 if day == 4 else 0.5)]
+    path = str(tmp_path / "scores")
+    spark.createDataFrame(rows, "day int, score double").write.partitionBy("day").parquet(path)
+    scores = spark.read.parquet(path)
+    sketches = materialize(scoring.score_sketches(scores, "score"))
+    wanted = {"P1": 99.9, "P2": 99.0, "P3": 97.0}
+    want = {name: float(np.percentile([v for _, v in rows], p)) for name, p in wanted.items()}
+    for day in (1, 2, 3, 5):
+        for file in glob.glob(f"{path}/day={day}/*.parquet"):
+            with open(file, "wb") as broken:
+                broken.write(b"never read")
+    spark.catalog.refreshByPath(path)
+    got = scoring.percentiles_of_days(scores, sketches, "score", wanted)
+    assert got == pytest.approx(want)
+
+
+def test_risk_states_fold_in_any_grouping(spark, tmp_path):
+    rng = random.Random(13)
+    rows = [(rng.choice("abc"), t, rng.random(), t // 30) for t in range(150)]
+    scores = spark.createDataFrame(rows, "entity string, time bigint, score double, run int")
+    parts = [
+        materialize(scoring.risk_states(scores.where(F.col("run") == run), "entity", "time", "score"))
+        for run in range(5)
+    ]
+    left = parts[0]
+    for part in parts[1:]:
+        left = scoring.folded_states(left, part)
+    right = scoring.folded_states(
+        parts[0], scoring.folded_states(scoring.folded_states(parts[1], parts[2]), scoring.folded_states(parts[3], parts[4]))
+    )
+    whole = scoring.risk_states(scores, "entity", "time", "score")
+
+    def plain(states):
+        return sorted((r["entity_id"], r["n_scores"], round(r["decayed"], 9), r["n_anomalies"], r["last_time"]) for r in states.collect())
+
+    assert plain(left) == plain(right) == plain(whole)
+    for run in (0, 1, 1, 0):
+        fold_risk_states(parts[run], str(tmp_path / "risk"), str(run))
+    assert plain(read_risk_states(spark, str(tmp_path / "risk"))) == plain(scoring.folded_states(parts[0], parts[1]))
