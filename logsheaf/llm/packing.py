@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logsheaf.llm.pretokens import encoder, texts_of
+from logsheaf.llm.pretokens import BatchEncoder, by_size, encoder
 from logsheaf.session import materialize
 
 CAPACITY = 2048
 END = 0
+BATCH_BYTES = 8 << 20
 
 TYPES = {
     "doc_id": pa.int64(),
@@ -41,12 +42,12 @@ def token_pieces(
     """Pieces of at most ``capacity`` tokens, numbered per task and length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, numbers = encoder(tokenizer), TaskContext.get().partitionId(), Counter()
+        coder, part, numbers = BatchEncoder(encoder(tokenizer)), TaskContext.get().partitionId(), Counter()
         end = np.array([END], "<u4").tobytes()
-        for batch in batches:
+        for batch in by_size(batches, "text", BATCH_BYTES):
             rows = []
-            for doc, value in zip(batch["doc_id"].to_pylist(), texts_of(batch["text"])):
-                ids = coder.encode(value) + end
+            for doc, ids in zip(batch["doc_id"].to_pylist(), coder.encode(batch["text"])):
+                ids += end
                 total, at = len(ids) // 4, 0
                 while at < total:
                     size = (total - at) % capacity or capacity

@@ -24,6 +24,7 @@ UNUSUAL = re.compile(
 SPACES = re.compile(r"\s\s")
 
 CACHED = 200_000
+WORDS = 1_000_000
 
 
 def _byte_of_character() -> dict[str, int]:
@@ -62,6 +63,7 @@ class PieceEncoder:
             spec = json.load(file)
         kind, model = spec.get("pre_tokenizer") or {}, spec["model"]
         added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.added = added
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.by_piece = (
             kind.get("type") == "ByteLevel"
@@ -124,6 +126,93 @@ class PieceEncoder:
         return self.whole(text) if pieces is None else b"".join(map(self.ids_of.__getitem__, pieces))
 
 
+class BatchEncoder:
+    """Ids of many texts at once.
+
+    Texts that may be cut into pieces are split into words by Arrow and looked
+    up in the words seen before, all together; only a new word is encoded in
+    Python, once. ``WORDS`` words are kept at most, or one batch's.
+    """
+
+    def __init__(self, coder: PieceEncoder):
+        self.coder = coder
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words = pa.array([], pa.string())
+        self.ids = np.zeros(0, "<u4")
+        self.starts = self.lengths = np.zeros(0, "int64")
+
+    def _learn(self, words: pa.Array) -> None:
+        """Adds words, each with the space before it."""
+        merge, ids, ends = self.coder._merge, [], []
+        for word in words.to_pylist():
+            if word.isalpha():
+                ids.extend(merge(f" {word}".encode()))
+            else:
+                for pretoken in PRETOKEN.findall(f" {word}"):
+                    ids.extend(merge(pretoken.encode()))
+            ends.append(len(ids))
+        lengths = np.diff(np.array(ends, "int64"), prepend=0)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.ids = np.concatenate([self.ids, np.array(ids, "<u4")])
+        self.words = pa.concat_arrays([self.words, words])
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """The place of each word among those known, after learning the others."""
+        found = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype("int64")
+        new = found < 0
+        if new.any():
+            unseen = pc.unique(words.filter(pa.array(new)))
+            if len(self.words) + len(unseen) > WORDS and len(self.words):
+                self._forget()
+                return self._numbers(words)
+            base = len(self.words)
+            self._learn(unseen)
+            found[new] = base + pc.index_in(words.filter(pa.array(new)), value_set=unseen).to_numpy()
+        return found
+
+    def _by_words(self, texts: pa.Array) -> list[bytes]:
+        split = pc.split_pattern(texts, " ")
+        values, ends = split.flatten(), np.cumsum(split.value_lengths().to_numpy().astype("int64"))
+        begins = np.concatenate([[0], ends[:-1]])
+        is_first = np.zeros(len(values), bool)
+        is_first[begins] = True
+        firsts = [self.coder.ids_of[w] if w else b"" for w in values.filter(pa.array(is_first)).to_pylist()]
+        first_lengths = np.fromiter((len(ids) // 4 for ids in firsts), "int64", len(firsts))
+
+        numbers = self._numbers(values.filter(pa.array(~is_first)))
+        lengths, starts = np.zeros(len(values), "int64"), np.zeros(len(values), "int64")
+        lengths[~is_first], starts[~is_first] = self.lengths[numbers], self.starts[numbers]
+        lengths[begins] = first_lengths
+        starts[begins] = len(self.ids) + np.cumsum(first_lengths) - first_lengths
+        everything = np.concatenate([self.ids, np.frombuffer(b"".join(firsts), "<u4")])
+
+        before = np.cumsum(lengths) - lengths
+        flat = everything[np.repeat(starts - before, lengths) + np.arange(lengths.sum())]
+        edges = np.concatenate([before, [len(flat)]])
+        return [flat[edges[a] : edges[b]].tobytes() for a, b in zip(begins, ends)]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text, null read as empty, as little-endian unsigned 32-bit integers."""
+        texts = pc.fill_null(texts, "")
+        if not self.coder.by_piece:
+            return [self.coder.whole(text) for text in texts.to_pylist()]
+        odd = pc.or_(pc.match_substring_regex(texts, UNUSUAL.pattern), pc.match_substring_regex(texts, r"[ \t\n\r]{2}"))
+        for special in self.coder.added:
+            odd = pc.or_(odd, pc.match_substring(texts, special))
+        plain = pc.invert(odd).to_numpy(zero_copy_only=False)
+        found: list = [None] * len(texts)
+        for rows, ids in (
+            (np.flatnonzero(plain), self._by_words(texts.filter(pa.array(plain))) if plain.any() else []),
+            (np.flatnonzero(~plain), map(self.coder.encode, texts.filter(odd).to_pylist())),
+        ):
+            for row, value in zip(rows, ids):
+                found[row] = value
+        return found
+
+
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 

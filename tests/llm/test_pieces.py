@@ -1,13 +1,15 @@
 """Pure functions of the corpus operators."""
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from logsheaf.llm.language import viterbi
 from logsheaf.llm.packing import plan
-from logsheaf.llm.pretokens import encoder
+from logsheaf.llm import pretokens
+from logsheaf.llm.pretokens import BatchEncoder, encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SOME = st.lists(
@@ -24,6 +26,20 @@ def test_pieces_encode_like_the_library(text):
     assert list(np.frombuffer(coder.encode(text), "<u4")) == ids
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.one_of(SOME, st.text(max_size=30), st.none()), max_size=8), max_size=3), st.integers(1, 60))
+def test_batches_encode_like_the_library(batches, kept):
+    coder = BatchEncoder(encoder(PATH))
+    before, pretokens.WORDS = pretokens.WORDS, kept
+    try:
+        for texts in batches:
+            want = [coder.coder.library.encode(t or "", add_special_tokens=False).ids for t in texts]
+            got = coder.encode(pa.array(texts, pa.string()))
+            assert [list(np.frombuffer(ids, "<u4")) for ids in got] == want
+    finally:
+        pretokens.WORDS = before
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 50), max_size=30))
 def test_plan_uses_every_piece_once(counts):
