@@ -347,8 +347,8 @@ ORACLE = {
                        FROM sess) USING (session_id)
         GROUP BY chunk""",
     "resumable_chunks": """
-        SELECT a.chunk FROM (SELECT *, (row_number() OVER (ORDER BY day, session_id) - 1) // 100 AS chunk FROM sess) a
-        FULL JOIN (SELECT session_id, (row_number() OVER (ORDER BY day, session_id) - 1) // 100 AS chunk
+        SELECT a.chunk FROM (SELECT *, (row_number() OVER (ORDER BY day, session_id) - 1) // 5 AS chunk FROM sess) a
+        FULL JOIN (SELECT session_id, (row_number() OVER (ORDER BY day, session_id) - 1) // 5 AS chunk
                    FROM sess WHERE day <> 7) b ON a.session_id = b.session_id AND a.chunk = b.chunk
         GROUP BY a.chunk HAVING a.chunk IS NOT NULL AND bool_and(b.chunk IS NOT NULL) AND bool_and(day <> 20)""",
     "sequence_manifest": """
@@ -364,8 +364,12 @@ ORACLE = {
         GROUP BY day""",
     "stored_vocabulary": "SELECT token, token_id, token_id AS json_id FROM vocab",
     "vocabulary_check_damaged": """
-        SELECT count(*) + 3 AS size, CAST(100006 AS INTEGER) AS max_token_id, CAST(1 AS BIGINT) AS missing_specials,
-               CAST(3 AS BIGINT) AS repeated_ids, CAST(1 AS BIGINT) AS repeated_tokens FROM vocab""",
+        SELECT count(*) AS size, max(token_id) AS max_token_id, CAST(1 AS BIGINT) AS missing_specials,
+               count(*) - count(DISTINCT token_id) AS repeated_ids,
+               count(*) - count(DISTINCT token) AS repeated_tokens
+        FROM (SELECT token, token_id FROM vocab WHERE token <> '[MASK]'
+              UNION ALL SELECT token || '+', token_id FROM vocab WHERE token_id BETWEEN 5 AND 7
+              UNION ALL SELECT token, token_id + 100000 FROM vocab WHERE token_id = 6)""",
     "token_quality_placeholders": """
         SELECT count(*) AS total_events, count(*) FILTER (WHERE event_type <> 'purchase') AS missing_event_ids,
                count(DISTINCT CASE event_type WHEN 'purchase' THEN CAST(user_id AS VARCHAR) ELSE event_type END)
@@ -421,9 +425,9 @@ ORACLE = {
         FROM (VALUES ('train', 1, 20), ('val', 21, 25), ('test', 26, 30), ('all', 1, 30)) AS s(split, a, b)
         LEFT JOIN rows_in ON day BETWEEN a AND b GROUP BY split""",
     "id_collisions": """
-        SELECT 'user_id' AS kind, sha256(src_user)[1:2] AS id, count(DISTINCT src_user) AS names
+        SELECT 'user_id' AS kind, sha256(src_user)[1:1] AS id, count(DISTINCT src_user) AS names
         FROM auth GROUP BY 2 HAVING names > 1
-        UNION ALL SELECT 'host_id', sha256(src_computer)[1:2] AS id, count(DISTINCT src_computer) AS names
+        UNION ALL SELECT 'host_id', sha256(src_computer)[1:1] AS id, count(DISTINCT src_computer) AS names
         FROM auth GROUP BY 2 HAVING names > 1""",
     "alert_severity": """
         SELECT event_id, round(score * 0.5::DOUBLE + risk_score * 0.3::DOUBLE

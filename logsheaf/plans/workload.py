@@ -103,7 +103,7 @@ LAST_FOUR = SessionConfig(window_mins=1440, stride_mins=720, max_tokens=4)
 TOKENS = TokenConfig(max_len=12)
 SPLITS = {"train": (1, 20), "val": (21, 25), "test": (26, 30), "late": (26, 35), "all": (1, 30)}
 START_DAY, END_DAY = 3, 20
-CHUNK = 100
+CHUNK, SMALL_CHUNK = 100, 5
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -561,10 +561,10 @@ def chunk_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_chunks(keys, CHUNK, *order).select("session_id", "chunk")
 
 
-def _stored_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stored_sequences(spark: SparkSession, sf_dir: str, size: int = CHUNK) -> DataFrame:
     """All sequences, written in numbered chunks and read back."""
     path, sessions = scratch_path(spark), _sessions(spark, sf_dir)
-    chunks = materialize(numbered_chunks(sessions, CHUNK))
+    chunks = materialize(numbered_chunks(sessions, size))
     n_chunks = chunks.select("chunk").distinct().count()
     sequences = padded(sessions, _vocabulary(sessions, sf_dir), chunks, n_chunks, TOKENS)
     write_chunks(sequences, path, TOKENS)
@@ -582,9 +582,9 @@ def sequence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resumable_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that still hold their sessions when those of day 7 are gone and day 20 lost a mask."""
-    sessions, stored = _sessions(spark, sf_dir), _stored_sequences(spark, sf_dir)
+    sessions, stored = _sessions(spark, sf_dir), _stored_sequences(spark, sf_dir, SMALL_CHUNK)
     mask = F.when(F.col("day") != 20, F.col("attention_mask"))
-    expected = numbered_chunks(sessions.where(F.col("day") != 7), CHUNK)
+    expected = numbered_chunks(sessions.where(F.col("day") != 7), SMALL_CHUNK)
     return sound_chunks(expected, stored.withColumn("attention_mask", mask), TOKENS.max_len)
 
 
@@ -853,11 +853,11 @@ def quality_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pseudonyms of two hex characters that stand for several users or computers."""
+    """Pseudonyms of one hex character that stand for several users or computers."""
     events = auth_events(spark, sf_dir)
     schema = events.schema
     keyed = events.select(
-        user_key(schema, 2).alias("user_id"), host_key(schema, 2).alias("host_id"),
+        user_key(schema, 1).alias("user_id"), host_key(schema, 1).alias("host_id"),
         user_check(schema).alias("user_check"), host_check(schema).alias("host_check"),
     )
     return id_collisions(keyed, {"user_id": "user_check", "host_id": "host_check"})
