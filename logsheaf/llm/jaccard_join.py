@@ -20,6 +20,9 @@ COMMON = 8
 FRAGMENT_BITS = 3
 SLACK = 4
 GRAMS = 2_000_000
+HEAVY = 64
+BLOCK = 4096
+CLASS = ("n", "shared", "probe", "outside", "heavy")
 
 _STEPS = np.array(
     [1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], "uint64"
@@ -314,12 +317,98 @@ def _possible(n: Column, shared: Column, m: Column, other: Column) -> Column:
     return _linkable(n, m, F.least(shared, other, n, m))
 
 
+def _classes(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of buckets with several components, and the classes they fall into.
+
+    Whether two members may be linked follows from their classes: size, bound of
+    the overlap, probe or not, within the main component or outside, and the
+    component where it holds ``HEAVY`` members of the bucket or more.
+    """
+    outside = F.col("component") != F.col("main")
+    several = labelled.where(outside).select("bucket").distinct()
+    rows = materialize(
+        labelled.join(several, "bucket", "left_semi").select(
+            "bucket", "set", "n", "shared", "probe", outside.alias("outside"), "component"
+        )
+    )
+    heavy = (
+        rows.groupBy("bucket", "component")
+        .agg(F.count("*").alias("rows"))
+        .where(F.col("rows") >= HEAVY)
+        .select("bucket", "component", F.col("component").alias("heavy"))
+    )
+    members = materialize(
+        rows.join(heavy, ["bucket", "component"], "left").withColumn(
+            "heavy", F.coalesce("heavy", F.lit(b""))
+        )
+    )
+    discard(rows)
+    return members, materialize(members.groupBy("bucket", *CLASS).agg(F.count("*").alias("rows")))
+
+
+def _class_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs of classes (x, y) of a bucket whose members may be linked; x is outside the main component.
+
+    Linked sizes differ by a quarter of the smaller at most, so classes meet by
+    bands of sizes. Of two outside classes the lesser comes first.
+    """
+    # The base is above 1.25, so that rounding cannot part a pair by two bands.
+    band = F.floor(F.log(1.26, F.col("n")))
+    x, y = F.struct(*CLASS), F.struct(*CLASS)
+    first = classes.where("outside").select(
+        "bucket", x.alias("x"), F.explode(F.array(band - 1, band, band + 1)).alias("band")
+    )
+    second = classes.select("bucket", band.alias("band"), y.alias("y"), F.col("rows").alias("y_rows"))
+    light = F.lit(b"")
+    return (
+        first.join(second, ["bucket", "band"])
+        .where(F.col("x.probe") | F.col("y.probe"))
+        .where((F.col("x.heavy") == light) | (F.col("x.heavy") != F.col("y.heavy")))
+        .where(~F.col("y.outside") | (F.col("x") <= F.col("y")))
+        .where(_possible(F.col("x.n"), F.col("x.shared"), F.col("y.n"), F.col("y.shared")))
+        .select("bucket", "x", "y", F.ceil(F.col("y_rows") / BLOCK).alias("blocks"))
+    )
+
+
+def _unconnected(labelled: DataFrame) -> DataFrame:
+    """Pairs (a, b, n, m) of different components that meet in a bucket and may be linked.
+
+    Classes are paired before members are, so members that cannot be linked
+    never meet. Large classes meet the others in blocks of about ``BLOCK`` members.
+    """
+    members, classes = _classes(labelled)
+    pairs = materialize(_class_pairs(classes))
+    own = F.struct(*CLASS)
+    blocks = classes.where(F.col("rows") > BLOCK).select(
+        "bucket", own.alias("y"), F.ceil(F.col("rows") / BLOCK).alias("of")
+    )
+    left = (
+        members.where("outside")
+        .select("bucket", own.alias("x"), F.col("set").alias("a"), F.col("component").alias("a_component"))
+        .join(pairs, ["bucket", "x"])
+        .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    )
+    right = (
+        members.select("bucket", own.alias("y"), F.col("set").alias("b"), F.col("component").alias("b_component"))
+        .join(small(materialize(blocks)), ["bucket", "y"], "left")
+        .withColumn("block", F.pmod(F.xxhash64("b"), F.coalesce("of", F.lit(1))))
+        .drop("of")
+    )
+    return (
+        left.join(right, ["bucket", "y", "block"])
+        .where(F.col("a_component") != F.col("b_component"))
+        .where((F.col("x") != F.col("y")) | (F.col("a") < F.col("b")))
+        .select("a", "b", F.col("x.n").alias("n"), F.col("y.n").alias("m"))
+    )
+
+
 def find_components(sets: _Sets) -> DataFrame:
     """(set, component) of all sets that are linked with another.
 
     In each bucket, the first probe is compared with all others. Only where that
     leaves several components are the rest compared, and then only with members of
-    other components, so a group of near copies costs one comparison per copy.
+    other components and of classes that may be linked with theirs, so a group of
+    near copies costs one comparison per copy.
     """
     members = _buckets(sets)
     pivot = F.col("pivot")
@@ -343,30 +432,8 @@ def find_components(sets: _Sets) -> DataFrame:
         .withColumn("main", F.coalesce("main", "pivot.set"))
         .select("bucket", "set", "n", "shared", "probe", "component", "main")
     )
-    rest = labelled.where(F.col("component") != F.col("main")).select(
-        "bucket",
-        F.col("set").alias("a"),
-        F.col("n").alias("n"),
-        F.col("shared").alias("a_shared"),
-        F.col("probe").alias("a_probe"),
-        F.col("component").alias("a_component"),
-    )
-    others = labelled.select(
-        "bucket",
-        F.col("set").alias("b"),
-        F.col("n").alias("m"),
-        F.col("shared").alias("b_shared"),
-        F.col("probe").alias("b_probe"),
-        F.col("component").alias("b_component"),
-        (F.col("component") == F.col("main")).alias("b_main"),
-    )
     more = (
-        rest.join(others, "bucket")
-        .where(F.col("a_component") != F.col("b_component"))
-        .where(F.col("a_probe") | F.col("b_probe"))
-        .where(F.col("b_main") | (F.col("a") < F.col("b")))
-        .where(_possible(F.col("n"), F.col("a_shared"), F.col("m"), F.col("b_shared")))
-        .select("a", "b", "n", "m")
+        _unconnected(labelled)
         .distinct()
         .join(star.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
         .join(star.select("a", "b"), ["a", "b"], "left_anti")
