@@ -467,7 +467,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
         .groupBy("component")
         .agg(F.min("source").alias("component_id"))
     )
-    names = named.join(least, "component", "left").select(
+    # Most rows may be of one component; a broadcast leaves them where they are.
+    names = named.join(small(materialize(least)), "component", "left").select(
         "set", F.coalesce("component_id", "source").alias("component_id")
     )
     return sets.rows.join(names, "set", "left").select(
