@@ -11,7 +11,7 @@ from logsheaf.llm.language import train, with_language
 from logsheaf.llm.packing import pack
 from logsheaf.llm.secret_scan import new_ledger, redact
 from logsheaf.llm.workload import TOKENIZER
-from logsheaf.session import materialize
+from logsheaf.session import discard, materialize
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; each starts from the written result before."""
+    """All stages over the documents of ``sf_dir``; each starts from the written result before.
+
+    A written result goes when the next one is written; the last one stays, as packing reads it.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+    for at, (_, stage) in enumerate(STAGES[:-1]):
+        after = materialize(stage(spark, docs, sf_dir))
+        if at:
+            discard(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
