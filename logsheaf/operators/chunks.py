@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from logsheaf.config import TokenConfig
 from logsheaf.operators.ranking import with_position
 
+FILES, FILE_SESSIONS = 1_000, 10_000
+
 
 def assign_chunks(sequences: DataFrame, chunk_size: int, *order: Column) -> DataFrame:
     """Adds ``chunk``: consecutive ``chunk_size`` rows under ``order`` share one.
@@ -52,6 +54,15 @@ def numbered_chunks(sessions: DataFrame, chunk_size: int) -> DataFrame:
     return assign_chunks(keys, chunk_size, F.col("day"), F.col("session_id"))
 
 
+def chunks_per_file(n_chunks: int, chunk_size: int) -> int:
+    """How many neighbouring chunks share a stored file: one, while chunks are few or large.
+
+    Beyond ``FILES`` chunks, small ones share files of at most ``FILE_SESSIONS``
+    sessions, so that the number of files follows the sessions.
+    """
+    return max(1, min(-(-n_chunks // FILES), FILE_SESSIONS // chunk_size))
+
+
 def sound_chunks(expected: DataFrame, stored: DataFrame, max_len: int) -> DataFrame:
     """The chunks whose stored rows are valid and exactly the expected sessions.
 

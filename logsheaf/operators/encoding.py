@@ -11,6 +11,7 @@ from logsheaf.operators.joins import BROADCAST_BYTES, lookup_join
 from logsheaf.operators.vocabulary import special_ids
 
 KEYS = ("day", "session_id")
+TASK_SESSIONS = 10_000
 
 
 def _keys(df: DataFrame) -> list[str]:
@@ -125,17 +126,24 @@ def padded(
     chunks: DataFrame,
     n_chunks: int,
     config: TokenConfig = TokenConfig(),
+    per_file: int = 1,
 ) -> DataFrame:
-    """``tokenize`` for writing: the short ids go to one task per chunk, in order, and are padded there.
+    """``tokenize`` for writing: the short ids of a file go to one task, in order, and are padded there.
 
-    ``chunks`` (day, session_id, chunk) names the ``n_chunks`` chunks to write.
+    ``chunks`` (day, session_id, chunk) names the ``n_chunks`` chunks to write,
+    ``per_file`` neighbours to a file. A task holds one file, or several small
+    ones of about ``TASK_SESSIONS`` sessions in all, so that tasks follow the
+    sessions and not the chunks.
     """
     specials = special_ids(vocabulary)
     keys = ["day", "session_id"]
     wanted = sessions.join(chunks.select(*keys), keys, "left_semi")
     encoded = encode_sessions(wanted, vocabulary, specials=specials).join(chunks, keys)
-    dealt = encoded.repartitionById(max(1, n_chunks), F.col("chunk").cast("int")).sortWithinPartitions("chunk", *keys)
-    return to_sequences(dealt, specials, config).drop("token_ids")
+    least = int(sessions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(-(-n_chunks // per_file), max(least, -(-chunks.count() // TASK_SESSIONS))))
+    file = F.floor(F.col("chunk") / per_file)
+    dealt = encoded.repartitionById(tasks, F.pmod(file, F.lit(tasks)).cast("int"))
+    return to_sequences(dealt.sortWithinPartitions("chunk", *keys), specials, config).drop("token_ids")
 
 
 def decode(

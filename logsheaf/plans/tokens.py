@@ -11,6 +11,7 @@ from logsheaf.config import SPLIT_DAYS, TokenConfig
 from logsheaf.functions.tokens import token_schema
 from logsheaf.operators.chunks import (
     chunk_report,
+    chunks_per_file,
     is_complete,
     manifest,
     numbered_chunks,
@@ -23,7 +24,13 @@ from logsheaf.operators.vocabulary import check_vocabulary, rank_tokens, token_c
 from logsheaf.schemas import SESSION
 from logsheaf.session import materialize, planned_bytes, sized_shuffles, table_exists
 from logsheaf.sources.metrics import write_chunk_metrics, write_metrics
-from logsheaf.sources.sequences import read_sequences, stored_chunks, write_chunks, write_table
+from logsheaf.sources.sequences import (
+    in_whole_files,
+    read_sequences,
+    stored_chunks,
+    write_chunks,
+    write_table,
+)
 from logsheaf.sources.sessions import read_session_shards, read_sessions
 from logsheaf.sources.vocabulary import read_vocabulary, write_vocabulary
 
@@ -85,13 +92,14 @@ def run_tokens(
     are passed over and counted.
 
     The output of a split is numbered chunks of ``chunk_size`` sessions, in the
-    order of days and session ids, one file each. It is replaced in one step
+    order of days and session ids, one file each; of more than 1,000 chunks, small
+    neighbours share a file (see ``chunks_per_file``). It is replaced in one step
     when all is written: days that have no session any more go with it, and a
     run that stops early leaves the old output as it was.
 
     A resumed run keeps the vocabulary and the chunks that hold exactly their
     sessions and can be read, and writes every other chunk anew, also one whose
-    file is damaged or lost. All counts are over the whole output of the split;
+    file is damaged or lost, with those that share its file. All counts are over the whole output of the split;
     they and the list of chunks are stored at ``<sequences_path>_manifest`` and
     ``<sequences_path>_chunks``, and the token quality of each day at
     ``<sequences_path>_days``, whose sketches join for any range of days. Start,
@@ -150,6 +158,7 @@ def _run(
             stored = read_sequences(spark, sequences_path, config.token_id_dtype, split)
             vocabulary = read_vocabulary(spark, vocabulary_in or vocabulary_path)
             return TokensResult(vocabulary, stored, manifest(stored, config), True)
+        sound = in_whole_files(spark, sequences_path, split, sound)
         record("resume", {"session_count": total, "sound_chunks": len(sound)})
 
     if vocabulary_in:
@@ -168,8 +177,9 @@ def _run(
     if sound:
         done = spark.createDataFrame([(chunk,) for chunk in sound], "chunk bigint")
         todo = chunks.join(done, "chunk", "left_anti")
-    sequences = padded(sessions, vocabulary, todo, n_chunks - len(sound), config)
-    write_chunks(sequences, sequences_path, config, split, sound)
+    per_file = chunks_per_file(n_chunks - len(sound), config.chunk_size)
+    sequences = padded(sessions, vocabulary, todo, n_chunks - len(sound), config, per_file)
+    write_chunks(sequences, sequences_path, config, split, sound, per_file)
 
     stored = read_sequences(spark, sequences_path, config.token_id_dtype, split)
     write_table(chunk_report(stored, config.max_len), f"{sequences_path}_chunks")

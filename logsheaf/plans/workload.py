@@ -23,6 +23,7 @@ from logsheaf.operators import scoring
 from logsheaf.operators.chunks import (
     assign_chunks,
     chunk_report,
+    chunks_per_file,
     is_complete,
     manifest,
     numbered_chunks,
@@ -566,8 +567,9 @@ def _stored_sequences(spark: SparkSession, sf_dir: str, size: int = CHUNK) -> Da
     path, sessions = scratch_path(spark), _sessions(spark, sf_dir)
     chunks = materialize(numbered_chunks(sessions, size))
     n_chunks = chunks.select("chunk").distinct().count()
-    sequences = padded(sessions, _vocabulary(sessions, sf_dir), chunks, n_chunks, TOKENS)
-    write_chunks(sequences, path, TOKENS)
+    per_file = chunks_per_file(n_chunks, size)
+    sequences = padded(sessions, _vocabulary(sessions, sf_dir), chunks, n_chunks, TOKENS, per_file)
+    write_chunks(sequences, path, TOKENS, per_file=per_file)
     return read_sequences(spark, path)
 
 

@@ -26,7 +26,11 @@ def listed(spark: SparkSession, path: str) -> list[str]:
     files, target = file_system(spark, path)
     if not files.exists(target):
         return []
-    return sorted(status.getPath().getName() for status in files.listStatus(target))
+    # All paths come in one call, as {path,path}: a folder may hold very many.
+    paths = spark._jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(files.listStatus(target))
+    text = spark._jvm.org.apache.commons.lang3.ArrayUtils.toString(paths)
+    folder = f"{files.makeQualified(target).toString()}/"
+    return sorted(name.removesuffix(",") for name in text[1:-1].split(folder)[1:])
 
 
 def new_version() -> str:
