@@ -606,7 +606,8 @@ def single_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the stored sequences cover all sessions, and whether they would cover one more."""
-    report, total = manifest(_stored_sequences(spark, sf_dir), TOKENS), _sessions(spark, sf_dir).count()
+    report = materialize(manifest(_stored_sequences(spark, sf_dir), TOKENS))
+    total = _sessions(spark, sf_dir).count()
     rows = [(more, is_complete(report, total + more)) for more in (0, 1)]
     return spark.createDataFrame(rows, "more int, complete boolean")
 

@@ -80,3 +80,28 @@ def test_names_in_a_folder(spark, tmp_path):
     for name in names:
         (tmp_path / name).mkdir()
     assert versions.listed(spark, str(tmp_path)) == sorted(names)
+
+
+def test_completeness_reads_the_sequences_once(spark, monkeypatch):
+    from logsheaf.plans import workload
+
+    passed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    columns = "session_id string, n_events long, n_unknown long, input_ids array<int>, attention_mask array<tinyint>, split string, chunk long"
+    ids = F.array_repeat(F.lit(1), workload.TOKENS.max_len)
+    stored = spark.range(20).select(
+        F.format_string("s%d", "id").alias("session_id"), F.lit(3).cast("long").alias("n_events"),
+        F.lit(0).cast("long").alias("n_unknown"), ids.alias("input_ids"),
+        ids.cast("array<tinyint>").alias("attention_mask"), F.lit("all").alias("split"),
+        F.lit(0).cast("long").alias("chunk"),
+    ).mapInArrow(count, columns)
+    monkeypatch.setattr(workload, "_stored_sequences", lambda *_: stored)
+    monkeypatch.setattr(workload, "_sessions", lambda *_: spark.range(20))
+    rows = [(row["more"], row["complete"]) for row in workload.completeness(spark, "").collect()]
+    assert sorted(rows) == [(0, True), (1, False)]
+    assert passed.value == 20
