@@ -18,7 +18,7 @@ from logsheaf.session import materialize
 
 CAPACITY = 2048
 END = 0
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 TYPES = {
     "doc_id": pa.int64(),
@@ -59,6 +59,7 @@ def token_pieces(
             columns = zip(*rows) if rows else [()] * len(TYPES)
             arrays = [pa.array(c, t) for c, t in zip(columns, TYPES.values())]
             yield pa.RecordBatch.from_arrays(arrays, list(TYPES))
+            pa.default_memory_pool().release_unused()
 
     narrow = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return narrow.mapInArrow(cut, PIECE)

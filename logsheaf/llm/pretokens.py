@@ -25,6 +25,7 @@ SPACES = re.compile(r"\s\s")
 
 CACHED = 200_000
 WORDS = 1_000_000
+GATHERED = 1 << 18
 
 
 def _byte_of_character() -> dict[str, int]:
@@ -131,7 +132,9 @@ class BatchEncoder:
 
     Texts that may be cut into pieces are split into words by Arrow and looked
     up in the words seen before, all together; only a new word is encoded in
-    Python, once. ``WORDS`` words are kept at most, or one batch's.
+    Python, once. ``WORDS`` words are kept at most, or one batch's. Ids are then
+    gathered for about ``GATHERED`` words at a time, so that the arrays beside
+    the ids stay small.
     """
 
     def __init__(self, coder: PieceEncoder):
@@ -141,7 +144,7 @@ class BatchEncoder:
     def _forget(self) -> None:
         self.words = pa.array([], pa.string())
         self.ids = np.zeros(0, "<u4")
-        self.starts = self.lengths = np.zeros(0, "int64")
+        self.starts = self.lengths = np.zeros(0, "int32")
 
     def _learn(self, words: pa.Array) -> None:
         """Adds words, each with the space before it."""
@@ -153,15 +156,16 @@ class BatchEncoder:
                 for pretoken in PRETOKEN.findall(f" {word}"):
                     ids.extend(merge(pretoken.encode()))
             ends.append(len(ids))
-        lengths = np.diff(np.array(ends, "int64"), prepend=0)
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
+        lengths = np.diff(np.array(ends, "int32"), prepend=np.int32(0))
+        starts = (len(self.ids) + np.cumsum(lengths, dtype="int64") - lengths).astype("int32")
+        self.starts = np.concatenate([self.starts, starts])
         self.lengths = np.concatenate([self.lengths, lengths])
         self.ids = np.concatenate([self.ids, np.array(ids, "<u4")])
         self.words = pa.concat_arrays([self.words, words])
 
     def _numbers(self, words: pa.Array) -> np.ndarray:
         """The place of each word among those known, after learning the others."""
-        found = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype("int64")
+        found = np.array(pc.fill_null(pc.index_in(words, value_set=self.words), -1), "int32")
         new = found < 0
         if new.any():
             unseen = pc.unique(words.filter(pa.array(new)))
@@ -173,44 +177,43 @@ class BatchEncoder:
             found[new] = base + pc.index_in(words.filter(pa.array(new)), value_set=unseen).to_numpy()
         return found
 
-    def _by_words(self, texts: pa.Array) -> list[bytes]:
+    def _by_words(self, texts: pa.Array) -> Iterator[bytes]:
         split = pc.split_pattern(texts, " ")
         values, ends = split.flatten(), np.cumsum(split.value_lengths().to_numpy().astype("int64"))
         begins = np.concatenate([[0], ends[:-1]])
-        is_first = np.zeros(len(values), bool)
-        is_first[begins] = True
-        firsts = [self.coder.ids_of[w] if w else b"" for w in values.filter(pa.array(is_first)).to_pylist()]
-        first_lengths = np.fromiter((len(ids) // 4 for ids in firsts), "int64", len(firsts))
-
-        numbers = self._numbers(values.filter(pa.array(~is_first)))
-        lengths, starts = np.zeros(len(values), "int64"), np.zeros(len(values), "int64")
-        lengths[~is_first], starts[~is_first] = self.lengths[numbers], self.starts[numbers]
-        lengths[begins] = first_lengths
-        starts[begins] = len(self.ids) + np.cumsum(first_lengths) - first_lengths
-        everything = np.concatenate([self.ids, np.frombuffer(b"".join(firsts), "<u4")])
-
-        before = np.cumsum(lengths) - lengths
-        flat = everything[np.repeat(starts - before, lengths) + np.arange(lengths.sum())]
-        edges = np.concatenate([before, [len(flat)]])
-        return [flat[edges[a] : edges[b]].tobytes() for a, b in zip(begins, ends)]
-
-    def encode(self, texts: pa.Array) -> list[bytes]:
-        """Ids of each text, null read as empty, as little-endian unsigned 32-bit integers."""
+        is_other = np.ones(len(values), bool)
+        is_other[begins] = False
+        firsts = values.take(pa.array(begins))
+        numbers = self._numbers(values.filter(pa.array(is_other)))
+        del split, values, is_other
+        # Beside each text's first word stand its others, in a row.
+        ends -= np.arange(1, len(ends) + 1)
+        begins = np.concatenate([[0], ends[:-1]])
+        group = begins // GATHERED
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(ends)]
+        for low, high in zip(edges, edges[1:]):
+            some = numbers[begins[low] : ends[high - 1]]
+            lengths, starts = self.lengths[some].astype("int64"), self.starts[some]
+            after = np.concatenate([[0], np.cumsum(lengths)])
+            flat = self.ids[np.repeat(starts - after[:-1], lengths) + np.arange(after[-1])]
+            places = after[np.stack([begins[low:high], ends[low:high]]) - begins[low]]
+            for first, start, end in zip(firsts[low:high].to_pylist(), *places.tolist()):
+                yield (self.coder.ids_of[first] if first else b"") + flat[start:end].tobytes()
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text in turn, null read as empty, as little-endian unsigned 32-bit integers."""
         texts = pc.fill_null(texts, "")
         if not self.coder.by_piece:
-            return [self.coder.whole(text) for text in texts.to_pylist()]
+            yield from map(self.coder.whole, texts.to_pylist())
+            return
         odd = pc.or_(pc.match_substring_regex(texts, UNUSUAL.pattern), pc.match_substring_regex(texts, r"[ \t\n\r]{2}"))
         for special in self.coder.added:
             odd = pc.or_(odd, pc.match_substring(texts, special))
-        plain = pc.invert(odd).to_numpy(zero_copy_only=False)
-        found: list = [None] * len(texts)
-        for rows, ids in (
-            (np.flatnonzero(plain), self._by_words(texts.filter(pa.array(plain))) if plain.any() else []),
-            (np.flatnonzero(~plain), map(self.coder.encode, texts.filter(odd).to_pylist())),
-        ):
-            for row, value in zip(rows, ids):
-                found[row] = value
-        return found
+        plain = pc.invert(odd)
+        rest = map(self.coder.encode, texts.filter(odd).to_pylist())
+        words = self._by_words(texts.filter(plain)) if pc.any(plain).as_py() else iter(())
+        for is_plain in plain.to_numpy(zero_copy_only=False):
+            yield next(words if is_plain else rest)
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}

@@ -1,5 +1,7 @@
 """Pure functions of the corpus operators."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
@@ -71,3 +73,19 @@ def test_viterbi_against_all_paths():
         best = max(value(states) for states in np.ndindex(*[3] * int(n)))
         assert abs(value(path[at : at + n]) - best) < 1e-6
         at += n
+
+
+def test_batches_take_little_memory_beside_the_text():
+    """Index arrays do not grow with the batch; its ids leave one text at a time."""
+    coder = BatchEncoder(encoder(PATH))
+    text = "the quick brown fox jumps over it " * 500
+    texts = pa.array([text] * 250, pa.string())
+    list(coder.encode(texts[:1]))
+    want, peak = coder.coder.encode(text), 0
+    tracemalloc.start()
+    try:
+        assert all(ids == want for ids in coder.encode(texts))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 5 * texts.nbytes
