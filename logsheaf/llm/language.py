@@ -6,7 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,7 @@ SWITCH = 15.0
 SCRIPT_SHARE = 0.02
 LEAST_SHARE = 0.4
 CACHED = 100_000
+SCORED = 8_192
 UNDETERMINED = "und"
 
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -231,30 +232,46 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarra
 
 
 class _Labeller:
-    """Labels batches of texts; keeps the words it has scored, up to a bound."""
+    """Labels batches of texts; keeps the words it has scored, up to a bound.
+
+    Words of a batch are held as numbers, not as texts, and new ones are scored
+    ``SCORED`` at a time.
+    """
 
     def __init__(self, model: LanguageModel, switch: float):
         self.model, self.switch = model, switch
         self._known: dict[str, int] = {}
         self._rows = np.zeros((0, len(model.languages)), dtype="float32")
+        self._letters = np.zeros(0, dtype="int32")
 
-    def _paths(self, words: list[list[str]]) -> tuple[list[np.ndarray], np.ndarray]:
-        """For texts by falling number of words: path of each text, letters by language."""
-        flat = list(chain.from_iterable(words))
+    def _numbered(self, texts: list[str]) -> list[np.ndarray]:
+        """The words of each text, as numbers of known words."""
         if len(self._known) > CACHED:
             self._known.clear()
-            self._rows = self._rows[:0]
-        known = self._known
-        new = list(set(flat).difference(known))
-        if new:
+            self._rows, self._letters = self._rows[:0], self._letters[:0]
+        known, before, numbers = self._known, len(self._known), []
+        for text in texts:
+            words = words_of(text.lower())
+            new = set(words).difference(known)
             known.update(zip(new, range(len(known), len(known) + len(new))))
-            self._rows = np.concatenate([self._rows, self.model.words(new)])
+            numbers.append(np.fromiter(map(known.__getitem__, words), "int32", len(words)))
+        fresh = islice(known, before, None)
+        rows, letters = [self._rows], [self._letters]
+        while some := list(islice(fresh, SCORED)):
+            if self.model.languages:
+                rows.append(self.model.words(some))
+            letters.append(np.fromiter(map(len, some), "int32", len(some)))
+        self._rows, self._letters = np.concatenate(rows), np.concatenate(letters)
+        return numbers
+
+    def _paths(self, words: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+        """For texts by falling number of words: path of each text, letters by language."""
         lengths = np.array([len(own) for own in words])
-        numbers = np.fromiter(map(known.__getitem__, flat), "int64", len(flat))
+        numbers = np.concatenate(words)
         path = viterbi(self._rows[numbers], lengths, self.switch)
-        letters = np.fromiter(map(len, flat), "int64", len(flat))
         totals = np.zeros((len(words), len(self.model.languages)))
-        np.add.at(totals, (np.repeat(np.arange(len(words)), lengths), path), letters)
+        owners = np.repeat(np.arange(len(words), dtype="int32"), lengths)
+        np.add.at(totals, (owners, path), self._letters[numbers])
         return np.split(path, np.cumsum(lengths)[:-1]), totals
 
     def label(self, texts: list[str]) -> tuple[list[str], np.ndarray, list[list[dict]]]:
@@ -262,8 +279,8 @@ class _Labeller:
         languages = self.model.languages
         predicted, spans = [UNDETERMINED] * len(texts), [[]] * len(texts)
         scores = np.zeros(len(texts))
-        words = [words_of(t.lower()) for t in texts]
-        order = sorted((i for i, w in enumerate(words) if w), key=lambda i: -len(words[i]))
+        words = self._numbered(texts)
+        order = sorted((i for i, w in enumerate(words) if len(w)), key=lambda i: -len(words[i]))
         if order and languages:
             paths, totals = self._paths([words[i] for i in order])
             for i, path, letters in zip(order, paths, totals):

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from logsheaf.llm.language import viterbi
 from logsheaf.llm.packing import plan
-from logsheaf.llm import pretokens
+from logsheaf.llm import language, pretokens
 from logsheaf.llm.pretokens import BatchEncoder, encoder
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -89,3 +89,24 @@ def test_batches_take_little_memory_beside_the_text():
     finally:
         tracemalloc.stop()
     assert peak < 5 * texts.nbytes
+
+
+def test_labels_take_little_memory_beside_the_text():
+    """Words are held as numbers and scored some at a time, also where most are new."""
+    draw = np.random.default_rng(0)
+    model = language.LanguageModel(
+        ["a", "b"], np.log(draw.random((language.BUCKETS, 2))), np.ones((2, 400), dtype=bool)
+    )
+    letters = draw.integers(97, 123, (60_000, 8)).astype("u1").tobytes().decode()
+    words = [letters[i : i + 8] for i in range(0, len(letters), 8)]
+    texts = [" ".join(words[i : i + 300]) for i in range(0, len(words), 300)] + [""]
+    alone = [language._Labeller(model, 1.0).label([text]) for text in texts[:3]]
+    tracemalloc.start()
+    try:
+        predicted, scores, spans = language._Labeller(model, 1.0).label(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert [(p, s, r) for (p,), (s,), (r,) in alone] == list(zip(predicted, scores, spans))[:3]
+    assert (predicted[-1], scores[-1], spans[-1]) == ("und", 0.0, [])
+    assert peak < 60 * sum(map(len, texts))
